@@ -31,8 +31,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Runs of key characters that the battery judges.
 RUN = r"[A-Za-z0-9+/_-]{20,}"
-#: Chance that two letters of ordinary text agree (English, about 0.067).
+#: Chance that two letters of ordinary text agree (English, about 0.067), and
+#: the same among its letters a to f alone.
 TEXT_COINCIDENCE = 0.0667
+HEX_COINCIDENCE = 0.26
 HEX_LOWER = "0123456789abcdef"
 HEX_UPPER = "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -135,7 +137,8 @@ def battery(runs: Column) -> Column:
             2 * normal_tail(F.least(F.abs(s["serial_z"]), F.lit(30.0))),
         )
         # As ordinary text: letters agree more often, so the mean is higher by n * (k * coincidence - 1).
-        surplus = n * F.greatest(k * TEXT_COINCIDENCE - 1, F.lit(0.0))
+        agree = F.when(k == 16, HEX_COINCIDENCE).otherwise(TEXT_COINCIDENCE)
+        surplus = n * F.greatest(k * agree - 1, F.lit(0.0))
         text_z = (k - 1 + surplus - s["chi2"]) / F.sqrt(2 * (k - 1 + 2 * surplus))
         return F.struct(
             s["start"].alias("start"),
@@ -166,7 +169,7 @@ def _ranked(found: Column, nth: int) -> Column:
     )
 
 
-def scan(docs: DataFrame, text: str = "text", level: float = 0.01, doubt: float = 0.001, into: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", level: float = 0.05, doubt: float = 0.001, into: str = "spans") -> DataFrame:
     """All rows and columns of ``docs`` with ``into``: an array of
     (kind, start, end) by start, then kind in the order of KINDS."""
     whole = F.coalesce(docs[text], F.lit(""))
