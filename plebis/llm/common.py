@@ -15,22 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
-
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (tests on one machine).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a
+    temporary one only where the session names none (tests on one machine)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plebis-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
-def text_or_empty(df: DataFrame, name: str = "text") -> Column:
-    return F.coalesce(df[name], F.lit(""))
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def joined(parts: Column) -> Column:
