@@ -9,6 +9,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Academic titles before and after names.
 TITLE_PREFIX = (
@@ -49,7 +50,7 @@ def strip_diacritics(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), *_base_letters())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics_full(texts: pd.Series) -> pd.Series:
     def bare(t: str | None) -> str | None:
         if t is None:

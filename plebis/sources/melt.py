@@ -18,7 +18,10 @@ LIST_WORDS = (
     "KOALICIJA SAVEZ UNIJA FORUM DOMOVINSKI HRVATSKA HRVATSKI HRVATSKO HRVATSKE DEMOKRATSKA DEMOKRATSKI ZAJEDNICA BILO POLITIČKA "
     "LIBERALNA SELJAČKA SOCIJALDEMOKRATSKA NARODNA NARODNI PRAVA LIJEVI DESNI ODLUČNOST PRAVEDNOST ZELENA NOVA PRAVDA RIJEKA RDS"
 ).split()
-_ORDERED = Window.partitionBy("sheet").orderBy("col")
+
+
+def _ordered():
+    return Window.partitionBy("sheet").orderBy("col")
 
 
 def fixed_groups(header: DataFrame, first: int, size: int) -> DataFrame:
@@ -48,7 +51,7 @@ def variable_groups(header: DataFrame, first: int) -> DataFrame:
         header.where((F.col("col") >= first) & (F.col("text") != ""))
         .withColumn("sheet", F.lit(0))
         .withColumn("is_list", is_list)
-        .withColumn("list_col", F.last(F.when(F.col("is_list"), F.col("col")), ignorenulls=True).over(_ORDERED))
+        .withColumn("list_col", F.last(F.when(F.col("is_list"), F.col("col")), ignorenulls=True).over(_ordered()))
         .where("list_col is not null")
     )
     group = Window.partitionBy("list_col").orderBy("col")
@@ -82,7 +85,7 @@ def filled(header: DataFrame, first: int) -> DataFrame:
 def compacted(header: DataFrame, first: int) -> DataFrame:
     """As ``filled``, but blank header cells are dropped before columns are
     counted, so what stands behind a blank is read further left."""
-    at = F.row_number().over(_ORDERED) - 1 + first
+    at = F.row_number().over(_ordered()) - 1 + first
     return filled(header, first).withColumn("sheet", F.lit(0)).withColumn("col", at.cast("int")).drop("sheet")
 
 
