@@ -97,10 +97,13 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
     )
     found = F.aggregate(
         steps,
-        F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), low.alias("x")),
-        lambda a, x: F.when(a["c"] >= u * total, a).otherwise(
+        F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), low.alias("x"), (u * total).alias("goal")),
+        lambda a, x: F.when(a["c"] >= a["goal"], a).otherwise(
             F.struct(
-                (a["w"] * ratio(x)).alias("w"), (a["c"] + a["w"] * ratio(x)).alias("c"), (x + 1).cast("long").alias("x")
+                (a["w"] * ratio(x)).alias("w"),
+                (a["c"] + a["w"] * ratio(x)).alias("c"),
+                (x + 1).cast("long").alias("x"),
+                a["goal"].alias("goal"),
             )
         ),
         lambda a: a["x"],
