@@ -135,13 +135,37 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
             more = np.full((len(receivers[part]), width), -1)
             for r, (a, b) in enumerate(zip(starts[part], ends[part], strict=True)):
                 more[r, : b - a] = sources[a:b]
-            both = np.concatenate([graph[receivers[part]], more], axis=1)
+            own = graph[receivers[part]]
+            more[(more[:, :, None] == own[:, None, :]).any(axis=2)] = -1  # linked already
+            both = np.concatenate([own, more], axis=1)
             room = (both >= 0).sum(axis=1) <= degree
             kept = prune(x, receivers[part], both, degree, alpha)
             packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), axis=1)[:, :degree]
             graph[receivers[part]] = np.where(room[:, None], packed, kept)
         done += len(batch)
-    return graph.astype(np.int32), entry
+    return bridged(x, graph, entry).astype(np.int32), entry
+
+
+def bridged(x: np.ndarray, graph: np.ndarray, entry: int) -> np.ndarray:
+    """The graph with more edges, so that every node can be reached: pruning may
+    leave outliers without an edge towards them."""
+    while True:
+        reached = np.zeros(len(x), bool)
+        reached[entry] = True
+        front = np.array([entry])
+        while len(front):
+            front = np.unique(graph[front])
+            front = front[(front >= 0) & ~reached[front]]
+            reached[front] = True
+        lost, known = np.flatnonzero(~reached), np.flatnonzero(reached)
+        if not len(lost):
+            return graph
+        lost = lost[:256]
+        nearest = known[(x[lost] @ x[known].T).argmax(axis=1)]
+        nearest, first = np.unique(nearest, return_index=True)
+        more = np.full((len(x), 1), -1)
+        more[nearest, 0] = lost[first]
+        graph = np.concatenate([graph, more], axis=1)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:

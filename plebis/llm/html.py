@@ -5,8 +5,8 @@ containers that by name hold no article are taken out; each other line weighs th
 characters that stand outside links.  Weights are summed over sliding windows of
 lines.  Where a window's sum jumps over the surge level the text begins, where it
 falls to nothing the text ends, and all lines between are kept, short ones too.
-Of several such stretches the heaviest wins, together with those inside the same
-container.  Where a page marks its article, only lines in it have weight.
+Of several such stretches the heaviest wins, with the lines beside it that share
+its container.  Where a page marks its article, only lines in it have weight.
 
 Each page is worked on alone, in Arrow batches.
 
@@ -43,6 +43,7 @@ _BLOCKS = set(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = {"article", "main"}
+_HOLDERS = {"article", "body", "div", "main", "section", "td"}
 _STRIP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(_HIDDEN) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I
 )
@@ -57,11 +58,11 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, weight, inside a marked article, container) of every line."""
     page = _STRIP.sub(" ", page)
     out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, outside, article, number
     parts: list[str] = []
     linked = 0
     at = 0
-    n_containers = 0
+    n_opened = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -69,7 +70,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             text = _WHITE.sub(" ", references.unescape("".join(parts))).strip()
             if text and not any(s[1] for s in stack):
                 marked = any(s[2] for s in stack)
-                out.append((text, max(0, len(text) - linked), marked, n_containers))
+                holder = next((s[3] for s in reversed(stack) if s[0] in _HOLDERS), 0)
+                out.append((text, max(0, len(text) - linked), marked, holder))
         parts, linked = [], 0
 
     for tag in _TAG.finditer(page):
@@ -94,8 +96,6 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                     if name in _BLOCKS or all(s[0] not in _BLOCKS for s in stack[back + 1 :]):
                         del stack[back:]
                     break
-            if name in _MAIN:
-                n_containers += 1
         elif name not in _VOID and not tag.group(3).endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
@@ -107,10 +107,9 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                 outside = False  # the article's own heading
             if name == "article" and label and re.search(r"(?:^|[\s_-])comment", label, re.I):
                 outside = True
-            if name in _MAIN:
-                n_containers += 1
             if name in _BLOCKS or name == "a" or outside:
-                stack.append((name, outside, name in _MAIN and not outside))
+                n_opened += 1
+                stack.append((name, outside, name in _MAIN and not outside, n_opened))
     parts.append(page[at:])
     flush()
     return out
@@ -143,6 +142,14 @@ def extract(page: str | None) -> str:
         kept = [t for (t, _, marked, _) in found if marked]
     else:
         _, start, end = max(stretches, key=lambda s: (s[0], -s[1]))
+        by_holder: dict[int, int] = {}
+        for k in range(start, end):
+            by_holder[found[k][3]] = by_holder.get(found[k][3], 0) + weights[k]
+        own = max(by_holder, key=by_holder.__getitem__)
+        while start and found[start - 1][3] == own:  # a heading above the surge
+            start -= 1
+        while end < n and found[end][3] == own:
+            end += 1
         kept = [t for t, w, _, _ in found[start:end] if w]
     return "\n\n".join(kept)
 
