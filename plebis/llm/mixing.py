@@ -2,7 +2,7 @@
 
 Every source is cut into blocks of documents by a hash.  A source's target in
 words becomes an exact quota of block draws (whole passes over the source, then
-blocks in permuted order, the last of which is cut between two documents).  A
+blocks in permuted order, the last of which is cut between documents).  A
 splitting tree hands the quotas to the output shards: at each node the left half
 of the draws gets a multivariate-hypergeometric share of every source's quota.
 Each shard then owns a disjoint range of every source's permuted blocks and is
@@ -29,6 +29,8 @@ from plebis.llm.common import WORD, durable
 
 #: Above so many rows the block plan is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
+#: Documents of a cut block that may fill what is left of its source's target.
+FILLERS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -163,6 +165,24 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     )
 
 
+def _fillers(others: Column, left: Column) -> Column:
+    """Of (h, words) in order, the h of those that fit into what is still left."""
+    return F.aggregate(
+        others,
+        F.struct(left.cast("double").alias("left"), F.array().cast("array<long>").alias("out")),
+        lambda a, x: F.when(
+            x["words"] <= a["left"],
+            F.struct((a["left"] - x["words"]).cast("double").alias("left"), F.array_append(a["out"], x["h"]).alias("out")),
+        ).otherwise(a),
+        lambda a: a["out"],
+    )
+
+
+def blocks_for(sized: DataFrame) -> int:
+    """Blocks a source: some dozens of documents each, 1024 at most."""
+    return 1 << min(10, max(0, (sized.count() // 1024).bit_length() - 1))
+
+
 def block_plan(
     sized: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -173,8 +193,8 @@ def block_plan(
     seed: int = 7,
 ) -> DataFrame:
     """Rows (source, size, h) to one row a block: its source's size and target,
-    and ``draws``, the (pass, shard, cut) under which documents with h <= cut go
-    out once each."""
+    and ``draws``, the (pass, shard, cut, fillers) under which documents with
+    h <= cut or h among the fillers go out once each."""
     blocks = (
         sized.groupBy("source", F.pmod("h", F.lit(n_blocks)).alias("block"))
         .agg(F.sum("size").alias("words"))
@@ -202,7 +222,7 @@ def block_plan(
     )
 
     # The one block of a source that its target cuts: whole documents in hash
-    # order, up to the nearest end to what is left.
+    # order while they fit, then of the next ones those that still do.
     cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")
     block_of = F.pmod(F.col("h"), F.lit(n_blocks))
     hashes = (
@@ -210,12 +230,19 @@ def block_plan(
         .groupBy("s", "b", "rest", "h")
         .agg(F.sum("size").alias("words"))
     )
-    ahead = Window.partitionBy("s", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("s", "b").orderBy("h")
+    nearby = Window.partitionBy("s", "b", "fits").orderBy("h")
     cuts = (
-        hashes.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-        .where(F.col("before") + F.col("words") / 2 <= F.col("rest"))
+        hashes.withColumn("fits", F.sum("words").over(so_far) <= F.col("rest"))
+        .withColumn("next", F.row_number().over(nearby))
+        .where(F.col("fits") | (F.col("next") <= FILLERS))
         .groupBy("s", "b")
-        .agg(F.max("h").alias("cut"))
+        .agg(
+            F.max(F.when(F.col("fits"), F.col("h"))).alias("cut"),
+            (F.max("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))), F.lit(0))).alias("left"),
+            F.sort_array(F.collect_list(F.when(~F.col("fits"), F.struct("h", "words")))).alias("others"),
+        )
+        .select("s", "b", "cut", _fillers(F.col("others"), F.col("left")).alias("fillers"))
     )
 
     quotas = placed.groupBy("nth").agg(
@@ -235,7 +262,7 @@ def block_plan(
     # Whole and cut blocks come first in permuted order, so the seats of the
     # last, incomplete pass are without gaps.
     seated = draws.withColumn("seat", F.col("pass") * F.col("of") + F.col("at")).join(seats, ["nth", "seat"])
-    all_of_it = F.lit((1 << 63) - 1)
+    all_of_it, nothing = F.lit((1 << 63) - 1), F.array().cast("array<long>")
     seated = seated.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
         F.col("source").alias("s"),
         F.col("block").alias("b"),
@@ -243,6 +270,7 @@ def block_plan(
             "pass",
             "shard",
             F.when(F.col("partly") & (F.col("pass") == F.col("passes")), F.coalesce("cut", F.lit(-(1 << 63)))).otherwise(all_of_it).alias("cut"),
+            F.when(F.col("partly") & (F.col("pass") == F.col("passes")), F.coalesce("fillers", nothing)).otherwise(nothing).alias("fillers"),
         ).alias("draw"),
     )
     per_block = seated.groupBy("s", "b").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
@@ -260,12 +288,12 @@ def _with_plan(docs: DataFrame, plan: DataFrame, n_blocks: int) -> DataFrame:
         F.broadcast(side) if small else side,
         F.col("source").eqNullSafe(F.col("s")) & (F.pmod(F.col("h"), F.lit(n_blocks)) == F.col("b")),
     )
-    own = F.filter(F.coalesce("draws", F.array().cast(plan.schema["draws"].dataType)), lambda d: F.col("h") <= d["cut"])
+    own = F.filter(F.coalesce("draws", F.array().cast(plan.schema["draws"].dataType)), lambda d: (F.col("h") <= d["cut"]) | F.array_contains(d["fillers"], F.col("h")))
     return both.drop("s", "b").withColumn("draws", own)
 
 
 def plan_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int = 1024, **options
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int | None = None, **options
 ) -> DataFrame:
     """One row a document: key, source, size, source_size, target, draws."""
     sized = docs.select(
@@ -274,12 +302,13 @@ def plan_documents(
         n_words(docs[text]).alias("size"),
         _block_key(docs, key, text, seed).alias("h"),
     ).transform(durable)
+    n_blocks = n_blocks or blocks_for(sized)
     plan = block_plan(sized, n_blocks=n_blocks, seed=seed, **options)
     return _with_plan(sized, plan, n_blocks)
 
 
 def mix(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int = 1024,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int | None = None,
     n_shards: int = 64, **options,
 ) -> DataFrame:
     """The mixture itself: every drawn copy of every row, with all its columns,
@@ -292,6 +321,7 @@ def mix(
     sized = docs.select(
         docs[source].alias("source"), n_words(docs[text]).alias("size"), _block_key(docs, key, text, seed).alias("h")
     ).transform(durable)
+    n_blocks = n_blocks or blocks_for(sized)
     plan = block_plan(sized, n_blocks=n_blocks, seed=seed, n_shards=n_shards, **options)
     drawn = _with_plan(row, plan, n_blocks).select("row", "h", F.explode("draws").alias("draw"))
     return (
