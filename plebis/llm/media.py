@@ -24,15 +24,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plebis.llm.common import table
 
-#: Zero bits of the hash at a cut (mean length 4096), least and greatest length.
-BITS, LEAST, MOST = 12, 1024, 16384
+#: Zero bits of the hash at a cut (mean length 16384), least and greatest length.
+BITS, LEAST, MOST = 14, 4096, 65536
 RATE = 8000
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -146,29 +145,46 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     A chunk missing from the store, or bytes that are not those of the digest,
     raise an error rather than give a wrong file.
     """
-    places = lists.select("media_id", F.posexplode("digests").alias("seq", "digest")).dropDuplicates(["media_id", "seq"])
-    parts = places.join(store, "digest", "left")
-
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        media = b"".join(zlib.decompress(p) for p in rows["packed"])
-        payload = from_media(media)
-        digest = hashlib.sha256(payload)
-        if digest.digest() != key[0]:
-            raise ValueError("rebuilt media differ from what was stored")
-        return pd.DataFrame(
-            {
-                "media_id": [key[0]],
-                "payload_bytes": [len(payload)],
-                "payload_sha256": [digest.hexdigest()],
-                "tail_crc32": [zlib.crc32(payload[-64:])],
-                "media_bytes": [len(media)],
-                "media_sha256": [hashlib.sha256(media).hexdigest()],
-                "feature": [features(np.frombuffer(payload, np.uint8))],
-            }
-        )
-
-    return parts.groupBy("media_id").applyInPandas(
+    listed = lists.select("media_id", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    places = listed.dropDuplicates(["media_id", "seq"])
+    # A file of one chunk is whole where the chunk is; only the others' chunks
+    # move once more, to meet in order.
+    alone = places.where("n = 1").join(store, "digest", "left").select("media_id", F.array(F.struct("seq", "packed")).alias("parts"))
+    several = (
+        places.where("n > 1")
+        .join(store, "digest", "left")
+        .groupBy("media_id")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "packed"))).alias("parts"))
+    )
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if any(p["packed"] is None for p in parts):
+                    raise ValueError("a chunk is missing from the store")
+                media = b"".join(zlib.decompress(p["packed"]) for p in parts)
+                payload = from_media(media)
+                digest = hashlib.sha256(payload)
+                if digest.digest() != key:
+                    raise ValueError("rebuilt media differ from what was stored")
+                made = (
+                    len(payload),
+                    digest.hexdigest(),
+                    zlib.crc32(payload[-64:]),
+                    len(media),
+                    hashlib.sha256(media).hexdigest(),
+                    features(np.frombuffer(payload, np.uint8)),
+                )
+                for column, value in zip(out, made, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
+                names=["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    return alone.unionByName(several).mapInArrow(
         build,
         "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

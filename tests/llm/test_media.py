@@ -10,8 +10,8 @@ from plebis.llm import media
 
 def test_round_trip(spark, docs_of, tmp_path):
     rng = random.Random(1)
-    body = "".join(rng.choices("abcdef ghij\n", k=60_000))
-    given = [(1, None, "s"), (2, "", "s"), (3, "é" * 32, "s"), (4, body, "s"), (5, body, "s"), (6, body[:30_000] + "X" + body[30_000:], "s"), (None, "n", "s"), (7, "n", "s"), (7, "n", "s")]
+    body = "".join(rng.choices("abcdef ghij\n", k=200_000))
+    given = [(1, None, "s"), (2, "", "s"), (3, "é" * 32, "s"), (4, body, "s"), (5, body, "s"), (6, body[:90_000] + "X" + body[90_000:], "s"), (None, "n", "s"), (7, "n", "s"), (7, "n", "s")]
     docs_of(given).withColumn("seq", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     got = media.op9_media(spark, str(tmp_path)).collect()
     assert len(got) == len(given)
@@ -27,7 +27,7 @@ def test_round_trip(spark, docs_of, tmp_path):
 
 def test_chunks_follow_content(spark, docs_of):
     rng = random.Random(2)
-    body = "".join(rng.choices("abcdefghij", k=120_000))
+    body = "".join(rng.choices("abcdefghij", k=900_000))
     docs = docs_of([body, "front " + body, body])
     lists = {r["key"]: list(map(bytes, r["digests"])) for r in media.chunk_lists(docs).collect()}
     assert lists[0] == lists[2] and len(set(lists[0]) & set(lists[1])) >= 0.8 * len(lists[0])
