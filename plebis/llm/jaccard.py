@@ -9,11 +9,12 @@ that lines and passages which many documents share build no blocks.  Counts
 accumulated over the blocks are held against bounds that follow from the sizes;
 what is left is verified on the whole sets.
 
-Equal sets are one node from the start.  A block is first worked as a star: all
-its nodes are held against a few of its members, which joins groups of near
-copies in a number of comparisons that grows with the group, not its square.  The
-product then runs over nodes of different components only, so no link that
-matters to the components is lost.
+Equal sets are one node from the start.  Nodes that share most of their first
+n-grams with one member of their blocks form a bundle; its own product is taken
+dense, side by side of a few hundred nodes, and gives a spanning forest of its
+links, so that a group of near copies never becomes a list of its pairs.  The
+sparse product then runs over nodes of different bundles and components, so no
+link that matters to the components is lost.
 
 Components come from alternating large-star and small-star steps.
 
@@ -37,8 +38,12 @@ from plebis.llm.common import durable, table
 
 #: N-grams that are ordered last, at most; the order never changes a result.
 HOT = 1 << 16
-#: Members of a block against which the others are held first.
-PIVOTS = 3
+#: Members of a block that its nodes are bundled around.
+PIVOTS = 2
+#: Nodes in a dense block of a bundle's product, and columns multiplied at a time.
+SIDE, COLUMNS = 256, 4096
+#: Nodes are bundled that meet in one of so many of their prefix's blocks.
+STAR_SHARE = 2
 #: Above so many keys a text filter is joined by shuffle instead of broadcast.
 BROADCAST_KEYS = 1_000_000
 WORDS = 4
@@ -103,6 +108,10 @@ def prefix_length(n, percent: int):
     return n + (-percent * n // 100) + 1
 
 
+def prefix_length_of(n: Column, percent: int) -> Column:
+    return n + F.floor(-percent * n / 100) + 1
+
+
 def _kind(df: DataFrame, name: str) -> str:
     return next(f.dataType.simpleString() for f in df.schema if f.name == name)
 
@@ -171,12 +180,10 @@ def prefixes(docs: DataFrame, text: str, hot, n: int, percent: int) -> DataFrame
     return docs.select(docs[text].alias("text")).mapInArrow(run, "gram long, sid long, n long, at long, last long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of set ids those whose whole sets reach the threshold.
-    holders: (sid, key), one document for each set."""
-    pairs = pairs.transform(durable)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    owners = holders.join(wanted, "sid").select("key").transform(durable)
+def _sets_of(docs: DataFrame, key: str, text: str, owners: DataFrame, n: int) -> DataFrame:
+    """(sid, grams) of the documents that ``owners`` (key) names; the keys are
+    broadcast while they are few, else the texts are joined by shuffle."""
+    owners = owners.select("key").transform(durable)
     if owners.count() <= BROADCAST_KEYS:
         owners = F.broadcast(owners)
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(owners, "key", "left_semi").select("text")
@@ -189,7 +196,96 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: Da
                 names=["sid", "grams"],
             )
 
-    sets = texts.mapInArrow(sets_of, "sid long, grams binary").dropDuplicates(["sid"])
+    return texts.mapInArrow(sets_of, "sid long, grams binary").dropDuplicates(["sid"])
+
+
+def dense_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of two lists of sorted sets reach the threshold."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(left, right)
+    rows_a, rows_b = np.repeat(np.arange(len(a)), [len(s) for s in a]), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        part = shared[start : start + COLUMNS]
+        sides = []
+        for flat, rows, count in ((left, rows_a, len(a)), (right, rows_b, len(b))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            side = np.zeros((count, len(part)), np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        overlap += sides[0] @ sides[1].T
+    sizes_a, sizes_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    both = overlap.astype(np.int64)
+    return 100 * both >= percent * (sizes_a[:, None] + sizes_b[None, :] - both)
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the bipartite links of two lists the least index on the left that each
+    node of either list is connected with; a node without links on the right gets
+    the length of the left list."""
+    m = linked.shape[0]
+    left = np.arange(m)
+    while True:
+        right = np.where(linked, left[:, None], m).min(axis=0, initial=m)
+        new = np.minimum(left, np.where(linked, right[None, :], m).min(axis=1, initial=m))
+        if (new == left).all():
+            return left, right
+        left = new
+
+
+def bundled_links(bundles: DataFrame, docs: DataFrame, key: str, text: str, owners: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (x, y) that connect what the true links within each bundle (node,
+    root) connect: no more than a forest for each two sides of a bundle."""
+    sizes = bundles.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    sided = bundles.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    sided = sided.transform(durable)
+    sets = _sets_of(docs, key, text, owners.join(sided.select(F.col("node").alias("sid")), "sid", "left_semi"), n)
+    # Bundles of one side share tasks; each two sides of a larger one are a task.
+    tasks = max(1, sizes.count() // 256)
+    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    dealt = sided.join(sets, F.col("node") == F.col("sid")).select(
+        "root",
+        "sid",
+        "grams",
+        "side",
+        F.when(F.col("sides") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"),
+        other.alias("other"),
+    ).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+
+    def product(table_: pa.Table) -> pa.Table:
+        roots = table_.column("root").to_numpy()
+        sides = table_.column("side").to_numpy()
+        ids = table_.column("sid").to_numpy()
+        sets_ = [np.frombuffer(g.as_buffer(), np.uint64) for g in table_.column("grams").combine_chunks()]
+        i, j = table_.column("i")[0].as_py(), table_.column("j")[0].as_py()
+        out: list[tuple[int, int]] = []
+        order = np.argsort(roots, kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            a = [k for k in members if sides[k] == i]
+            b = [k for k in members if sides[k] == j]
+            if not a or not b:
+                continue
+            left, right = spanning(dense_links([sets_[k] for k in a], [sets_[k] for k in b], percent))
+            out += [(int(ids[a[k]]), int(ids[a[r]])) for k, r in enumerate(left) if r != k]
+            out += [(int(ids[b[k]]), int(ids[a[r]])) for k, r in enumerate(right) if r < len(a) and ids[b[k]] != ids[a[r]]]
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return (
+        dealt.select("task", "i", "j", "root", "side", "sid", "grams")
+        .groupBy("task", "i", "j")
+        .applyInArrow(product, "x long, y long")
+        .distinct()
+        .transform(durable)
+    )
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (x, y) of set ids those whose whole sets reach the threshold.
+    holders: (sid, key), one document for each set."""
+    pairs = pairs.transform(durable)
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
+    sets = _sets_of(docs, key, text, holders.join(wanted, "sid"), n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +308,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (x, y) to rows (node, root), root the smallest node of its component."""
+    """Edges (x, y) to rows (node, root), root the smallest node of its component;
+    roots have no row of their own."""
     edges = edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     edges = edges.transform(durable)
     before = None
@@ -267,27 +364,35 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
         .transform(durable)
     )
 
-    # Stars: every node of a block against its members of least hash.
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid", "n")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = first.groupBy("gram").agg(*picks)
+    # Bundles: nodes that meet one of a few members of a block in most of their
+    # prefix. The whole product over a bundle is taken in dense blocks.
     within = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    owners = holders.select("sid", "key")
+    pivots = first.groupBy("gram").agg(
+        F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid", "n")) for k in range(PIVOTS)]).alias("ps")
+    )
     stars = (
         first.select("gram", "sid", "n")
         .join(pivots, "gram")
-        .select("sid", "n", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
+        .select("sid", "n", F.explode(F.array_distinct(F.transform("ps", lambda p: F.struct(p["sid"].alias("sid"), p["n"].alias("n"))))).alias("p"))
         .where((F.col("sid") != F.col("p.sid")) & within(F.col("n"), F.col("p.n")))
-        .select(F.least("sid", "p.sid").alias("x"), F.greatest("sid", "p.sid").alias("y"))
-        .distinct()
+        .groupBy(F.least("sid", "p.sid").alias("x"), F.greatest("sid", "p.sid").alias("y"))
+        .agg(F.count("*").alias("met"), F.min("n").alias("n"))
+        .where(F.col("met") * STAR_SHARE >= prefix_length_of(F.col("n"), percent))
+        .select("x", "y")
     )
-    links = verified(stars, docs, key, text, holders.select("sid", "key"), n, percent)
+    bundles = components(stars)
+    bundles = bundles.unionByName(bundles.select(F.col("root").alias("node"), "root").distinct()).transform(durable)
+    links = bundled_links(bundles, docs, key, text, owners, n, percent)
     roots = components(links)
+    placed = _rooted(first, roots, "sid", "root")
+    placed = placed.join(bundles.withColumnsRenamed({"node": "sid", "root": "bundle"}), "sid", "left").transform(durable)
 
     # The product over nodes of different components.
-    placed = _rooted(first, roots, "sid", "root").transform(durable)
     mixed = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
     open_blocks = placed.join(mixed, "gram", "left_semi")
-    left = open_blocks.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "at", "last", "root")])
-    right = open_blocks.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "last", "root")])
+    left = open_blocks.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "at", "last", "root", "bundle")])
+    right = open_blocks.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "last", "root", "bundle")])
     col = F.col
     need = F.ceil((col("x_n") + col("y_n")) * percent / (100 + percent))
     in_order = (col("x_n") < col("y_n")) | ((col("x_n") == col("y_n")) & (col("x_sid") < col("y_sid")))
@@ -296,16 +401,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
         right,
         (left["gram"] == right["gram"])
         & (col("x_root") != col("y_root"))
+        & (F.coalesce("x_bundle", "x_sid") != F.coalesce("y_bundle", "y_sid"))
         & in_order
         & (col("x_n") * 100 >= col("y_n") * percent)
         & (reach >= need),
     )
-    length = lambda c: c + F.floor(-percent * c / 100) + 1
     counted = met.groupBy("x_sid", "y_sid", "x_n", "y_n", "x_last", "y_last").agg(F.count("*").alias("shared"))
     # Beyond the place where the shorter-reaching prefix ends, no more than the rest of its set is shared.
-    rest = F.when(col("x_last") <= col("y_last"), col("x_n") - length(col("x_n"))).otherwise(col("y_n") - length(col("y_n")))
+    rest = F.when(col("x_last") <= col("y_last"), col("x_n") - prefix_length_of(col("x_n"), percent)).otherwise(col("y_n") - prefix_length_of(col("y_n"), percent))
     pairs = counted.where(col("shared") + rest >= need).select(col("x_sid").alias("x"), col("y_sid").alias("y"))
-    more = verified(pairs, docs, key, text, holders.select("sid", "key"), n, percent)
+    # A bundle's own pairs are all decided already.
+    more = verified(pairs, docs, key, text, owners, n, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

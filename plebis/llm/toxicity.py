@@ -132,23 +132,23 @@ class Network:
         """Stochastic gradient steps over small groups of texts.  Max pooling lets
         through one window a filter and text, so only those are touched."""
         n = np.diff(bounds)
-        doc = np.repeat(np.arange(len(y)), n)
         # A word counts once a text; its odds tell how it is shared by the labels.
-        pair = np.unique(np.stack([words, doc.astype(np.uint64)]), axis=1)
-        distinct, inverse = np.unique(pair[0], return_inverse=True)
-        positive = y[pair[1].astype(np.int64)]
-        with_1 = np.bincount(inverse, positive, len(distinct))
-        with_0 = np.bincount(inverse, 1 - positive, len(distinct))
+        once = [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        positive = np.repeat(y, [len(w) for w in once]).astype(np.float32)
+        distinct, inverse = np.unique(np.concatenate(once), return_inverse=True)
+        with_1 = np.bincount(inverse, positive, len(distinct)).astype(np.float32)
+        with_0 = np.bincount(inverse, minlength=len(distinct)).astype(np.float32) - with_1
+        del once, inverse, positive
         prior = 3.0
         share = y.mean()
         odds = np.log((with_1 + prior * share) / (len(y) * share + prior)) - np.log(
             (with_0 + prior * (1 - share)) / (len(y) * (1 - share) + prior)
         )
-        both = self.buckets(distinct)
-        for rows in both:
-            # Where words meet in a bucket, the more frequent one sets it.
-            order = np.argsort(with_1 + with_0, kind="stable")
-            self.embedding[rows[order], 0] = 0.25 * odds[order]
+        # Where words meet in a bucket, the more frequent one sets it.
+        order = np.argsort(with_1 + with_0, kind="stable")
+        for rows in self.buckets(distinct[order]):
+            self.embedding[rows, 0] = 0.25 * odds[order]
+        del distinct, order, odds, with_1, with_0
         self.base = float(np.log(share / (1 - share)))
         rng = np.random.default_rng(SEED)
         squares = [np.full(p.shape, 1e-6, np.float32) for p in (*self.filters, *self.bias, self.out)]
@@ -245,14 +245,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, teach: Column, key: st
 
     side = F.broadcast(known)  # at most ``sample`` rows
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(side, F.col("key") == F.col("k"))
-    rows = texts.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, words binary").toArrow()
-    rows = rows.sort_by([("k", "ascending"), ("y", "ascending"), ("words", "ascending")])
-    y = rows.column("y").to_numpy()
+    found = texts.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, words binary").toArrow()
+    # Rows come in any order; the same rows give the same network.
+    order = sorted(range(found.num_rows), key=lambda i: (found["k"][i].as_py(), found["y"][i].as_py(), found["words"][i].as_buffer().size))
+    y = found["y"].to_numpy()[order]
     model = Network()
     if not len(y) or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    own = [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
+    own = [np.frombuffer(found["words"][i].as_buffer(), np.uint64) for i in order]
     tune = np.arange(len(y)) % 5 == 0
 
     def some(which: np.ndarray):
