@@ -18,6 +18,7 @@ equal values whatever their ids; repeated rows give a row each.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -101,7 +102,7 @@ def _chunked(docs: DataFrame, key: str, text: str, store: bool) -> DataFrame:
                     digest = hashlib.blake2b(part, digest_size=20).digest()
                     digests.append(digest)
                     if store and digest not in seen:
-                        seen[digest] = zlib.compress(part, 1)
+                        seen[digest] = bz2.compress(part)
                     start = end
                 if not store:
                     sizes.append(n)
@@ -163,7 +164,7 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
             for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if any(p["packed"] is None for p in parts):
                     raise ValueError("a chunk is missing from the store")
-                media = b"".join(zlib.decompress(p["packed"]) for p in parts)
+                media = b"".join(bz2.decompress(p["packed"]) for p in parts)
                 payload = from_media(media)
                 digest = hashlib.sha256(payload)
                 if digest.digest() != key:

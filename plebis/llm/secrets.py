@@ -75,6 +75,11 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(0.07056 * z * z * z + 1.5976 * z))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, also within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def battery(runs: Column) -> Column:
     """Adds to each run its encoding and the tests' p-values."""
 
@@ -100,6 +105,10 @@ def battery(runs: Column) -> Column:
         )
 
     def measure(s: Column) -> Column:
+        mean = F.aggregate(s["x"], F.lit(0.0), lambda a, v: a + v) / F.size(s["x"])
+        return let(mean, lambda m: about(s, m))
+
+    def about(s: Column, mean: Column) -> Column:
         x, k = s["x"], s["k"]
         n = F.size(x).cast("double")
         same = F.aggregate(
@@ -107,7 +116,6 @@ def battery(runs: Column) -> Column:
             F.lit(0.0),
             lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)),
         )
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
         pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
         lagged = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
@@ -155,12 +163,15 @@ def battery(runs: Column) -> Column:
 def discoveries(tested: Column, level: float, doubt: float) -> Column:
     """The runs that a weighted step-up procedure keeps at false-discovery rate
     ``level``, without those that the battery finds unlike random letters."""
-    m = F.size(tested).cast("double")
-    total = F.aggregate(tested, F.lit(0.0), lambda a, s: a + s["n"])
-    scaled = F.array_sort(F.transform(tested, lambda s: s["p_text"] * total / (s["n"] * m)))
-    ranked = F.transform(scaled, lambda p, i: F.when(p <= F.lit(level) * (i + 1) / m, p))
-    bar = F.coalesce(F.array_max(ranked), F.lit(-1.0))
-    return F.filter(tested, lambda s: (s["p_text"] * total / (s["n"] * m) <= bar) & (s["p_random"] >= doubt))
+    def kept(per_run: Column) -> Column:
+        """per_run: the mean length of a run, by which each one's length is scaled."""
+        scaled = lambda s: s["p_text"] * per_run / s["n"]
+        m = F.size(tested)
+        ranked = F.transform(F.array_sort(F.transform(tested, scaled)), lambda p, i: F.when(p <= F.lit(level) * (i + 1) / m, p))
+        bar = F.coalesce(F.array_max(ranked), F.lit(-1.0))
+        return let(bar, lambda most: F.filter(tested, lambda s: (scaled(s) <= most) & (s["p_random"] >= doubt)))
+
+    return let(F.aggregate(tested, F.lit(0.0), lambda a, s: a + s["n"]) / F.greatest(F.size(tested), F.lit(1)), kept)
 
 
 def _ranked(found: Column, nth: int) -> Column:
@@ -182,7 +193,7 @@ def scan(docs: DataFrame, text: str = "text", level: float = 0.05, doubt: float
             found = F.filter(found, lambda s: F.length(s["match"]) >= 20)
         spans.append(_ranked(found, nth))
     runs = located(whole, RUN)
-    random = _ranked(discoveries(battery(runs), level, doubt), 3)
+    random = _ranked(let(battery(runs), lambda tested: discoveries(tested, level, doubt)), 3)
     ordered = F.array_sort(F.concat(*spans, random))
     named = F.transform(
         ordered,
