@@ -31,7 +31,7 @@ from plebis.llm.common import table
 #: The pattern by which byte-level vocabularies of this kind cut a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps, and the longest that it keeps.
-KEPT, KEPT_LENGTH = 300_000, 64
+KEPT, KEPT_LENGTH = 120_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -105,7 +105,7 @@ class Vocabulary:
                 before, a = a, self.halves[a][1]
             else:
                 before, b = b + 1, self.halves[b][0]
-        if len(self.beside) >= 2_000_000:
+        if len(self.beside) >= 4 * KEPT:
             self.beside.clear()
         self.beside[left << 20 | right] = good
         return good

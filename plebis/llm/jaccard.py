@@ -73,7 +73,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
-    """Each text's sorted distinct n-gram hashes."""
+    """Each text's sorted distinct n-gram hashes; some hundred texts at a time, so
+    that a worker holds little beside the sets."""
+    return [s for at in range(0, len(texts), 256) for s in _shingle_sets(texts.slice(at, 256), n)]
+
+
+def _shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     words, bounds = word_hashes(texts)
     total = len(words) - n + 1
     grams = np.zeros(max(0, total), np.uint64)
