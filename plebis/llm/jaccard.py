@@ -133,7 +133,7 @@ def describe(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             _, first = np.unique(ids, return_index=True)
             flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in first)])
             grams, hits = np.unique(flat, return_counts=True)
-            often = hits >= max(4, len(sets) // 1000)
+            often = hits >= max(2, len(sets) // 1000)
             grams, hits = grams[often], hits[often]
             nothing = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
