@@ -2,11 +2,13 @@
 
 Markup is stripped to lines, one a block element.  Scripts, styles, comments and
 containers that by name hold no article are taken out; each other line weighs the
-characters that stand outside links.  Weights are summed over sliding windows of
-lines.  Where a window's sum jumps over the surge level the text begins, where it
-falls to nothing the text ends, and all lines between are kept, short ones too.
-Of several such stretches the heaviest wins, with the lines beside it that share
-its container.  Where a page marks its article, only lines in it have weight.
+characters that stand outside links, and nothing where those are no letters or
+digits.  Weights are summed over sliding windows of lines.  Where a window's sum
+jumps over the surge level the text begins, where it falls to nothing the text
+ends, and all lines between are kept that have weight, short ones too, and
+headings.  Of several such stretches the heaviest wins, with the lines beside it
+that share its container.  Where a page marks its article, the mark bounds the
+search: windows run over the lines in it alone, and every stretch of it stays.
 
 Each page is worked on alone, in Arrow batches.
 
@@ -43,6 +45,7 @@ _BLOCKS = set(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _HOLDERS = {"article", "body", "div", "main", "section", "td"}
 _STRIP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(_HIDDEN) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I
@@ -54,33 +57,41 @@ _WHITE = re.compile(r"\s+")
 WINDOW, SURGE = 3, 80
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, inside a marked article, container) of every line."""
+def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, weight, inside a marked article, container, heading) of every line."""
     page = _STRIP.sub(" ", page)
-    out: list[tuple[str, int, bool, int]] = []
+    out: list[tuple[str, int, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, outside, article, number
     parts: list[str] = []
     linked = 0
+    free = False  # letters or digits outside links
     at = 0
     n_opened = 0
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, free
         if parts:
             text = _WHITE.sub(" ", references.unescape("".join(parts))).strip()
             if text and not any(s[1] for s in stack):
                 marked = any(s[2] for s in stack)
                 holder = next((s[3] for s in reversed(stack) if s[0] in _HOLDERS), 0)
-                out.append((text, max(0, len(text) - linked), marked, holder))
-        parts, linked = [], 0
+                heading = any(s[0] in _HEADINGS for s in stack)
+                out.append((text, max(1, len(text) - linked) if free else 0, marked, holder, heading))
+        parts, linked, free = [], 0, False
+
+    def take(text: str) -> None:
+        nonlocal linked, free
+        parts.append(text)
+        if any(s[0] == "a" for s in stack):
+            linked += len(text)
+        elif not free:
+            free = any(map(str.isalnum, references.unescape(text)))
 
     for tag in _TAG.finditer(page):
         text = page[at : tag.start()]
         at = tag.end()
         if text:
-            parts.append(text)
-            if any(s[0] == "a" for s in stack):
-                linked += len(text)
+            take(text)
         name = (tag.group(2) or "").lower()
         if not name:
             continue
@@ -110,22 +121,21 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             if name in _BLOCKS or name == "a" or outside:
                 n_opened += 1
                 stack.append((name, outside, name in _MAIN and not outside, n_opened))
-    parts.append(page[at:])
+    take(page[at:])
     flush()
     return out
 
 
 def extract(page: str | None) -> str:
     found = lines(page or "")
-    if any(marked for _, _, marked, _ in found):
-        weights = [w if marked else 0 for _, w, marked, _ in found]
-        level = 1
-    else:
-        weights = [w for _, w, _, _ in found]
-        level = min(SURGE, max(weights, default=0))
+    bounded = any(marked and w for _, w, marked, _, _ in found)
+    if bounded:
+        found = [line for line in found if line[2]]
+    weights = [line[1] for line in found]
     n = len(found)
     if not any(weights):
         return ""
+    level = min(SURGE, max(weights))
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     stretches, i = [], 0
     while i < n:
@@ -133,15 +143,13 @@ def extract(page: str | None) -> str:
             end = i
             while end < n and (weights[end] or (sums[end] >= level and any(weights[end : end + WINDOW]))):
                 end += 1
-            stretches.append((sum(weights[i:end]), i, end))
+            stretches.append((i, end))
             i = end
         i += 1
-    if not stretches:
-        return ""
-    if level == 1:  # a marked article: all its lines from the first surge to the last dive
-        kept = [t for (t, _, marked, _) in found if marked]
-    else:
-        _, start, end = max(stretches, key=lambda s: (s[0], -s[1]))
+    if not bounded:
+        stretches = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
+    kept: set[int] = set()
+    for start, end in stretches:
         by_holder: dict[int, int] = {}
         for k in range(start, end):
             by_holder[found[k][3]] = by_holder.get(found[k][3], 0) + weights[k]
@@ -150,8 +158,8 @@ def extract(page: str | None) -> str:
             start -= 1
         while end < n and found[end][3] == own:
             end += 1
-        kept = [t for t, w, _, _ in found[start:end] if w]
-    return "\n\n".join(kept)
+        kept.update(k for k in range(start, end) if weights[k] or found[k][4])
+    return "\n\n".join(found[k][0] for k in sorted(kept))
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

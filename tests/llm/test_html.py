@@ -24,6 +24,15 @@ def test_inside_an_article():
     assert html.extract(page(f"<article>{inner}</article>")) == EXPECTED
 
 
+def test_windows_decide_inside_a_mark():
+    links = "<ul><li><a href=a>A related story of some length</a></li><li><a href=b>Another one</a></li><li><a href=c>A third</a></li></ul>"
+    menu = "<div><a href=x>Home</a> | <a href=y>News</a> | <a href=z>Sport</a></div>"
+    far = "<div><span>Sign in</span></div>" + links  # light, and cut off from the text by links alone
+    assert html.extract(page(f"<main>{far}{menu}<div>{ARTICLE}{links}<p>The end.</p></div>{menu}</main>")) == EXPECTED + "\n\nThe end."
+    assert html.extract(page(f"<article><h1><a href=t>Title</a></h1>{ARTICLE.partition('</h1>')[2]}{links}</article>")) == EXPECTED
+    assert html.extract(page(f"<main></main><div>{ARTICLE}</div>")) == EXPECTED
+
+
 def test_cut_off_and_odd_pages():
     assert html.extract("<article><p>One<p>Two<br>three <b>open") == "One\n\nTwo three open"
     assert html.extract(None) == html.extract("") == html.extract("<script>only") == html.extract("<nav>Menu</nav>") == ""
