@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -21,6 +23,36 @@ def test_filters_keep_clean_documents(spark, data):
     assert hidden.columns == docs.columns and hidden.count() == docs.count()
 
 
+def test_copies_at_five_words_and_80_percent(spark, docs_of, data):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(60):
+        text = rng.choices(words, k=rng.randint(40, 120))
+        texts.append(text)
+        texts.append(text + rng.choices(words, k=len(text) * rng.randint(10, 30) // 100))  # an appended tail
+        if k % 3 == 0:
+            edited = list(text)
+            for _ in range(rng.randint(1, 4)):
+                edited[rng.randrange(len(text))] = rng.choice(words)
+            texts.append(edited)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                one, other = find(a), find(b)
+                root[max(one, other)] = min(one, other)
+    kept = corpus_pipeline.drop_copies(spark, docs_of([" ".join(t) for t in texts]), data).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({find(a) for a in root})
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
