@@ -6,14 +6,16 @@ characters that stand outside links, and nothing where those are no letters or
 digits.  Weights are summed over sliding windows of lines.  Where a window's sum
 jumps over the surge level the text begins, where it falls to nothing the text
 ends, and all lines between are kept that have weight, short ones too, and
-headings.  Of several such stretches the heaviest wins, with the lines beside it
-that share its container.  Where a page marks its article, the mark bounds the
-search: windows run over the lines in it alone, and every stretch of it stays.
+headings.  Every such stretch stays, with the lines beside it that share its
+container.  Where a page marks its article, the mark bounds the search: windows
+run over the lines in it alone.  A label of class, id or role is read as a whole,
+and not at all where its container holds most of the page's text.
 
 Each page is worked on alone, in Arrow batches.
 
 Defined results.  Null or empty html, and a page without text, give the empty
-text.  Unclosed elements end with their container or the page.  Nothing is capped.
+text.  Unclosed elements end with their container or the page, an unclosed head
+where the body or a block begins.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,15 +30,22 @@ from pyspark.sql import DataFrame
 from plebis.llm.common import table
 
 #: Elements whose content is no text.
-_HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title")
+_HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "title")
 #: Containers that hold menus, page heads and feet, side matter and controls.
-_OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset"}
-#: The same said by class, id or role of any container.
+_OUTSIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "textarea", "fieldset"}
+#: The same said by a class, id or role of any container.
+_NAMES = (
+    "nav|navbar|navigation|menu|menubar|header|masthead|footer|foot|sidebar|aside|breadcrumbs?|ads?|adverts?|advertisement|advertising|"
+    "sponsor(?:s|ed)?|promos?|promotion|banners?|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    "sign-?up|share|sharing|shares|social|related|recommended|recommendations|comments?|commentlist|respond|disqus|reply|replies|pager|"
+    "pagination|widgets?|tags|toolbar|search|searchform|login|legal|copyright|complementary|contentinfo"
+)
+#: A whole label: a name, alone or with words that only say which or what shape.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|foot\w*|side\w*|aside|breadcrumb\w*|ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|"
-    r"cookie\w*|consent\w*|notice\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|sign-?up|share\w*|sharing|social\w*|"
-    r"related\w*|recommend\w*|comments?|commentlist|respond|disqus\w*|repl(?:y|ies)|pag(?:er|ination)|widget\w*|tags|toolbar|search\w*|"
-    r"login|legal|copyright|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|sub|mobile|user|post|entry|article|cookie|social|search|share|sharing)[_-])*"
+    r"(?:" + _NAMES + r")"
+    r"(?:[_-](?:nav|menu|bar|box|list|items?|links?|buttons?|icons?|block|container|wrap|wrapper|area|section|inner|content|posts?|articles?|"
+    r"form|thread|banner|notice|consent|widget|left|right|top|bottom|media|\d+))*",
     re.I,
 )
 _BLOCKS = set(
@@ -50,6 +59,8 @@ _HOLDERS = {"article", "body", "div", "main", "section", "td"}
 _STRIP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(_HIDDEN) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I
 )
+#: A page's head ends with its tag, else where the body or a first block begins.
+_HEAD = re.compile(r"<head\b(?![\w:-])[^>]*>.*?(?:</head\s*>|(?=<(?:" + "|".join(sorted(_BLOCKS - {"html"})) + r")\b(?![\w:-]))|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|[!?][^>]*)>")
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WHITE = re.compile(r"\s+")
@@ -57,11 +68,11 @@ _WHITE = re.compile(r"\s+")
 WINDOW, SURGE = 3, 80
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, weight, inside a marked article, container, heading) of every line."""
-    page = _STRIP.sub(" ", page)
-    out: list[tuple[str, int, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, outside, article, number
+def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, weight, marked article or 0, container, heading) of every line."""
+    page = _HEAD.sub(" ", _STRIP.sub(" ", page))
+    out: list[tuple[tuple[str, int, int, int, bool], tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, outside, article, number, outside by its label alone
     parts: list[str] = []
     linked = 0
     free = False  # letters or digits outside links
@@ -73,10 +84,11 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
         if parts:
             text = _WHITE.sub(" ", references.unescape("".join(parts))).strip()
             if text and not any(s[1] for s in stack):
-                marked = any(s[2] for s in stack)
+                marked = next((s[3] for s in stack if s[2]), 0)
                 holder = next((s[3] for s in reversed(stack) if s[0] in _HOLDERS), 0)
                 heading = any(s[0] in _HEADINGS for s in stack)
-                out.append((text, max(1, len(text) - linked) if free else 0, marked, holder, heading))
+                line = (text, max(1, len(text) - linked) if free else 0, marked, holder, heading)
+                out.append((line, tuple(s[3] for s in stack if s[4])))
         parts, linked, free = [], 0, False
 
     def take(text: str) -> None:
@@ -113,17 +125,36 @@ def lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
             if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
             label = " ".join(filter(None, (g for m in _LABEL.finditer(tag.group(3)) for g in m.groups())))
-            outside = name in _OUTSIDE or bool(label and name not in ("body", "html") and name not in _MAIN and _NAMED.search(label))
+            outside = name in _OUTSIDE
+            by_label = not outside and name not in _MAIN and name not in ("body", "html") and any(map(_NAMED.fullmatch, label.split()))
+            by_label = by_label or name == "form"  # may wrap a whole page
             if name == "header" and any(s[2] for s in stack):
                 outside = False  # the article's own heading
             if name == "article" and label and re.search(r"(?:^|[\s_-])comment", label, re.I):
                 outside = True
-            if name in _BLOCKS or name == "a" or outside:
+            if name in _BLOCKS or name == "a" or outside or by_label:
                 n_opened += 1
-                stack.append((name, outside, name in _MAIN and not outside, n_opened))
+                stack.append((name, outside, name in _MAIN and not outside, n_opened, by_label))
     take(page[at:])
     flush()
-    return out
+    return within(out)
+
+
+def within(found: list[tuple[tuple[str, int, int, int, bool], tuple[int, ...]]]) -> list[tuple[str, int, int, int, bool]]:
+    """The lines that no label puts outside.  A label does not count, outer ones
+    first, where its container holds more than half of the weight and the page's
+    only marked article, or the lines left without it nowhere reach the surge level."""
+    lifted: set[int] = set()
+    for number in sorted({c for _, outer in found for c in outer}):
+        inside = [line for line, outer in found if number in outer and lifted.issuperset(c for c in outer if c != number)]
+        rest = [line for line, outer in found if lifted.issuperset(outer)]
+        own, others = sum(line[1] for line in inside), sum(line[1] for line in rest)
+        if own > others:
+            mark = len({line[2] for line in inside if line[2]}) == 1 and not any(line[2] for line in rest)
+            weights = [line[1] for line in rest]
+            if mark or all(sum(weights[i : i + WINDOW]) < SURGE for i in range(len(weights))):
+                lifted.add(number)
+    return [line for line, outer in found if lifted.issuperset(outer)]
 
 
 def extract(page: str | None) -> str:
@@ -146,8 +177,6 @@ def extract(page: str | None) -> str:
             stretches.append((i, end))
             i = end
         i += 1
-    if not bounded:
-        stretches = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
     kept: set[int] = set()
     for start, end in stretches:
         by_holder: dict[int, int] = {}

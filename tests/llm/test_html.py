@@ -1,3 +1,5 @@
+import pytest
+
 from plebis.llm import html
 
 ARTICLE = "<h1>Title</h1><p>First   line\nof <b>text</b> &amp; more.</p><p>Short.</p><p>" + "word " * 30 + "</p>"
@@ -33,6 +35,27 @@ def test_windows_decide_inside_a_mark():
     assert html.extract(page(f"<main></main><div>{ARTICLE}</div>")) == EXPECTED
 
 
+@pytest.mark.parametrize("label", ["has-sidebar", "no-sidebar", "site has-header-image", "no-comments", "football", "footnotes", "shareholder-report", "header"])
+@pytest.mark.parametrize("body", [f"<article>{ARTICLE}</article>", f"<div>{ARTICLE}</div>"])
+def test_wrappers_are_no_side_matter(label, body):
+    note = "<div class='widget sidebar-box'><p>" + "side " * 15 + "</p></div><footer>Foot</footer>"
+    assert html.extract(page(f"<div class='{label}'>{body}{note}</div>")) == EXPECTED
+
+
+def test_labels_stay_outside_beside_a_text():
+    long = "<div class='related-posts'><article class=card><p>" + "other " * 200 + "</p></article><article class=card><p>Next</p></article></div><div id=comments><p>" + "I agree " * 200 + "</p></div>"
+    assert html.extract(page(f"<div class=post>{ARTICLE}</div>{long}")) == EXPECTED
+    assert html.extract(page(f"<form id=all><div class=post>{ARTICLE}</div></form>")) == EXPECTED
+
+
+def test_unclosed_head_and_several_stretches():
+    for start in ("<body>", "<div>"):
+        text = page(f"{start}{ARTICLE}").replace("</head><body>", "").replace("<title>T", "<meta charset=utf-8><title>T")
+        assert html.extract(text) == EXPECTED
+    gap = "<div>" + "<p><a href=x>Only a link</a></p>" * 4 + "</div>"
+    assert html.extract(page(f"<div>{ARTICLE}</div>{gap}<div>{ARTICLE}</div>{gap}")) == EXPECTED + "\n\n" + EXPECTED
+
+
 def test_cut_off_and_odd_pages():
     assert html.extract("<article><p>One<p>Two<br>three <b>open") == "One\n\nTwo three open"
     assert html.extract(None) == html.extract("") == html.extract("<script>only") == html.extract("<nav>Menu</nav>") == ""
