@@ -2,8 +2,9 @@
 
 Base kinds are three patterns.  Beside them, every long run of key characters is
 put to a battery of randomness tests under the alphabet it seems to be written
-in: chi-squared uniformity of its letters, a runs test about the alphabet's
-middle and the lag-1 serial correlation.  A run is reported when no test of the
+in (digits, hex, base32, base36, base58, base62, either base64): chi-squared
+uniformity of its letters, for digits also of their steps, a runs test about the
+alphabet's middle and the lag-1 serial correlation.  A run is reported when no test of the
 battery speaks against randomness and its uniformity is too good for ordinary
 text.  The p-values of the latter go through a weighted step-up procedure in each
 document, whose weights follow the length of the runs, so that short runs, on
@@ -35,12 +36,21 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 #: the same among its letters a to f alone.
 TEXT_COINCIDENCE = 0.0667
 HEX_COINCIDENCE = 0.26
+#: Taken for digits of dates, counts and padded numbers.
+DIGIT_COINCIDENCE = 0.2
+DIGITS = "0123456789"
 HEX_LOWER = "0123456789abcdef"
 HEX_UPPER = "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 LOWER36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 UPPER36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+UPPER = BASE32[:26]
+LOWER = UPPER.lower()
+BASE62 = UPPER + LOWER + DIGITS
+BASE58 = "".join(c for c in BASE62 if c not in "0OIl")
+BASE64, BASE64_URL, BASE64_BOTH = BASE62 + "+/", BASE62 + "-_", BASE62 + "+/_-"
+#: Runs from this length on that lack some letters of a larger alphabet are of the smaller one.
+LONG = 60
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -84,24 +94,43 @@ def battery(runs: Column) -> Column:
     """Adds to each run its encoding and the tests' p-values."""
 
     def alphabet(m: Column) -> Column:
+        long, marks = F.length(m) >= LONG, F.regexp_count(m, F.lit("[+/_-]"))
         return (
-            F.when(m.rlike("^[0-9]+$"), F.lit(None))
+            F.when(m.rlike("^[0-9]+$"), F.lit(DIGITS))
             .when(m.rlike("^[0-9a-f]+$"), F.lit(HEX_LOWER))
             .when(m.rlike("^[0-9A-F]+$"), F.lit(HEX_UPPER))
+            .when(long & m.rlike("^[A-Z]+$"), F.lit(UPPER))
+            .when(long & m.rlike("^[a-z]+$"), F.lit(LOWER))
             .when(m.rlike("^[A-Z2-7]+$"), F.lit(BASE32))
             .when(m.rlike("^[0-9a-z]+$"), F.lit(LOWER36))
             .when(m.rlike("^[0-9A-Z]+$"), F.lit(UPPER36))
-            .otherwise(F.lit(BASE64))
+            .when(long & m.rlike("^[A-Za-z]+$"), F.lit(UPPER + LOWER))
+            .when(long & m.rlike("^[1-9A-HJ-NP-Za-km-z]+$"), F.lit(BASE58))
+            # Marks far rarer than base64 has them join parts of base62.
+            .when(marks * 64 < F.length(m), F.lit(BASE62))
+            .when(m.rlike("^[A-Za-z0-9+/]+$"), F.lit(BASE64))
+            .when(m.rlike("^[A-Za-z0-9_-]+$"), F.lit(BASE64_URL))
+            .otherwise(F.lit(BASE64_BOTH))
         )
 
     def judge(s: Column) -> Column:
-        letters = alphabet(s["match"])
+        return let(alphabet(s["match"]), lambda letters: spelled(s, letters))
+
+    def spelled(s: Column, letters: Column) -> Column:
         chars = F.filter(F.split(s["match"], ""), lambda c: c != "")
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.length(letters).cast("double").alias("k"),
-            F.transform(chars, lambda c: F.instr(letters, c).cast("double")).alias("x"),
+            F.filter(F.transform(chars, lambda c: F.instr(letters, c).cast("double")), lambda v: v > 0).alias("x"),
+        )
+
+    def same_in(x: Column) -> Column:
+        """The sum of the squared counts of the values of x."""
+        return F.aggregate(
+            F.array_distinct(x),
+            F.lit(0.0),
+            lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)),
         )
 
     def measure(s: Column) -> Column:
@@ -111,12 +140,9 @@ def battery(runs: Column) -> Column:
     def about(s: Column, mean: Column) -> Column:
         x, k = s["x"], s["k"]
         n = F.size(x).cast("double")
-        same = F.aggregate(
-            F.array_distinct(x),
-            F.lit(0.0),
-            lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)),
-        )
         pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        # Counted-up digits are even, but each differs from the next by the same.
+        steps = F.when(k == 10, let(F.transform(pairs, lambda p: F.pmod(p["b"] - p["a"], k)), lambda d: k / (n - 1) * same_in(d) - (n - 1))).otherwise(0.0)
         spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
         lagged = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         high = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > k / 2, 1.0).otherwise(0.0))
@@ -126,7 +152,8 @@ def battery(runs: Column) -> Column:
             s["end"].alias("end"),
             n.alias("n"),
             k.alias("k"),
-            (k / n * same - n).alias("chi2"),
+            (k / n * same_in(x) - n).alias("chi2"),
+            steps.alias("steps"),
             (F.when(spread > 0, lagged / spread).otherwise(1.0) * F.sqrt(n)).alias("serial_z"),
             high.alias("high"),
             turns.alias("turns"),
@@ -135,7 +162,7 @@ def battery(runs: Column) -> Column:
     def decide(s: Column) -> Column:
         n, k = s["n"], s["k"]
         # As random letters: the chi-squared statistic has mean k - 1.
-        random_z = (s["chi2"] - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+        random_z = (F.greatest(s["chi2"], s["steps"]) - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
         expected = 2 * s["high"] * (n - s["high"]) / n + 1
         variance = (expected - 1) * (expected - 2) / (n - 1)
         runs_z = F.when(variance > 0, (s["turns"] - expected) / F.sqrt(variance)).otherwise(99.0)
@@ -145,7 +172,7 @@ def battery(runs: Column) -> Column:
             2 * normal_tail(F.least(F.abs(s["serial_z"]), F.lit(30.0))),
         )
         # As ordinary text: letters agree more often, so the mean is higher by n * (k * coincidence - 1).
-        agree = F.when(k == 16, HEX_COINCIDENCE).otherwise(TEXT_COINCIDENCE)
+        agree = F.when(k == 16, HEX_COINCIDENCE).when(k == 10, DIGIT_COINCIDENCE).otherwise(TEXT_COINCIDENCE)
         surplus = n * F.greatest(k * agree - 1, F.lit(0.0))
         text_z = (k - 1 + surplus - s["chi2"]) / F.sqrt(2 * (k - 1 + 2 * surplus))
         return F.struct(
@@ -156,7 +183,7 @@ def battery(runs: Column) -> Column:
             normal_tail(F.least(F.greatest(text_z, F.lit(-30.0)), F.lit(30.0))).alias("p_text"),
         )
 
-    known = F.filter(F.transform(runs, judge), lambda s: s["k"].isNotNull())
+    known = F.filter(F.transform(runs, judge), lambda s: F.size(s["x"]) > 1)
     return F.transform(F.transform(known, measure), decide)
 
 

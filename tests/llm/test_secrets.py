@@ -44,6 +44,25 @@ def test_random_runs_but_no_words(docs_of):
     assert sum(found[: len(keys)]) >= 54 and not any(found[len(keys) :])
 
 
+def test_random_keys_of_any_length(docs_of):
+    rng = random.Random(8)
+    lengths = (20, 40, 100, 400, 800, 1600, 3000, 10_000)
+    planted = []
+    for name in ("BASE62", "BASE64", "BASE64_URL", "DIGITS", "BASE58", "LOWER"):
+        for n in lengths:
+            for _ in range(20):
+                planted.append((name, n, "".join(rng.choices(getattr(secrets, name), k=n))))
+    planted += [("joined", n, "sk_live-" + "".join(rng.choices(secrets.BASE62, k=n))) for n in lengths for _ in range(20)]
+    got = secrets.scan(docs_of([f"see {key} there" for _, _, key in planted])).orderBy("doc_id").collect()
+    found = {}
+    for (name, n, _), r in zip(planted, got, strict=True):
+        found[name, n] = found.get((name, n), 0) + any(s["kind"] == "random" and s["end"] - s["start"] >= n for s in r["spans"])
+    # On 20 digits or 26 letters chance says little.
+    assert all(hits >= 18 for (name, n), hits in found.items() if n >= (100 if name in ("DIGITS", "LOWER") else 20)), found
+    plain = ["1234567890" * 3, "0" * 40, "20240101" * 5, "00112233445566778899", "0246813579" * 20, "the-quick-brown-fox/" * 40, "loremipsumdolorsitamet" * 20]
+    assert not any(s["kind"] == "random" for r in secrets.scan(docs_of(plain)).collect() for s in r["spans"])
+
+
 def test_redaction(docs_of):
     given = ["a password=abcdefg1 b token=0123456789abcdef01234567 c", "clean", None, ""]
     got = [r["text"] for r in secrets.redact(docs_of(given)).orderBy("doc_id").collect()]
