@@ -267,7 +267,7 @@ def search(shards: DataFrame, queries: DataFrame, n_shards: int, n_blocks: int,
 def nearest(vectors: DataFrame, asked: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For rows that fulfil ``asked`` (a condition on the column id) the k nearest
     others: query_id, rank, vec_id, score (cosine)."""
-    rows = usable(vectors, key, vector).transform(durable)
+    rows = usable(vectors, key, vector).distinct().transform(durable)
     nodes = distinct_vectors(rows, k).transform(durable)
     n_shards = max(1, math.ceil(nodes.count() / SHARD))
     queries = rows.where(asked)

@@ -44,3 +44,15 @@ def test_odd_rows(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("id") % 50 == 0).collect())
     assert got == [(0, 1, 6), (0, 2, 100), (0, 3, 7), (100, 1, 6), (100, 2, 0), (100, 3, 7)]
     assert ann.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_repeated_rows_take_no_places(spark):
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    x[51:59] = x[0]  # ids of one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    expected = brute(rows, [0, 50])
+    for given in (rows + rows, rows + rows[51:52] * 6 + [rows[i] for i, _ in expected[50][:1]] * 5):
+        df = spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(5)
+        got = ann.nearest(df, F.col("id") % 50 == 0).collect()
+        for q, best in expected.items():
+            assert [i for _, i in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] == [i for i, _ in best]
