@@ -29,8 +29,9 @@ from plebis.llm.common import WORD, durable
 
 #: Above so many rows the block plan is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
-#: Documents of a cut block that may fill what is left of its source's target.
-FILLERS = 64
+#: What is left of a target is filled from the next documents that fit, until
+#: these hold so many times the words left; the first that still fit are drawn.
+REACH = 4
 
 
 def n_words(text: Column) -> Column:
@@ -222,27 +223,52 @@ def block_plan(
     )
 
     # The one block of a source that its target cuts: whole documents in hash
-    # order while they fit, then of the next ones those that still do.
-    cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")
+    # order while they fit.
+    cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest", F.col("place").alias("cut_place"))
     block_of = F.pmod(F.col("h"), F.lit(n_blocks))
     hashes = (
         sized.join(cut_blocks, F.col("source").eqNullSafe(F.col("s")) & (block_of == F.col("b")))
-        .groupBy("s", "b", "rest", "h")
+        .groupBy("s", "b", "rest", "cut_place", "h")
         .agg(F.sum("size").alias("words"))
     )
     so_far = Window.partitionBy("s", "b").orderBy("h")
-    nearby = Window.partitionBy("s", "b", "fits").orderBy("h")
     cuts = (
         hashes.withColumn("fits", F.sum("words").over(so_far) <= F.col("rest"))
-        .withColumn("next", F.row_number().over(nearby))
-        .where(F.col("fits") | (F.col("next") <= FILLERS))
-        .groupBy("s", "b")
+        .groupBy("s", "b", "cut_place")
         .agg(
-            F.max(F.when(F.col("fits"), F.col("h"))).alias("cut"),
+            F.coalesce(F.max(F.when(F.col("fits"), F.col("h"))), F.lit(-(1 << 63))).alias("cut"),
             (F.max("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))), F.lit(0))).alias("left"),
-            F.sort_array(F.collect_list(F.when(~F.col("fits"), F.struct("h", "words")))).alias("others"),
         )
-        .select("s", "b", "cut", _fillers(F.col("others"), F.col("left")).alias("fillers"))
+        .transform(durable)
+    )
+    # Then, from the rest of that block and on through the source's later ones,
+    # documents that still fit into what is left.
+    place_of = F.xxhash64(F.lit(seed + 1), "source", block_of)
+    after = (place_of > F.col("cut_place")) | ((place_of == F.col("cut_place")) & (block_of > F.col("b")))
+    fitting = (
+        sized.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("left")))
+        .where(after | ((block_of == F.col("b")) & (F.col("h") > F.col("cut"))))
+        .groupBy("s", "b", "left", F.struct(block_of != F.col("b"), place_of, block_of).alias("turn"), "h")
+        .agg(F.sum("size").alias("words"))
+        .where((F.col("words") > 0) & (F.col("words") <= F.col("left")))
+        .transform(durable)
+    )
+    earlier = Window.partitionBy("s").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    zone = (
+        fitting.groupBy("s", "left", "turn").agg(F.sum("words").alias("words"))
+        .withColumn("earlier", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .where(F.col("earlier") < REACH * F.col("left"))
+        .select(F.col("s").alias("zs"), F.col("turn").alias("zt"))
+    )
+    filled = (
+        fitting.join(zone, F.col("s").eqNullSafe(F.col("zs")) & (F.col("turn") == F.col("zt")), "left_semi")
+        .withColumn("drawn_before", F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("turn", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .where(F.col("drawn_before") < REACH * F.col("left"))
+        .groupBy("s", "b", "left")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "h", "words"))).alias("others"))
+        .select("s", "b", F.explode(_fillers(F.col("others"), F.col("left"))).alias("h"))
+        .groupBy(F.col("s").alias("fs"), F.col("b").alias("cut_block"), F.pmod("h", F.lit(n_blocks)).alias("fb"))
+        .agg(F.collect_list("h").alias("fillers"))
     )
 
     quotas = placed.groupBy("nth").agg(
@@ -263,16 +289,18 @@ def block_plan(
     # last, incomplete pass are without gaps.
     seated = draws.withColumn("seat", F.col("pass") * F.col("of") + F.col("at")).join(seats, ["nth", "seat"])
     all_of_it, nothing = F.lit((1 << 63) - 1), F.array().cast("array<long>")
-    seated = seated.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
+    last = F.col("partly") & (F.col("pass") == F.col("passes"))
+    seated = seated.join(cuts.select("s", "b", "cut"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
         F.col("source").alias("s"),
         F.col("block").alias("b"),
-        F.struct(
-            "pass",
-            "shard",
-            F.when(F.col("partly") & (F.col("pass") == F.col("passes")), F.coalesce("cut", F.lit(-(1 << 63)))).otherwise(all_of_it).alias("cut"),
-            F.when(F.col("partly") & (F.col("pass") == F.col("passes")), F.coalesce("fillers", nothing)).otherwise(nothing).alias("fillers"),
-        ).alias("draw"),
+        last.alias("last"),
+        F.struct("pass", "shard", F.when(last, F.coalesce("cut", F.lit(-(1 << 63)))).otherwise(all_of_it).alias("cut"), nothing.alias("fillers")).alias("draw"),
+    ).transform(durable)
+    # Fillers of whatever block go out with the cut block's last draw.
+    more = filled.join(seated.where("last"), F.col("fs").eqNullSafe(F.col("s")) & (F.col("cut_block") == F.col("b"))).select(
+        "s", F.col("fb").alias("b"), "last", F.struct("draw.pass", "draw.shard", F.lit(-(1 << 63)).alias("cut"), "fillers").alias("draw")
     )
+    seated = seated.unionByName(more)
     per_block = seated.groupBy("s", "b").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
     return placed.join(
         per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left"

@@ -88,3 +88,14 @@ def test_hypergeometric_moments(spark):
 def test_empty_table(docs_of):
     assert mixing.plan_documents(docs_of([]), n_shards=2).count() == 0
     assert mixing.mix(docs_of([]), n_shards=2).count() == 0
+
+
+def test_small_sources_are_filled_from_later_blocks(docs_of):
+    for seed in range(4):
+        rows = [(k, " ".join(["w"] * (20_000 if k == 7 else 1_000)), "s") for k in range(50)]
+        rows += [(100 + k, "w " * 3, "t") for k in range(5)]
+        got = mixing.plan_documents(docs_of(rows), n_blocks=512, weights=(1.25, 1), share=1.25, seed=seed).collect()
+        for source in "st":
+            own = [r for r in got if r["source"] == source]
+            taken = sum(r["size"] * len(r["draws"]) for r in own)
+            assert own[0]["target"] - min(r["size"] for r in own) < taken <= own[0]["target"]
