@@ -1,27 +1,34 @@
 """Operator 4: n-gram Jaccard join.
 
 Documents by n-grams is a sparse incidence matrix; the product with its own
-transpose counts the n-grams that two documents share.  The product is taken in
-blocks, one an n-gram, and only over the n-grams that a pair above the threshold
-cannot do without: of a set of n, in one fixed order of all n-grams, the first
-n - ceil(t n) + 1.  The order is by hash, with the most frequent n-grams last, so
-that lines and passages which many documents share build no blocks.  Counts
-accumulated over the blocks are held against bounds that follow from the sizes;
-what is left is verified on the whole sets.
-
-Equal sets are one node from the start.  Nodes that share most of their first
-n-grams with one member of their blocks form a bundle; its own product is taken
-dense, side by side of a few hundred nodes, and gives a spanning forest of its
-links, so that a group of near copies never becomes a list of its pairs.  The
-sparse product then runs over nodes of different bundles and components, so no
-link that matters to the components is lost.
-
-Components come from alternating large-star and small-star steps.
+transpose counts the n-grams that two documents share.  Size-derived bounds
+discard work at each step:
+
+* A linked document of n n-grams shares at least t n of them, so one with more
+  than n - ceil(t n) n-grams that stand in no other document links with none.
+  N-grams are counted over the whole corpus in packed blocks, a hash sample of
+  them, which already tells most documents apart that link with nothing.
+* The product is taken in blocks, one an n-gram, and only over the n-grams that a
+  pair above the threshold cannot do without: of a set of n, in one fixed order
+  of all n-grams, the first n - ceil(t n) + 1.  The order puts the n-grams of many
+  documents last, by their exact counts, so that lines and passages which many
+  documents share build no blocks.
+* Small blocks (``FEW`` members at most) give pairs, whose counts are held against
+  bounds that follow from the sizes; what is left is verified on the whole sets.
+* Nodes that meet in a large block form a bundle.  A bundle's own product is taken
+  dense, side by side of some hundred nodes, and gives a spanning forest of its
+  links, so that a group of near copies never becomes a list of its pairs.  In a
+  bundle of several sides all members first meet a few pivots; only those outside
+  the largest component so found meet all others.
+
+Equal sets are one node from the start.  Components come from alternating
+large-star and small-star steps.
 
 Defined results.  Null and empty texts, and texts of white space, have no
 n-grams and link with nothing.  A text with fewer words than n has one n-gram,
 the whole.  Repeated rows and copies share a component.  Rows with a null key are
-their own component.  N-grams and sets are known by 64-bit hashes.
+their own component.  N-grams and sets are known by 64-bit hashes.  An empty
+table gives no rows; other columns of the table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,20 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis.llm.common import durable, table
 
-#: N-grams that are ordered last, at most; the order never changes a result.
-HOT = 1 << 16
-#: Members of a block that its nodes are bundled around.
-PIVOTS = 2
+#: Members of a block that gives pairs; larger ones give bundles.
+FEW = 16
 #: Nodes in a dense block of a bundle's product, and columns multiplied at a time.
-SIDE, COLUMNS = 256, 4096
-#: Nodes are bundled that meet in one of so many of their prefix's blocks.
-STAR_SHARE = 2
-#: Above so many keys a text filter is joined by shuffle instead of broadcast.
+SIDE, COLUMNS = 512, 4096
+#: Nodes of a large bundle that all its members meet first.
+PIVOTS = 64
+#: Of this many n-grams one is counted to find documents that link with nothing.
+SAMPLED = 4
+#: Documents whose n-grams are packed together, and documents to a block of counts.
+PACKED, COUNTED = 8192, 1024
+#: Above so many keys or n-grams a table is joined by shuffle instead of broadcast.
 BROADCAST_KEYS = 1_000_000
 WORDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -121,73 +131,190 @@ def _kind(df: DataFrame, name: str) -> str:
     return next(f.dataType.simpleString() for f in df.schema if f.name == name)
 
 
-def describe(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows (key, n, sid) for every document and, beside them, rows (gram, hits)
-    for n-grams that are frequent within a batch."""
-    schema = f"key {_kind(docs, key)}, n long, sid long, gram long, hits long"
+def _bits(count: int) -> int:
+    """Leading bits of a hash that tell blocks of counts apart."""
+    return min(24, max(0, (count // COUNTED).bit_length()))
+
+
+def describe(docs: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
+    """Rows (key, mark, n, sid, batch, at) for every document, mark a hash of its
+    text, and rows (batch, bucket, tags, ats) with the sampled n-grams of each batch
+    and the one document each stands in (all ones: several)."""
+    schema = f"key {_kind(docs, key)}, mark long, n long, sid long, batch long, at int, bucket int, tags binary, ats binary"
+    names = ["key", "mark", "n", "sid", "batch", "at", "bucket", "tags", "ats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1), n)
-            ids = np.array([set_id(s) for s in sets], np.int64)
-            _, first = np.unique(ids, return_index=True)
-            flat = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in first)])
-            grams, hits = np.unique(flat, return_counts=True)
-            often = hits >= max(2, len(sets) // 1000)
-            grams, hits = grams[often], hits[often]
-            nothing = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), nothing, nothing],
-                names=["key", "n", "sid", "gram", "hits"],
-            )
-            none = pa.nulls(len(grams), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(grams), batch.schema.field(0).type), none, none, pa.array(grams.view(np.int64)), pa.array(hits)],
-                names=["key", "n", "sid", "gram", "hits"],
-            )
+        task, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, PACKED):
+                batch = whole.slice(start, PACKED)
+                label = task << 32 | number
+                number += 1
+                sets = shingle_sets(batch.column(2), n)
+                ids = np.array([set_id(s) for s in sets], np.int64)
+                _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+                size, none = len(sets), lambda m, t: pa.nulls(m, t)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids),
+                        pa.array(np.full(size, label)), pa.array(first[inverse].astype(np.int32)),
+                        none(size, pa.int32()), none(size, pa.binary()), none(size, pa.binary()),
+                    ],
+                    names=names,
+                )
+                taken = [sets[i][sets[i] % np.uint64(SAMPLED) == 0] for i in first]
+                flat = np.concatenate([np.zeros(0, np.uint64), *taken])
+                own = np.repeat(first.astype(np.uint16), [len(t) for t in taken])
+                grams, where, hits = np.unique(flat, return_index=True, return_counts=True)
+                ats = np.where(hits == 1, own[where], np.uint16(0xFFFF)) if len(grams) else np.zeros(0, np.uint16)
+                tags = (grams >> np.uint64(32 - bits)).astype(np.uint32)
+                buckets = (grams >> np.uint64(40)).astype(np.int64) >> (24 - bits)
+                found, begin = np.unique(buckets, return_index=True)
+                parts = list(zip(begin, [*begin[1:], len(grams)], strict=True)) if len(found) else []
+                size = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        none(size, batch.schema.field(0).type), *(none(size, pa.int64()) for _ in range(3)),
+                        pa.array(np.full(size, label)), none(size, pa.int32()), pa.array(found.astype(np.int32)),
+                        pa.array([tags[a:b].tobytes() for a, b in parts], pa.binary()),
+                        pa.array([ats[a:b].tobytes() for a, b in parts], pa.binary()),
+                    ],
+                    names=names,
+                )
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    mark = F.xxhash64(docs[text])
+    return docs.select(docs[key].alias("key"), mark.alias("mark"), docs[text].alias("text")).mapInArrow(run, schema)
+
+
+def alone(packed: DataFrame) -> DataFrame:
+    """Rows (batch, bucket, tags, ats) to (batch, at, lone): how many sampled
+    n-grams of a document stand in no other."""
+
+    def count(table_: pa.Table) -> pa.Table:
+        tags = np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in table_.column("tags").combine_chunks()])
+        ats = np.concatenate([np.frombuffer(t.as_buffer(), np.uint16) for t in table_.column("ats").combine_chunks()])
+        labels = table_.column("batch").to_numpy()
+        rows = np.repeat(np.arange(len(labels)), pc.binary_length(table_.column("tags")).to_numpy() // 4)
+        order = np.argsort(tags, kind="stable")
+        ordered = tags[order]
+        same = np.concatenate([[False], ordered[1:] == ordered[:-1], [False]])
+        single = order[~(same[1:] | same[:-1])]
+        single = single[ats[single] != 0xFFFF]
+        codes, counts = np.unique(rows[single] << 16 | ats[single], return_counts=True)
+        found, begin = np.unique(codes >> 16, return_index=True)
+        parts = list(zip(begin, [*begin[1:], len(codes)], strict=True)) if len(found) else []
+        return pa.table(
+            {
+                "batch": pa.array(labels[found]),
+                "ats": pa.array([(codes[a:b] & 0xFFFF).astype(np.uint16).tobytes() for a, b in parts], pa.binary()),
+                "lone": pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in parts], pa.binary()),
+            }
+        )
 
+    def total(table_: pa.Table) -> pa.Table:
+        lone = np.zeros(1 << 16, np.int64)
+        for ats, counts in zip(table_.column("ats").combine_chunks(), table_.column("lone").combine_chunks(), strict=True):
+            lone[np.frombuffer(ats.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        at = np.flatnonzero(lone)
+        return pa.table({"batch": pa.array(np.full(len(at), table_.column("batch")[0].as_py())), "at": pa.array(at.astype(np.int32)), "lone": pa.array(lone[at])})
 
-def prefixes(docs: DataFrame, text: str, hot, n: int, percent: int) -> DataFrame:
-    """Rows (gram, sid, n, at, last): the first n-grams of each set in the fixed
-    order, their places, and the order key of the last of them."""
+    return (
+        packed.groupBy("bucket").applyInArrow(count, "batch long, ats binary, lone binary")
+        .groupBy("batch").applyInArrow(total, "batch long, at int, lone long")
+    )
+
+
+def frequent(sets: DataFrame, bits: int) -> DataFrame:
+    """Rows (gram, hits) of the n-grams that stand in more than ``FEW`` sets."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PACKED):
+                flat = np.concatenate([np.frombuffer(g.as_buffer(), np.uint64) for g in whole.column(0).slice(start, PACKED)])
+                grams, hits = np.unique(flat, return_counts=True)
+                found, begin = np.unique((grams >> np.uint64(40)).astype(np.int64) >> (24 - bits), return_index=True)
+                parts = list(zip(begin, [*begin[1:], len(grams)], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.astype(np.int32)),
+                        pa.array([grams[a:b].tobytes() for a, b in parts], pa.binary()),
+                        pa.array([hits[a:b].astype(np.uint16).tobytes() for a, b in parts], pa.binary()),
+                    ],
+                    names=["bucket", "grams", "hits"],
+                )
+
+    def count(table_: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(g.as_buffer(), np.uint64) for g in table_.column("grams").combine_chunks()])
+        hits = np.concatenate([np.frombuffer(h.as_buffer(), np.uint16) for h in table_.column("hits").combine_chunks()])
+        order = np.argsort(grams, kind="stable")
+        grams, begin = np.unique(grams[order], return_index=True)
+        sums = np.add.reduceat(hits[order].astype(np.int64), begin)
+        often = sums > FEW
+        return pa.table({"gram": pa.array(grams[often].view(np.int64)), "hits": pa.array(sums[often])})
+
+    return sets.select("grams").mapInArrow(deal, "bucket int, grams binary, hits binary").groupBy("bucket").applyInArrow(count, "gram long, hits long")
+
+
+def prefixes(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, sid, n, at, far, near) of sets (sid, grams): the first n-grams of
+    each set in the fixed order (rows ``late`` (gram, hits) last, by hits), their
+    places, and the order key (far, near) of the last of them.
+
+    The late n-grams are broadcast while they are few; else every n-gram of the
+    sets meets its count by a join and each set is ordered by a window."""
+    late = late.transform(durable)
+    if late.count() > BROADCAST_KEYS:
+        return _prefixes_joined(sets, late, percent)
+    rows = late.orderBy("gram").toArrow()
+    hot = sets.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows["hits"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = hot.value  # sorted by hash, with their ranks
+        known, hits = hot.value
         for batch in batches:
-            done: set[int] = set()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for grams in shingle_sets(batch.column(0), n):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for sid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.frombuffer(packed.as_buffer(), np.int64)
                 size = len(grams)
-                sid = set_id(grams)
-                if not size or sid in done:
-                    continue
-                done.add(sid)
-                order = grams >> np.uint64(1)
-                if len(late[0]):
-                    where = np.minimum(np.searchsorted(late[0], grams), len(late[0]) - 1)
-                    found = late[0][where] == grams
-                    order = np.where(found, np.uint64(1 << 63) + late[1][where], order)
+                far = np.zeros(size, np.int64)
+                if len(known):
+                    where = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    far = np.where(known[where] == grams, hits[where], 0)
                 length = prefix_length(size, percent)
-                first = np.argsort(order, kind="stable")[:length]
-                out[0].append(grams[first].view(np.int64))
-                out[1].append(np.full(length, sid, np.int64))
-                out[2].append(np.full(length, size, np.int64))
-                out[3].append(np.arange(length, dtype=np.int64))
-                out[4].append(np.full(length, (order[first[-1]] ^ np.uint64(1 << 63)).view(np.int64), np.int64))
+                first = np.lexsort((grams, far))[:length]
+                columns = (grams[first], sid, size, np.arange(length), far[first[-1]], grams[first[-1]])
+                for c, values in zip(out, columns, strict=True):
+                    c.append(np.broadcast_to(np.asarray(values, np.int64), length))
             columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
-            for start in range(0, max(1, len(columns[0])), 100_000):
+            for start in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 100_000]) for c in columns], names=["gram", "sid", "n", "at", "far", "near"])
+
+    return sets.select("sid", "grams").mapInArrow(run, "gram long, sid long, n long, at long, far long, near long")
+
+
+def _prefixes_joined(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.frombuffer(packed.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[start : start + 100_000]) for c in columns], names=["gram", "sid", "n", "at", "last"]
+                    [pa.array(grams), *(pa.array(np.full(len(grams), v, np.int64)) for v in (sid, len(grams)))], names=["gram", "sid", "n"]
                 )
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "gram long, sid long, n long, at long, last long")
+    in_order = Window.partitionBy("sid").orderBy("far", "gram")
+    placed = (
+        sets.select("sid", "grams").mapInArrow(run, "gram long, sid long, n long")
+        .join(late, "gram", "left")
+        .select("gram", "sid", "n", F.coalesce("hits", F.lit(0)).alias("far"))
+        .withColumn("at", F.row_number().over(in_order).cast("long") - 1)
+        .where(F.col("at") < prefix_length_of(F.col("n"), percent))
+    )
+    last = F.max(F.struct("far", "gram")).over(Window.partitionBy("sid"))
+    return placed.withColumn("end", last).select("gram", "sid", "n", "at", F.col("end.far").alias("far"), F.col("end.gram").alias("near"))
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, owners: DataFrame, n: int) -> DataFrame:
-    """(sid, grams) of the documents that ``owners`` (key) names; the keys are
-    broadcast while they are few, else the texts are joined by shuffle."""
+    """(sid, grams) of the documents that ``owners`` (key) names, without empty sets;
+    the keys are broadcast while they are few, else the texts are joined by shuffle."""
     owners = owners.select("key").transform(durable)
     if owners.count() <= BROADCAST_KEYS:
         owners = F.broadcast(owners)
@@ -195,7 +322,7 @@ def _sets_of(docs: DataFrame, key: str, text: str, owners: DataFrame, n: int) ->
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(0), n)
+            sets = [s for s in shingle_sets(batch.column(0), n) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["sid", "grams"],
@@ -239,58 +366,85 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left = new
 
 
-def bundled_links(bundles: DataFrame, docs: DataFrame, key: str, text: str, owners: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (x, y) that connect what the true links within each bundle (node,
-    root) connect: no more than a forest for each two sides of a bundle."""
-    sizes = bundles.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
-    sided = bundles.join(sizes, "root").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    sided = sided.transform(durable)
-    sets = _sets_of(docs, key, text, owners.join(sided.select(F.col("node").alias("sid")), "sid", "left_semi"), n)
-    # Bundles of one side share tasks; each two sides of a larger one are a task.
-    tasks = max(1, sizes.count() // 256)
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    dealt = sided.join(sets, F.col("node") == F.col("sid")).select(
-        "root",
-        "sid",
-        "grams",
-        "side",
-        F.when(F.col("sides") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"),
-        other.alias("other"),
-    ).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+def _product(task: DataFrame, percent: int) -> DataFrame:
+    """Rows (task, i, j, root, sid, own, grams) to links (x, y): in each group the
+    sets with ``own`` meet those without it that have the same root, or, where all
+    have it, each other.  No more than a forest comes of each product."""
 
     def product(table_: pa.Table) -> pa.Table:
-        roots = table_.column("root").to_numpy()
-        sides = table_.column("side").to_numpy()
-        ids = table_.column("sid").to_numpy()
+        roots, ids = table_.column("root").to_numpy(), table_.column("sid").to_numpy()
+        own = table_.column("own").to_numpy(zero_copy_only=False)
         sets_ = [np.frombuffer(g.as_buffer(), np.uint64) for g in table_.column("grams").combine_chunks()]
-        i, j = table_.column("i")[0].as_py(), table_.column("j")[0].as_py()
         out: list[tuple[int, int]] = []
         order = np.argsort(roots, kind="stable")
         for members in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-            a = [k for k in members if sides[k] == i]
-            b = [k for k in members if sides[k] == j]
-            if not a or not b:
+            a = members[own[members]]
+            b = members[~own[members]] if not own[members].all() else a
+            if not len(a):
                 continue
             left, right = spanning(dense_links([sets_[k] for k in a], [sets_[k] for k in b], percent))
             out += [(int(ids[a[k]]), int(ids[a[r]])) for k, r in enumerate(left) if r != k]
             out += [(int(ids[b[k]]), int(ids[a[r]])) for k, r in enumerate(right) if r < len(a) and ids[b[k]] != ids[a[r]]]
         return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
-    return (
-        dealt.select("task", "i", "j", "root", "side", "sid", "grams")
-        .groupBy("task", "i", "j")
-        .applyInArrow(product, "x long, y long")
-        .distinct()
-        .transform(durable)
+    return task.select("task", "i", "j", "root", "sid", "own", "grams").groupBy("task", "i", "j").applyInArrow(product, "x long, y long")
+
+
+def bundled_links(bundles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that connect what the true links within each bundle (node,
+    root) connect."""
+    held = bundles.join(sets, F.col("node") == F.col("sid")).select("root", "sid", "grams")
+    sizes = bundles.groupBy("root").agg(F.count("*").alias("m")).transform(durable)
+    zero = F.lit(0)
+    small, large = sizes.where(F.col("m") <= SIDE), sizes.where(F.col("m") > SIDE)
+    # Small bundles share tasks, packed to about the work of one full side.
+    tasks = max(1, small.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), zero)).first()[0] // (SIDE * SIDE))
+    links = _product(
+        held.join(small.select("root"), "root").select(
+            F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), zero.alias("i"), zero.alias("j"), "root", "sid", F.lit(True).alias("own"), "grams"
+        ),
+        percent,
+    )
+    if large.isEmpty():
+        return links.distinct().transform(durable)
+
+    sides = F.ceil(F.col("m") / SIDE).cast("int")
+    side_of = lambda m: F.pmod(F.xxhash64(F.lit(3), "sid"), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    big = held.join(F.broadcast(large.withColumn("sides", sides)) if large.count() <= BROADCAST_KEYS else large.withColumn("sides", sides), "root")
+    big = big.select("root", "sid", "grams", "sides").transform(durable)
+    # Every member meets the pivots.
+    by_hash = Window.partitionBy("root").orderBy(F.xxhash64(F.lit(4), "sid"), "sid")
+    pivots = big.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= PIVOTS)
+    pick = lambda i, j, own: (F.col("root").alias("task"), i.alias("i"), j.alias("j"), "root", "sid", F.lit(own).alias("own"), "grams")
+    first = _product(
+        big.select(*pick(zero, side_of(F.col("sides")), False)).unionByName(
+            pivots.select("root", "sid", "grams", every(F.col("sides")).alias("side")).select(*pick(zero, F.col("side"), True))
+        ),
+        percent,
     )
+    links = links.unionByName(first).distinct().transform(durable)
+
+    # Those outside the largest component of their bundle meet all its members.
+    placed = _rooted(big.select(F.col("root").alias("bundle"), "sid"), components(links), "sid", "part")
+    parts = placed.groupBy("bundle", "part").agg(F.count("*").alias("c")).transform(durable)
+    main = parts.groupBy("bundle").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("m"))
+    outer = main.select("bundle", F.col("main.part").alias("main"), F.ceil((F.col("m") - F.col("main.c")) / SIDE).cast("int").alias("outer")).where("outer > 0")
+    rest = placed.join(outer, "bundle").where("part <> main").select("sid", "outer").transform(durable)
+    if rest.isEmpty():
+        return links
+    tiles = big.join(outer.select(F.col("bundle").alias("root"), "outer"), "root")
+    second = _product(
+        tiles.select("root", "sid", "grams", side_of(F.col("sides")).alias("side"), every(F.col("outer")).alias("other")).select(*pick(F.col("other"), F.col("side"), False)).unionByName(
+            big.join(rest, "sid").select("root", "sid", "grams", side_of(F.col("outer")).alias("other"), every(F.col("sides")).alias("side")).select(*pick(F.col("other"), F.col("side"), True))
+        ),
+        percent,
+    )
+    return links.unionByName(second.distinct().transform(durable))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) of set ids those whose whole sets reach the threshold.
-    holders: (sid, key), one document for each set."""
-    pairs = pairs.transform(durable)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    sets = _sets_of(docs, key, text, holders.join(wanted, "sid"), n)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y) of set ids those whose whole sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +458,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, holders: Da
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return (
-        pairs.join(sets.withColumnsRenamed({"sid": "x", "grams": "a"}), "x")
-        .join(sets.withColumnsRenamed({"sid": "y", "grams": "b"}), "y")
+        pairs.join(sets.select(F.col("sid").alias("x"), F.col("grams").alias("a")), "x")
+        .join(sets.select(F.col("sid").alias("y"), F.col("grams").alias("b")), "y")
         .select("x", "y", "a", "b")
         .mapInArrow(compare, "x long, y long")
         .transform(durable)
@@ -342,110 +496,94 @@ def _rooted(df: DataFrame, roots: DataFrame, by: str, into: str) -> DataFrame:
     ).drop("__root")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = 85) -> DataFrame:
-    """Rows (key, n_shingles, component): the component is its smallest key."""
-    spark = docs.sparkSession
-    described = describe(docs, key, text, n).transform(durable)
-    nodes = described.where("gram is null and n > 0")
-    holders = nodes.where("key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n").alias("n"))
-    frequent = (
-        described.where("gram is not null").groupBy("gram").agg(F.sum("hits").alias("hits"))
-        .orderBy(F.desc("hits"), "gram").limit(HOT).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
-    )
-    by_hash = np.argsort(frequent)
-    # The most frequent comes last of all.
-    ranks = (len(frequent) - 1 - by_hash).astype(np.uint64)
-    hot = spark.sparkContext.broadcast((frequent[by_hash], ranks))
-
-    from pyspark.sql import Window
-
-    alike = Window.partitionBy("gram")
-    first = (
-        prefixes(docs.where(docs[key].isNotNull()), text, hot, n, percent)
-        .withColumn("other", F.min("sid").over(alike) != F.max("sid").over(alike))
-        .where("other")
-        .drop("other")
-        .dropDuplicates(["gram", "sid"])
-        .transform(durable)
-    )
-
-    # Bundles: nodes that meet one of a few members of a block in most of their
-    # prefix. The whole product over a bundle is taken in dense blocks.
-    within = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    owners = holders.select("sid", "key")
-    pivots = first.groupBy("gram").agg(
-        F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid", "n")) for k in range(PIVOTS)]).alias("ps")
-    )
-    stars = (
-        first.select("gram", "sid", "n")
-        .join(pivots, "gram")
-        .select("sid", "n", F.explode(F.array_distinct(F.transform("ps", lambda p: F.struct(p["sid"].alias("sid"), p["n"].alias("n"))))).alias("p"))
-        .where((F.col("sid") != F.col("p.sid")) & within(F.col("n"), F.col("p.n")))
-        .groupBy(F.least("sid", "p.sid").alias("x"), F.greatest("sid", "p.sid").alias("y"))
-        .agg(F.count("*").alias("met"), F.min("n").alias("n"))
-        .where(F.col("met") * STAR_SHARE >= prefix_length_of(F.col("n"), percent))
-        .select("x", "y")
-    )
-    bundles = components(stars)
+def links_of(sets: DataFrame, bits: int, percent: int) -> DataFrame:
+    """Links (x, y) that connect what all links between the sets (sid, grams)
+    connect."""
+    first = prefixes(sets, frequent(sets, bits), percent).transform(durable)
+    sizes = first.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("least")).where("m > 1").transform(durable)
+    blocks = first.join(sizes, "gram")
+    # Bundles: nodes that meet in a block too large for pairs.
+    bundles = components(blocks.where(F.col("m") > FEW).select(F.col("sid").alias("x"), F.col("least").alias("y")))
     bundles = bundles.unionByName(bundles.select(F.col("root").alias("node"), "root").distinct()).transform(durable)
-    links = bundled_links(bundles, docs, key, text, owners, n, percent)
-    roots = components(links)
-    placed = _rooted(first, roots, "sid", "root")
-    placed = placed.join(bundles.withColumnsRenamed({"node": "sid", "root": "bundle"}), "sid", "left").transform(durable)
+    links = bundled_links(bundles, sets, percent)
 
-    # The product over nodes of different components.
-    mixed = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
+    # The product over nodes of different bundles, which meet in small blocks only.
+    placed = _rooted(blocks.where(F.col("m") <= FEW), bundles, "sid", "bundle")
+    mixed = placed.groupBy("gram").agg(F.min("bundle").alias("a"), F.max("bundle").alias("b")).where("a <> b").select("gram")
     open_blocks = placed.join(mixed, "gram", "left_semi")
-    left = open_blocks.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "at", "last", "root", "bundle")])
-    right = open_blocks.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("sid", "n", "at", "last", "root", "bundle")])
+    parts = ("sid", "n", "at", "far", "near", "bundle")
+    left = open_blocks.select("gram", *[F.col(c).alias(f"x_{c}") for c in parts])
+    right = open_blocks.select("gram", *[F.col(c).alias(f"y_{c}") for c in parts])
     col = F.col
     need = F.ceil((col("x_n") + col("y_n")) * percent / (100 + percent))
     in_order = (col("x_n") < col("y_n")) | ((col("x_n") == col("y_n")) & (col("x_sid") < col("y_sid")))
     reach = F.least(col("x_at"), col("y_at")) + F.least(col("x_n") - col("x_at"), col("y_n") - col("y_at"))
     met = left.join(
         right,
-        (left["gram"] == right["gram"])
-        & (col("x_root") != col("y_root"))
-        & (F.coalesce("x_bundle", "x_sid") != F.coalesce("y_bundle", "y_sid"))
-        & in_order
-        & (col("x_n") * 100 >= col("y_n") * percent)
-        & (reach >= need),
+        (left["gram"] == right["gram"]) & (col("x_bundle") != col("y_bundle")) & in_order & (col("x_n") * 100 >= col("y_n") * percent) & (reach >= need),
     )
-    counted = met.groupBy("x_sid", "y_sid", "x_n", "y_n", "x_last", "y_last").agg(F.count("*").alias("shared"))
+    ends = [f"{side}_{c}" for side in "xy" for c in ("sid", "n", "far", "near")]
+    counted = met.groupBy(*ends).agg(F.count("*").alias("shared"))
     # Beyond the place where the shorter-reaching prefix ends, no more than the rest of its set is shared.
-    rest = F.when(col("x_last") <= col("y_last"), col("x_n") - prefix_length_of(col("x_n"), percent)).otherwise(col("y_n") - prefix_length_of(col("y_n"), percent))
+    x_first = F.struct(col("x_far"), col("x_near")) <= F.struct(col("y_far").alias("x_far"), col("y_near").alias("x_near"))
+    rest = F.when(x_first, col("x_n") - prefix_length_of(col("x_n"), percent)).otherwise(col("y_n") - prefix_length_of(col("y_n"), percent))
     pairs = counted.where(col("shared") + rest >= need).select(col("x_sid").alias("x"), col("y_sid").alias("y"))
-    # A bundle's own pairs are all decided already.
-    more = verified(pairs, docs, key, text, owners, n, percent)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    return links.unionByName(verified(pairs.transform(durable), sets, percent))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = 85) -> DataFrame:
+    """Rows (key, mark, n_shingles, component, chosen): the component is its
+    smallest key, chosen tells the row of that key whose mark is smallest."""
+    bits = _bits(docs.count())
+    described = describe(docs, key, text, n, bits).transform(durable)
+    rows = described.where("tags is null").select("key", "mark", "n", "sid", "batch", "at")
+    nodes = rows.where("n > 0 and key is not null")
+    holders = nodes.groupBy("sid").agg(F.min(F.struct("key", "mark")).alias("least"))
+    lone = alone(described.where("tags is not null").select("batch", "bucket", "tags", "ats"))
+    open_sids = (
+        nodes.join(lone, ["batch", "at"], "left")
+        .where(F.coalesce("lone", F.lit(0)) < prefix_length_of(F.col("n"), percent))
+        .select("sid").distinct()
+    )
+    owners = holders.join(open_sids, "sid").select("sid", F.col("least.key").alias("key"))
+    sets = _sets_of(docs, key, text, owners, n).transform(durable)
+    roots = components(links_of(sets, bits, percent))
 
     # The smallest key of each component, through the sets' smallest keys.
     owned = _rooted(holders, roots, "sid", "root").transform(durable)
-    smallest = owned.groupBy("root").agg(F.min("key").alias("component"))
-    by_set = owned.join(smallest, "root").select("sid", "component")
-    all_rows = described.where("gram is null").select("key", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sid")).alias("sid"))
+    smallest = owned.groupBy("root").agg(F.min("least").alias("first"))
+    by_set = owned.join(smallest, "root").select("sid", "first")
+    all_rows = rows.select("key", "mark", "n", F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("sid")).alias("sid"))
     return all_rows.join(by_set, "sid", "left").select(
-        "key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component")
+        "key",
+        "mark",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("first.key", "key").alias("component"),
+        (F.col("first").isNull() | ((F.col("first.key") == F.col("key")) & (F.col("first.mark") == F.col("mark")))).alias("chosen"),
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = 85) -> DataFrame:
-    """One document of each component: the rows of its smallest key, of which one
-    stays where rows repeat.  Rows without n-grams or key all stay."""
-    found = classes(docs, key, text, n, percent)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("key") != F.col("component"))).select("key").distinct().transform(durable)
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[key] == gone["key"], "left_anti")
-    # Keys that stand in several rows are rare; only those rows are told apart.
-    again = found.where("n_shingles > 0 and key is not null").groupBy("key").count().where("count > 1").select("key").transform(durable)
+    """One document of each component: that of its smallest key, and of several
+    texts under this key one; one row of it where rows repeat.  Rows without
+    n-grams or key all stay."""
+    found = classes(docs, key, text, n, percent).transform(durable)
+    inside = found.where("n_shingles > 0 and key is not null")
+    gone = inside.where("not chosen").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct().transform(durable)
+    again = inside.where("chosen").groupBy(F.col("key").alias("__key"), F.col("mark").alias("__mark")).count().where("count > 1").drop("count").transform(durable)
+    is_ = lambda side: (docs[key] == side["__key"]) & (F.xxhash64(docs[text]) == side["__mark"])
+    sized = lambda side: F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
+    gone = sized(gone)
+    kept = docs.join(gone, is_(gone), "left_anti")
+    # Rows that repeat are rare; only they are told apart.
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept[key] == again["key"], "left_anti")
-    several = kept.join(again, kept[key] == again["key"], "left_semi")
-    return once.unionByName(several.dropDuplicates([key]))
+    again = sized(again)
+    once = kept.join(again, is_(again), "left_anti")
+    several = kept.join(again, is_(again), "left_semi")
+    return once.unionByName(several.dropDuplicates([key, text]))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).withColumnsRenamed({"key": "doc_id", "component": "component_id"})
+    found = classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

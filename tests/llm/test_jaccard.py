@@ -73,6 +73,22 @@ def test_against_all_pairs(spark, seed):
     assert all(got[i]["n_shingles"] == len(sets_of(t)) for i, t in rows)
 
 
+@pytest.mark.parametrize("side, pivots, few, broadcast", [(8, 2, 3, 0), (8, 1, 16, 1000), (4, 3, 1, 0)])
+def test_large_bundles_and_joined_order(spark, monkeypatch, side, pivots, few, broadcast):
+    for name, value in (("SIDE", side), ("PIVOTS", pivots), ("FEW", few), ("BROADCAST_KEYS", broadcast)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["key"]: r["component"] for r in jaccard.classes(docs).collect()} == brute(rows)
+
+
+def test_one_key_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, "c"), (3, "d"), (4, b + " x")]
+    kept = sorted(map(tuple, jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept == [(1, a), (2, b), (3, "c"), (3, "d")]
+
+
 def test_keep_one_and_odd_rows(spark):
     text = " ".join(f"v{k}" for k in range(30))
     rows = [(3, text, 1), (7, text, 1), (7, text, 1), (3, text, 1), (None, text, 1), (1, None, 1), (2, "", 1), (8, text + " x", 1), (9, "other", 1)]
