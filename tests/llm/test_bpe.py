@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -35,7 +36,22 @@ def test_digests(spark, docs_of):
 def test_tables_stay_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 50)
     words = bpe.Vocabulary(bpe.default_path())
-    given = " ".join(f"word{k % 97}" for k in range(2000))
     library = Tokenizer.from_file(bpe.default_path())
-    assert words.encode(given)[0] == ",".join(map(str, library.encode(given, add_special_tokens=False).ids))
-    assert len(words.following) <= 50 and len(words.following.older) <= 50
+    for base in range(0, 60, 7):
+        given = " ".join(f"word{(base + k) % 97}s" for k in range(40))
+        assert words.encode(pa.array([given]))[0][0].as_py() == ",".join(map(str, library.encode(given, add_special_tokens=False).ids))
+        assert len(words.known.pieces) <= 90 and len(words.pair_codes) <= 90
+
+
+def test_parted_and_whole_texts():
+    """Texts of runs parted by blanks, beside texts with white space at either side of a blank."""
+    rng = random.Random(5)
+    words = ["a", "The", "don't", "x\n", "\ny", "1\n2", "", "\t", "<|endoftext|>", "z<|endoftext|>", "\x1c", "\u2003q", "ß,", "9.9"]
+    given = [" ".join(rng.choices(words[: rng.choice((3, 6, 14))], k=rng.randint(0, 12))) for _ in range(3000)]
+    library = Tokenizer.from_file(bpe.default_path())
+    found = bpe.vocabulary(bpe.default_path())
+    for part in bpe.slices(pa.array(given), 500):
+        ids, raw = found.encode(part)
+        for t, i, r in zip(part.to_pylist(), ids.to_pylist(), raw.to_pylist(), strict=True):
+            wanted = library.encode(t, add_special_tokens=False).ids
+            assert i == ",".join(map(str, wanted)) and r.decode() == library.decode(wanted, skip_special_tokens=False)
