@@ -3,8 +3,9 @@
 A convolutional text classifier.  Words are hashed twice into a table of
 embeddings; filters of several widths slide over a whole text, max pooling keeps
 each filter's strongest answer and a logistic layer weighs them.  It is trained
-in numpy on a bounded sample of labelled texts (``SAMPLE``, least hashes of the
-key first), of which only word hashes leave the workers.  The first channel of
+in numpy on a bounded sample of whole labelled texts (``SAMPLE`` texts and about
+``SAMPLE_CHARS`` characters, least hashes of the key first), of which only 32-bit
+word hashes leave the workers.  The first channel of
 the embeddings starts from the words' log-odds in that sample and the rest at
 random, so the filters begin near words that tell the labels apart.
 
@@ -26,14 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis.llm.common import table
 from plebis.llm.quality import remainder
 
-#: Labelled texts that the network is fitted on, at most.
-SAMPLE = 12_000
+#: Labelled texts that the network is fitted on, at most, and the characters of
+#: those before the last of them.
+SAMPLE, SAMPLE_CHARS = 12_000, 64_000_000
+#: Texts that are scored together.
+TOGETHER = 64
 BUCKETS, CHANNELS, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 EPOCHS, RATE, DECAY, SEED = 4, 0.05, 1e-4, 10
 PADDING = max(WIDTHS) - 1
@@ -48,16 +52,22 @@ LANGUAGES = {
 
 def _mixed(words: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = words ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = words.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
+def _hash(word: str) -> int:
+    """32 bits, never 0."""
+    import xxhash
+
+    return xxhash.xxh32_intdigest(word) | 1
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words (runs of letters) and where each
+    """32-bit hashes of all lower-cased words (runs of letters) and where each
     text's words begin and end among them."""
-    import xxhash
 
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
     lists = pc.split_pattern_regex(lower, r"[^\pL]+")
@@ -65,9 +75,9 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten()
     coded = flat.dictionary_encode()
     hashes = np.fromiter(
-        (xxhash.xxh3_64_intdigest(w) if w else 0 for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
+        (_hash(w) if w else 0 for w in coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary)
     )
-    words = hashes[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
+    words = hashes[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint32)
     kept = words != 0
     before = np.concatenate([[0], np.cumsum(kept)])
     return words[kept], before[offsets - offsets[0]]
@@ -75,11 +85,9 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def language_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Number of the language whose function words are most frequent."""
-    import xxhash
-
     counts = []
     for listed in LANGUAGES.values():
-        hits = np.isin(words, np.array([xxhash.xxh3_64_intdigest(w) for w in listed.split()], np.uint64))
+        hits = np.isin(words, np.array([_hash(w) for w in listed.split()], np.uint32))
         total = np.concatenate([[0], np.cumsum(hits)])
         counts.append(total[bounds[1:]] - total[bounds[:-1]])
     return np.argmax(np.array(counts), axis=0)
@@ -128,17 +136,19 @@ class Network:
             total += np.maximum(pooled, 0) @ self.out[k * FILTERS : (k + 1) * FILTERS]
         return total
 
-    def train(self, words: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> None:
-        """Stochastic gradient steps over small groups of texts.  Max pooling lets
-        through one window a filter and text, so only those are touched."""
-        n = np.diff(bounds)
+    def train(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, y: np.ndarray) -> None:
+        """Stochastic gradient steps over small groups of texts, given by where each
+        begins and ends among the words.  Max pooling lets through one window a
+        filter and text, so only those are touched."""
         # A word counts once a text; its odds tell how it is shared by the labels.
-        once = [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        positive = np.repeat(y, [len(w) for w in once]).astype(np.float32)
-        distinct, inverse = np.unique(np.concatenate(once), return_inverse=True)
-        with_1 = np.bincount(inverse, positive, len(distinct)).astype(np.float32)
-        with_0 = np.bincount(inverse, minlength=len(distinct)).astype(np.float32) - with_1
-        del once, inverse, positive
+        once = np.concatenate([np.zeros(0, np.uint64), *(np.unique(words[a:b]).astype(np.uint64) << np.uint64(1) | np.uint64(t) for a, b, t in zip(begin, end, y, strict=True))])
+        once.sort()
+        first = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]]))
+        counts = np.diff(np.append(first, len(once)))
+        distinct, inverse = np.unique(once[first] >> np.uint64(1), return_inverse=True)
+        toxic = (once[first] & np.uint64(1)).astype(bool)
+        with_1, with_0 = (np.bincount(inverse[own], counts[own], len(distinct)).astype(np.float32) for own in (toxic, ~toxic))
+        del once, inverse, first, counts, toxic
         prior = 3.0
         share = y.mean()
         odds = np.log((with_1 + prior * share) / (len(y) * share + prior)) - np.log(
@@ -156,8 +166,8 @@ class Network:
         for _ in range(EPOCHS):
             order = rng.permutation(len(y))
             for group in np.array_split(order, max(1, len(y) // 32)):
-                own = np.concatenate([words[bounds[d] : bounds[d + 1]] for d in group])
-                ends = np.concatenate([[0], np.cumsum(n[group])])
+                own = np.concatenate([words[begin[d] : end[d]] for d in group])
+                ends = np.concatenate([[0], np.cumsum((end - begin)[group])])
                 self._step(own, ends, y[group], squares, seen)
 
     def _step(self, words, bounds, y, squares, seen) -> None:
@@ -228,14 +238,29 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best[np.argmax(gaps[best])]])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, teach: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` labelled texts, of which one in five calibrates."""
+def learn(
+    docs: DataFrame, labels: DataFrame, label: str, teach: Column, key: str = "doc_id", text: str = "text",
+    sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
+) -> Network:
+    """Fit on at most ``sample`` labelled texts, of which one in five calibrates; of
+    them in order as many as hold ``sample_chars`` characters, and the one that
+    passes this bound."""
     known = (
         labels.where(teach & labels[label].isNotNull())
         .select(labels[key].alias("k"), labels[label].cast("double").alias("y"))
         .orderBy(F.xxhash64("k"), "k", "y")
         .limit(sample)
     )
+    texts = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    # At most ``sample`` labels, and their texts' lengths, meet in one window.
+    before = Window.orderBy(F.xxhash64("k"), "k", "y", "chars").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = (
+        texts.select("key", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+        .join(F.broadcast(known), F.col("key") == F.col("k"))
+        .select("k", "y", "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("before"))
+        .where(F.col("before") < sample_chars)
+        .select("k", "y").distinct()
+    )
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,26 +268,29 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, teach: Column, key: st
             packed = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["k", "y", "words"])
 
-    side = F.broadcast(known)  # at most ``sample`` rows
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(side, F.col("key") == F.col("k"))
-    found = texts.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, words binary").toArrow()
+    taught = texts.join(F.broadcast(chosen), F.col("key") == F.col("k"))  # at most ``sample`` rows
+    found = taught.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, words binary").toArrow()
     # Rows come in any order; the same rows give the same network.
-    order = sorted(range(found.num_rows), key=lambda i: (found["k"][i].as_py(), found["y"][i].as_py(), found["words"][i].as_buffer().size))
-    y = found["y"].to_numpy()[order]
+    found = found.append_column("n", pc.binary_length(found["words"])).sort_by([("k", "ascending"), ("y", "ascending"), ("n", "ascending"), ("words", "ascending")])
+    y = found["y"].to_numpy()
     model = Network()
     if not len(y) or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    own = [np.frombuffer(found["words"][i].as_buffer(), np.uint64) for i in order]
+    end = np.cumsum(found["n"].to_numpy().astype(np.int64)) // 4
+    begin = np.concatenate([[0], end[:-1]])
+    words = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(w.as_buffer(), np.uint32) for w in found["words"])])
+    del found
+    pa.default_memory_pool().release_unused()
     tune = np.arange(len(y)) % 5 == 0
-
-    def some(which: np.ndarray):
-        chosen = [own[i] for i in np.flatnonzero(which)]
-        return np.concatenate([np.zeros(0, np.uint64), *chosen]), np.concatenate([[0], np.cumsum([len(c) for c in chosen])]).astype(np.int64), y[which]
-
-    model.train(*some(~tune))
-    words, bounds, target = some(tune)
-    model.calibrate(model.logits(words, bounds), target, language_of(words, bounds))
+    model.train(words, begin[~tune], end[~tune], y[~tune])
+    logits, languages = [], []
+    for at in np.array_split(np.flatnonzero(tune), -(-int(tune.sum()) // TOGETHER)):
+        own = np.concatenate([words[begin[d] : end[d]] for d in at])
+        bounds = np.concatenate([[0], np.cumsum((end - begin)[at])])
+        logits.append(model.logits(own, bounds))
+        languages.append(language_of(own, bounds))
+    model.calibrate(np.concatenate(logits), y[tune], np.concatenate(languages))
     return model
 
 
@@ -279,8 +307,8 @@ def apply(docs: DataFrame, model: Network, text: str = "text", into: str = "scor
         for batch in batches:
             scores = []
             texts = batch.column(nth)
-            for at in range(0, len(texts), 256):
-                scores.append(shared.value.score(*hashed_words(texts.slice(at, 256))))
+            for at in range(0, len(texts), TOGETHER):
+                scores.append(shared.value.score(*hashed_words(texts.slice(at, TOGETHER))))
             made = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, into])
 
