@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from plebis.llm.quality import remainder
 
 #: Labelled texts that the network is fitted on, at most, and the characters of
 #: those before the last of them.
-SAMPLE, SAMPLE_CHARS = 12_000, 64_000_000
+SAMPLE, SAMPLE_CHARS = 12_000, 24_000_000
 #: Texts that are scored together.
 TOGETHER = 64
 BUCKETS, CHANNELS, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
@@ -60,8 +61,6 @@ def _mixed(words: np.ndarray, seed: int) -> np.ndarray:
 
 def _hash(word: str) -> int:
     """32 bits, never 0."""
-    import xxhash
-
     return xxhash.xxh32_intdigest(word) | 1
 
 
@@ -93,6 +92,15 @@ def language_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.argmax(np.array(counts), axis=0)
 
 
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of all sets and how many sets hold each."""
+    flat = np.concatenate([np.zeros(0, np.uint32), *sets])
+    sets.clear()
+    flat.sort()
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+    return flat[first], np.diff(np.append(first, len(flat))).astype(np.float32)
+
+
 class Network:
     def __init__(self):
         rng = np.random.default_rng(SEED)
@@ -141,14 +149,12 @@ class Network:
         begins and ends among the words.  Max pooling lets through one window a
         filter and text, so only those are touched."""
         # A word counts once a text; its odds tell how it is shared by the labels.
-        once = np.concatenate([np.zeros(0, np.uint64), *(np.unique(words[a:b]).astype(np.uint64) << np.uint64(1) | np.uint64(t) for a, b, t in zip(begin, end, y, strict=True))])
-        once.sort()
-        first = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1]]))
-        counts = np.diff(np.append(first, len(once)))
-        distinct, inverse = np.unique(once[first] >> np.uint64(1), return_inverse=True)
-        toxic = (once[first] & np.uint64(1)).astype(bool)
-        with_1, with_0 = (np.bincount(inverse[own], counts[own], len(distinct)).astype(np.float32) for own in (toxic, ~toxic))
-        del once, inverse, first, counts, toxic
+        toxic, clean = (_counted([np.unique(words[a:b]) for a, b, t in zip(begin, end, y, strict=True) if t == label]) for label in (1, 0))
+        distinct = np.union1d(toxic[0], clean[0])
+        with_1, with_0 = (np.zeros(len(distinct), np.float32) for _ in range(2))
+        with_1[np.searchsorted(distinct, toxic[0])] = toxic[1]
+        with_0[np.searchsorted(distinct, clean[0])] = clean[1]
+        del toxic, clean
         prior = 3.0
         share = y.mean()
         odds = np.log((with_1 + prior * share) / (len(y) * share + prior)) - np.log(
@@ -266,21 +272,25 @@ def learn(
         for batch in batches:
             words, bounds = hashed_words(batch.column(2))
             packed = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["k", "y", "words"])
+            tied = pa.array([xxhash.xxh3_64_intdigest(p) for p in packed], pa.uint64()).cast(pa.int64(), safe=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tied, pa.array(packed, pa.binary())], names=["k", "y", "tie", "words"])
 
     taught = texts.join(F.broadcast(chosen), F.col("key") == F.col("k"))  # at most ``sample`` rows
-    found = taught.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, words binary").toArrow()
+    found = taught.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, tie long, words binary").toArrow()
     # Rows come in any order; the same rows give the same network.
-    found = found.append_column("n", pc.binary_length(found["words"])).sort_by([("k", "ascending"), ("y", "ascending"), ("n", "ascending"), ("words", "ascending")])
-    y = found["y"].to_numpy()
+    order = pc.sort_indices(found.select(["k", "y", "tie"]), [(c, "ascending") for c in ("k", "y", "tie")]).to_numpy()
+    y = found["y"].to_numpy()[order]
     model = Network()
     if not len(y) or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    end = np.cumsum(found["n"].to_numpy().astype(np.int64)) // 4
+    end = np.cumsum(pc.binary_length(found["words"]).to_numpy()[order].astype(np.int64)) // 4
     begin = np.concatenate([[0], end[:-1]])
-    words = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(w.as_buffer(), np.uint32) for w in found["words"])])
-    del found
+    words = np.empty(int(end[-1]), np.uint32)
+    column = found["words"].combine_chunks()
+    for k, (a, b) in enumerate(zip(begin, end, strict=True)):
+        words[a:b] = np.frombuffer(column[order[k]].as_buffer(), np.uint32)
+    del found, column
     pa.default_memory_pool().release_unused()
     tune = np.arange(len(y)) % 5 == 0
     model.train(words, begin[~tune], end[~tune], y[~tune])
