@@ -1,16 +1,21 @@
 """Operator 1: mixing sources to target weights.
 
 Every source is cut into blocks of documents by a hash.  A source's target in
-words becomes an exact quota of block draws (whole passes over the source, then
-blocks in permuted order, the last of which is cut between documents).  A
-splitting tree hands the quotas to the output shards: at each node the left half
-of the draws gets a multivariate-hypergeometric share of every source's quota.
-Each shard then owns a disjoint range of every source's permuted blocks and is
-shuffled by a hash within itself.
-
-Only the per-source and per-block tables meet in windows; they hold one row a
-source and at most ``n_blocks`` rows a source, however large the corpus is, so a
-source with a third of all rows spreads over ``n_blocks`` keys.
+words becomes an exact quota of block draws: whole passes over the source, then as
+many of its blocks as the rest of the target takes.  A splitting tree hands the
+quotas to the output shards: at each node the left half of the draws gets a
+multivariate-hypergeometric share of every source's quota.  The shards' quotas then
+choose the blocks.  In a whole pass each shard owns a disjoint range of the permuted
+blocks; in the last pass the permuted blocks are divided between the shards in
+proportion to their quotas, and each shard draws its quota from its own stretch in
+its own permutation.  Blocks have different sizes, so the drawn ones are taken in
+turn up to the target, then those that no shard has drawn; the last is cut between
+documents.  Within itself each shard is shuffled by a hash.
+
+Only the per-source and per-block tables meet in windows: one row a source, and as
+many blocks a source as the corpus has some thousand documents, so a source with a
+third of all rows spreads over ``n_blocks`` keys.  Of the block that a target cuts
+only a slice of its hashes meets in one task.
 
 Defined results.  Null text has size 0; null is a source of its own and sorts
 last.  Rows with equal source, key and text are decided alike.  An empty table
@@ -179,9 +184,14 @@ def _fillers(others: Column, left: Column) -> Column:
     )
 
 
-def blocks_for(sized: DataFrame) -> int:
-    """Blocks a source: some dozens of documents each, 1024 at most."""
-    return 1 << min(10, max(0, (sized.count() // 1024).bit_length() - 1))
+def blocks_for(count: int) -> int:
+    """Blocks a source: the corpus in blocks of a thousand documents, up to 65,536."""
+    return 1 << min(16, max(0, (count // 1024).bit_length() - 1))
+
+
+def shards_for(count: int) -> int:
+    """Output shards: 64 at least, then one for some hundred thousand documents."""
+    return 1 << min(14, max(6, (count >> 17).bit_length()))
 
 
 def block_plan(
@@ -204,51 +214,99 @@ def block_plan(
     targets = source_targets(
         blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most
     )
-    in_order = Window.partitionBy("nth").orderBy("place", "block")
-    placed = (
+    by_source = Window.partitionBy("nth")
+    preceding = lambda *by: by_source.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rest_of = lambda before: F.col("target") - F.col("passes") * F.col("source_size") - before
+    sum_before = lambda window: F.coalesce(F.sum("words").over(window), F.lit(0))
+    permuted = (
         blocks.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .select("source", "block", "words", "source_size", "target", "nth")
         .withColumn("place", F.xxhash64(F.lit(seed + 1), "source", "block"))
-        .withColumn("before", F.coalesce(F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("at", F.row_number().over(in_order) - 1)
-        .withColumn("of", F.count("*").over(Window.partitionBy("nth")))
+        .withColumn("at", F.row_number().over(by_source.orderBy("place", "block")) - 1)
+        .withColumn("of", F.count("*").over(by_source))
         .withColumn(
             "passes",
             F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"),
         )
-        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size") - F.col("before"))
+        .withColumn("wanted", (rest_of(sum_before(preceding("place", "block"))) > 0).cast("long"))
+        .transform(durable)
+    )
+
+    # The tree: quotas of block draws, split between the shards.
+    per_source = permuted.groupBy("nth").agg(
+        (F.max("passes") * F.max("of")).alias("full"), F.sum("wanted").alias("last"), F.max("of").alias("of")
+    )
+    leaves = split_quotas(per_source.select("nth", (F.col("full") + F.col("last")).alias("quota")), n_shards, seed)
+    by_shard = Window.partitionBy("nth").orderBy("shard")
+    ranges = (
+        leaves.withColumn("end", F.sum("n_draws").over(by_shard)).where("n_draws > 0")
+        .withColumn("start", F.col("end") - F.col("n_draws"))
+        .join(per_source, "nth").transform(durable)
+    )
+    seats = ranges.where(F.col("start") < F.col("full")).select(
+        "nth", "shard", F.explode(F.sequence("start", F.least("end", "full") - 1)).alias("seat")
+    )
+    # Stretches of the last pass, no shorter than their shard's quota.
+    low = F.greatest("start", "full") - F.col("full")
+    stretches = (
+        ranges.where(F.col("end") > F.col("full"))
+        .select(
+            "nth", "shard", (F.col("end") - F.col("full") - low).alias("own"),
+            F.floor(F.col("of") * low / F.col("last")).alias("a"), F.floor(F.col("of") * (F.col("end") - F.col("full")) / F.col("last")).alias("b"),
+        )
+        .select("nth", F.col("shard").alias("last_shard"), "own", F.explode(F.sequence("a", F.col("b") - 1)).alias("at"))
+    )
+    own_order = Window.partitionBy("nth", "last_shard").orderBy(F.xxhash64(F.lit(seed + 3), "last_shard", "block"), "block")
+    turn = ("undrawn", F.when(F.col("undrawn") == 0, F.col("last_shard")), F.when(F.col("undrawn") == 0, F.col("nth_drawn")), "place", "block")
+    placed = (
+        permuted.join(stretches, ["nth", "at"], "left")
+        .withColumn("last_shard", F.coalesce("last_shard", F.lit(0)))
+        .withColumn("nth_drawn", F.row_number().over(own_order))
+        .withColumn("undrawn", (F.col("nth_drawn") > F.coalesce("own", F.lit(0))).cast("int"))
+        .withColumn("turn", F.row_number().over(by_source.orderBy(*turn)))
+        .withColumn("rest", rest_of(sum_before(preceding("turn"))))
         .withColumn("whole", F.col("words") <= F.col("rest"))
         .withColumn("partly", (F.col("rest") > 0) & (F.col("words") > F.col("rest")))
         .transform(durable)
     )
 
     # The one block of a source that its target cuts: whole documents in hash
-    # order while they fit.
-    cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest", F.col("place").alias("cut_place"))
+    # order while they fit.  The slice of hashes in which that ends comes first.
+    cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")
     block_of = F.pmod(F.col("h"), F.lit(n_blocks))
     hashes = (
-        sized.join(cut_blocks, F.col("source").eqNullSafe(F.col("s")) & (block_of == F.col("b")))
-        .groupBy("s", "b", "rest", "cut_place", "h")
+        sized.join(F.broadcast(cut_blocks), F.col("source").eqNullSafe(F.col("s")) & (block_of == F.col("b")))
+        .groupBy("s", "b", "rest", F.shiftright("h", 52).alias("slice"), "h")
         .agg(F.sum("size").alias("words"))
+        .transform(durable)
     )
-    so_far = Window.partitionBy("s", "b").orderBy("h")
+    in_slices = Window.partitionBy("s").orderBy("slice")
+    slices = (
+        hashes.groupBy("s", "slice").agg(F.sum("words").alias("slice_words"), F.max("rest").alias("r"))
+        .withColumn("so_far", F.sum("slice_words").over(in_slices))
+        .where(F.col("so_far") > F.col("r"))
+        .groupBy(F.col("s").alias("cs")).agg(F.min(F.struct("slice", (F.col("so_far") - F.col("slice_words")).alias("below"))).alias("cut"))
+        .select("cs", F.col("cut.slice").alias("cut_slice"), F.col("cut.below").alias("below"))
+    )
+    so_far = Window.partitionBy("s").orderBy("h")
     cuts = (
-        hashes.withColumn("fits", F.sum("words").over(so_far) <= F.col("rest"))
-        .groupBy("s", "b", "cut_place")
+        hashes.join(slices, F.col("s").eqNullSafe(F.col("cs")) & (F.col("slice") == F.col("cut_slice")))
+        .withColumn("fits", F.col("below") + F.sum("words").over(so_far) <= F.col("rest"))
+        .groupBy("s", "b")
         .agg(
-            F.coalesce(F.max(F.when(F.col("fits"), F.col("h"))), F.lit(-(1 << 63))).alias("cut"),
-            (F.max("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))), F.lit(0))).alias("left"),
+            F.coalesce(F.max(F.when(F.col("fits"), F.col("h"))), F.shiftleft(F.max("cut_slice").cast("long"), 52) - 1).alias("cut"),
+            (F.max("rest") - F.max("below") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("words"))), F.lit(0))).alias("left"),
         )
         .transform(durable)
     )
     # Then, from the rest of that block and on through the source's later ones,
     # documents that still fit into what is left.
-    place_of = F.xxhash64(F.lit(seed + 1), "source", block_of)
-    after = (place_of > F.col("cut_place")) | ((place_of == F.col("cut_place")) & (block_of > F.col("b")))
+    later = placed.where("not whole").select(F.col("source").alias("ls"), F.col("block").alias("lb"), F.col("turn").cast("long").alias("turn"), "partly").transform(durable)
     fitting = (
         sized.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("left")))
-        .where(after | ((block_of == F.col("b")) & (F.col("h") > F.col("cut"))))
-        .groupBy("s", "b", "left", F.struct(block_of != F.col("b"), place_of, block_of).alias("turn"), "h")
+        .join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, F.col("source").eqNullSafe(F.col("ls")) & (block_of == F.col("lb")))
+        .where(~F.col("partly") | (F.col("h") > F.col("cut")))
+        .groupBy("s", "b", "left", "turn", "h")
         .agg(F.sum("size").alias("words"))
         .where((F.col("words") > 0) & (F.col("words") <= F.col("left")))
         .transform(durable)
@@ -271,29 +329,21 @@ def block_plan(
         .agg(F.collect_list("h").alias("fillers"))
     )
 
-    quotas = placed.groupBy("nth").agg(
-        (F.max("passes") * F.max("of") + F.sum((F.col("whole") | F.col("partly")).cast("long"))).alias("quota")
-    )
-    leaves = split_quotas(quotas, n_shards, seed)
-    by_shard = Window.partitionBy("nth").orderBy("shard")
-    ranges = leaves.withColumn("end", F.sum("n_draws").over(by_shard)).where("n_draws > 0")
-    seats = ranges.select(
-        "nth", "shard", F.explode(F.sequence(F.col("end") - F.col("n_draws"), F.col("end") - 1)).alias("seat")
+    # In a whole pass the k-th draw of a source is the block at place k.
+    full = placed.where("passes > 0").select("source", "block", "nth", "at", "of", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    full = full.withColumn("seat", F.col("pass") * F.col("of") + F.col("at")).join(seats, ["nth", "seat"]).select(
+        "source", "block", F.lit(False).alias("last"), "pass", "shard"
     )
-    # The k-th draw of a source is the block at place k mod (number of blocks).
-    n_draws = F.col("passes") + (F.col("whole") | F.col("partly")).cast("int")
-    draws = placed.where(n_draws > 0).select(
-        "source", "block", "nth", "at", "of", "passes", "partly", F.explode(F.sequence(F.lit(0), n_draws - 1)).alias("pass")
+    rest = placed.where("whole and rest > 0 or partly").select(
+        "source", "block", F.col("partly").alias("last"), F.col("passes").alias("pass"), F.col("last_shard").cast("int").alias("shard")
     )
-    # Whole and cut blocks come first in permuted order, so the seats of the
-    # last, incomplete pass are without gaps.
-    seated = draws.withColumn("seat", F.col("pass") * F.col("of") + F.col("at")).join(seats, ["nth", "seat"])
+    seated = full.unionByName(rest)
     all_of_it, nothing = F.lit((1 << 63) - 1), F.array().cast("array<long>")
-    last = F.col("partly") & (F.col("pass") == F.col("passes"))
+    last = F.col("last")
     seated = seated.join(cuts.select("s", "b", "cut"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").select(
         F.col("source").alias("s"),
         F.col("block").alias("b"),
-        last.alias("last"),
+        "last",
         F.struct("pass", "shard", F.when(last, F.coalesce("cut", F.lit(-(1 << 63)))).otherwise(all_of_it).alias("cut"), nothing.alias("fillers")).alias("draw"),
     ).transform(durable)
     # Fillers of whatever block go out with the cut block's last draw.
@@ -320,6 +370,11 @@ def _with_plan(docs: DataFrame, plan: DataFrame, n_blocks: int) -> DataFrame:
     return both.drop("s", "b").withColumn("draws", own)
 
 
+def place_of(pass_: Column, h: Column, seed: int = 7) -> Column:
+    """Where a draw stands among those of its shard: the local shuffle."""
+    return F.xxhash64(F.lit(seed), pass_, h)
+
+
 def plan_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int | None = None, **options
 ) -> DataFrame:
@@ -330,14 +385,15 @@ def plan_documents(
         n_words(docs[text]).alias("size"),
         _block_key(docs, key, text, seed).alias("h"),
     ).transform(durable)
-    n_blocks = n_blocks or blocks_for(sized)
-    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, **options)
+    count = sized.count()
+    n_blocks = n_blocks or blocks_for(count)
+    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, **{"n_shards": shards_for(count)} | options)
     return _with_plan(sized, plan, n_blocks)
 
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, n_blocks: int | None = None,
-    n_shards: int = 64, **options,
+    n_shards: int | None = None, **options,
 ) -> DataFrame:
     """The mixture itself: every drawn copy of every row, with all its columns,
     dealt to its shard and shuffled within it."""
@@ -349,11 +405,12 @@ def mix(
     sized = docs.select(
         docs[source].alias("source"), n_words(docs[text]).alias("size"), _block_key(docs, key, text, seed).alias("h")
     ).transform(durable)
-    n_blocks = n_blocks or blocks_for(sized)
-    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, n_shards=n_shards, **options)
+    count = sized.count()
+    n_blocks = n_blocks or blocks_for(count)
+    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, n_shards=n_shards or shards_for(count), **options)
     drawn = _with_plan(row, plan, n_blocks).select("row", "h", F.explode("draws").alias("draw"))
     return (
-        drawn.select("row", F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), "draw.pass", "h").alias("at"))
+        drawn.select("row", F.col("draw.shard").alias("shard"), place_of(F.col("draw.pass"), F.col("h"), seed).alias("at"))
         .repartition("shard")
         .sortWithinPartitions("shard", "at")
         .select("row.*")
@@ -364,6 +421,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
     from plebis.llm.common import table
 
     plan = plan_documents(table(spark, sf_dir, "documents"))
+    of_draws = lambda made: F.array_join(F.transform("draws", lambda d: made(d).cast("string")), ",")
     return plan.select(
         F.col("key").alias("doc_id"),
         "size",
@@ -371,4 +429,6 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
         "target",
         (F.size("draws") * F.col("size")).cast("long").alias("taken"),
         F.size("draws").alias("copies"),
+        of_draws(lambda d: d["shard"]).alias("shards"),
+        of_draws(lambda d: place_of(d["pass"], F.col("h"))).alias("places"),
     )

@@ -9,7 +9,10 @@ moments).  A page without a rule is blocked when the lower bound of its host's
 posterior share of blocked pages is above one half.
 
 Counting is a partial aggregation by host, so a host with a third of all pages
-costs one row a task; suffixes and domains are summed from the host rows.
+costs one row a task; suffixes and domains are summed from the host rows, and what
+a level's prior takes from all its groups is one row of sums.  Hosts meet their
+pages by broadcast while they are few; beyond that by a shuffle, but for those that
+hold more than a thousandth of all pages, of which there are a thousand at most.
 
 Defined results.  A null url, or one without ``://``, has empty host and path,
 no rule, and the verdict of the empty host.  Repeated rows count each.  An empty
@@ -21,10 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plebis.llm.common import table
+from plebis.llm.common import durable, table
 
 #: verdict and rule; the longest rule that fits wins.
 RULES = (
@@ -34,6 +37,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
+#: Above so many hosts their bounds are joined by shuffle.
+BROADCAST_HOSTS = 500_000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,13 +65,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 def _shrunk(groups: DataFrame, by: str, outer: str) -> DataFrame:
     """Rows with n, bad and the outer level's mean to the same with this level's
-    mean: (bad + strength * outer) / (n + strength)."""
-    everything = Window.partitionBy()
+    strength and mean: (bad + strength * outer) / (n + strength)."""
     noise = F.col(outer) * (1 - F.col(outer))
-    surplus = F.sum(F.pow(F.col("bad") - F.col("n") * F.col(outer), 2.0) - F.col("n") * noise).over(everything)
-    pairs = F.sum(F.col("n") * (F.col("n") - 1) * noise).over(everything)
-    alike = F.when(pairs > 0, F.least(F.greatest(surplus / pairs, F.lit(0.001)), F.lit(0.999))).otherwise(0.5)
-    return groups.withColumn("strength", 1 / alike - 1).withColumn(
+    spread = groups.agg(
+        F.sum(F.pow(F.col("bad") - F.col("n") * F.col(outer), 2.0) - F.col("n") * noise).alias("surplus"),
+        F.sum(F.col("n") * (F.col("n") - 1) * noise).alias("pairs"),
+    )
+    alike = F.when(F.col("pairs") > 0, F.least(F.greatest(F.col("surplus") / F.col("pairs"), F.lit(0.001)), F.lit(0.999))).otherwise(0.5)
+    # One row, so every group meets it without a shuffle.
+    return groups.join(F.broadcast(spread.select((1 / alike - 1).alias("strength")))).withColumn(
         f"{by}_mean", (F.col("bad") + F.col("strength") * F.col(outer)) / (F.col("n") + F.col("strength"))
     )
 
@@ -75,7 +82,7 @@ def reputations(pages: DataFrame, long_suffixes: Sequence[str] = (), z: float =
     """Rows (host, bad) with bad 1, 0 or null where unlabelled, to one row a host
     with its posterior mean and the lower bound of its share of bad pages."""
     hosts = pages.groupBy("host").agg(
-        F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")
+        F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("*").alias("pages")
     )
     bare = F.regexp_replace(F.col("host"), r"^.*@|:[0-9]*$", "")
     labels = F.split(bare, r"\.")
@@ -87,33 +94,25 @@ def reputations(pages: DataFrame, long_suffixes: Sequence[str] = (), z: float =
     )
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    everything = Window.partitionBy()
-    suffixes = suffixes.withColumn(
-        "all_mean", (F.sum("bad").over(everything) + 1) / (F.sum("n").over(everything) + 2)
-    )
-    suffix_means = _shrunk(suffixes, "suffix", "all_mean").select("suffix", "suffix_mean")
+    overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_mean"))
+    suffix_means = _shrunk(suffixes.join(F.broadcast(overall)), "suffix", "all_mean").select("suffix", "suffix_mean")
     domain_means = _shrunk(domains.join(suffix_means, "suffix"), "domain", "suffix_mean").select(
         "domain", "suffix", "domain_mean"
     )
-    per_host = hosts.join(domain_means, ["domain", "suffix"])
-    spread = per_host.agg(
-        F.sum(
-            F.pow(F.col("bad") - F.col("n") * F.col("domain_mean"), 2.0)
-            - F.col("n") * F.col("domain_mean") * (1 - F.col("domain_mean"))
-        ).alias("surplus"),
-        F.sum(F.col("n") * (F.col("n") - 1) * F.col("domain_mean") * (1 - F.col("domain_mean"))).alias("pairs"),
-    ).select(
-        F.when(F.col("pairs") > 0, F.least(F.greatest(F.col("surplus") / F.col("pairs"), F.lit(0.001)), F.lit(0.999)))
-        .otherwise(0.5)
-        .alias("alike")
-    )
-    # One row, so every host meets it without a shuffle.
-    per_host = per_host.join(F.broadcast(spread)).withColumn("strength", 1 / F.col("alike") - 1)
-    a = F.col("bad") + F.col("strength") * F.col("domain_mean")
-    total = F.col("n") + F.col("strength")
-    mean = a / total
+    per_host = _shrunk(hosts.join(domain_means, ["domain", "suffix"]), "host", "domain_mean")
+    mean, total = F.col("host_mean"), F.col("n") + F.col("strength")
     deviation = F.sqrt(mean * (1 - mean) / (total + 1))
-    return per_host.select("host", mean.alias("mean"), (mean - z * deviation).alias("lower"))
+    return per_host.select("host", mean.alias("mean"), (mean - z * deviation).alias("lower"), "pages")
+
+
+def _with_reputation(pages: DataFrame, known: DataFrame) -> DataFrame:
+    known = known.transform(durable)
+    if known.count() <= BROADCAST_HOSTS:
+        return pages.join(F.broadcast(known), "host")
+    total = known.agg(F.sum("pages").alias("all"))
+    sized = known.join(F.broadcast(total)).withColumn("hot", F.col("pages") * 1000 > F.col("all")).drop("all")
+    hot = F.broadcast(sized.where("hot").drop("hot"))  # a thousand rows at most
+    return pages.join(hot, "host").unionByName(pages.join(hot, "host", "left_anti").join(sized.where("not hot").drop("hot"), "host"))
 
 
 def judge(
@@ -130,7 +129,7 @@ def judge(
     ruled = parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     outcome = F.when(F.col("fit.verdict") == "block", 1).when(F.col("fit.verdict") == "allow", 0)
     known = reputations(ruled.select("host", outcome.alias("bad")), long_suffixes)
-    return ruled.join(known, "host").select(
+    return _with_reputation(ruled, known).select(
         "row",
         "host",
         "path",
@@ -142,7 +141,7 @@ def judge(
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", F.round("lower", 6).alias("lower"))
 
 
 OP5_SQL = r"""
@@ -190,6 +189,7 @@ h3 AS (SELECT host, (bad + s * m) / (n + s) AS mean, n + s AS total FROM h2),
 known AS (SELECT host, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (total + 1)) AS lower FROM h3)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL THEN round(lower, 6) END AS lower
 FROM labelled JOIN known USING (host)
 """
