@@ -106,7 +106,8 @@ def parties(seated: DataFrame) -> DataFrame:
 
 def seat_holders(t, seated: DataFrame) -> DataFrame:
     """One row a seat: the person, or the party's own name where a list has fewer
-    candidates than seats; with the party's place in the order of seats."""
+    candidates than seats; with the party's place in the order of seats, and the
+    row's own place in the order of parties and districts."""
     chosen = preferential(t, seated).join(
         t.person.select(F.col("id").alias("person_id"), F.concat_ws(" ", "first_name", "last_name").alias("name")), "person_id"
     )
@@ -116,10 +117,12 @@ def seat_holders(t, seated: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("year").orderBy(F.desc("seats"), "party")
     ranks = parties(seated).withColumn("party_rank", F.row_number().over(order).cast("long")).select("year", "party", "party_rank")
+    in_turn = Window.partitionBy("year").orderBy("party_rank", "district", "electoral_list_id", "chosen")
     return (
         seats.join(chosen.select("electoral_list_id", "chosen", "name", "candidacy_id"), ["electoral_list_id", "chosen"], "left")
         .withColumn("name", F.coalesce("name", "party"))
         .join(ranks, ["year", "party"])
+        .withColumn("place", F.row_number().over(in_turn).cast("long"))
     )
 
 
@@ -166,6 +169,7 @@ def europe_lists(t, scope: DataFrame | None = None, year: int | None = None) ->
         .withColumn("n_seats", seats)
     )
     lists = passing(lists, ["election_round_id"])
+    lists = lists.withColumn("threshold_votes", F.ceil(F.col("total_votes") * F.lit(float(schema.THRESHOLD))))
     won = highest_averages(lists.where("eligible"), ["election_round_id"])
     return lists.join(won, ["election_round_id", "electoral_list_id"], "left").withColumn(
         "seats", F.coalesce("seats", F.lit(0).cast("long"))
@@ -173,6 +177,8 @@ def europe_lists(t, scope: DataFrame | None = None, year: int | None = None) ->
 
 
 def europe_parties(lists: DataFrame) -> DataFrame:
+    """Lists by party and year; ``place`` orders them by seats, then votes."""
+    in_turn = Window.partitionBy("year").orderBy(F.desc("seats"), F.desc("votes"), "party")
     return (
         lists.withColumn("pct", totals.percent(F.col("votes"), F.col("total_votes")))
         .groupBy("year", primary_party(F.col("name")).alias("party"))
@@ -181,13 +187,16 @@ def europe_parties(lists: DataFrame) -> DataFrame:
             F.sum("pct").alias("votes_pct"),
             F.sum("seats").alias("seats"),
             F.bool_or("eligible").alias("eligible"),
+            F.max("threshold_votes").alias("threshold_votes"),
         )
+        .withColumn("place", F.row_number().over(in_turn).cast("long"))
     )
 
 
 def europe_candidates(t, lists: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Every candidacy of the elections with its share of all votes and whether
-    it takes a seat."""
+    """Every candidacy of the elections with its share of all votes, whether it
+    takes a seat, and its place by votes."""
+    in_turn = Window.partitionBy("year").orderBy(F.desc("personal_votes"), "candidacy_id")
     winners = preferential(t, lists, scope).select("candidacy_id", F.lit(True).alias("is_winner"))
     whole = lists.groupBy("election_round_id", "year").agg(F.max("total_votes").alias("total_votes"))
     members = totals.candidacies(t).join(F.broadcast(whole), "election_round_id")
@@ -200,4 +209,5 @@ def europe_candidates(t, lists: DataFrame, scope: DataFrame | None = None) -> Da
             "list_name", "position_on_list", "personal_votes", totals.percent(F.col("personal_votes"), F.col("total_votes")).alias("personal_pct"),
             F.coalesce("is_winner", F.lit(False)).alias("is_winner"),
         )
+        .withColumn("place", F.row_number().over(in_turn).cast("long"))
     )

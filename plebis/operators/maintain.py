@@ -62,6 +62,39 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, key: list[str], attr
     return existing.select("id", *key, *attributes).unionByName(fresh.select("id", *key, *attributes))
 
 
+def municipalities_get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows (id, county_id, name, type): towns are known by county and normalised
+    name, whatever prefix they come with; a new one keeps the name and type of the
+    row that came first (by ``seq``)."""
+    keyed = lambda df: df.withColumn("__key", normalize_municipality(F.col("name")))
+    fresh = (
+        keyed(incoming).join(keyed(existing).select("county_id", "__key"), ["county_id", "__key"], "left_anti")
+        .groupBy("county_id", "__key")
+        .agg(F.min_by("name", "seq").alias("name"), municipality_type(F.min_by("type", "seq")).alias("type"))
+    )
+    columns = ["id", "county_id", "name", "type"]
+    return existing.select(*columns).unionByName(fresh.withColumn("id", F.xxhash64("county_id", "__key")).select(*columns))
+
+
+def municipality_type(written: Column) -> Column:
+    """The types as they are kept; spellings that lost a letter are mended."""
+    lower = F.lower(F.trim(written))
+    return (
+        F.when(lower.isin("opcina", "op ina", "općina"), "općina").when(lower.isin("drzava", "dr ava", "država"), "država").otherwise(lower)
+    )
+
+
+def types_get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows (slug, name, parent): new types, and parents that nobody has named,
+    whose name is their slug in title case."""
+    known = existing.select("slug")
+    fresh = keep_first(incoming, ["slug"], [F.col("seq")]).join(known, "slug", "left_anti").select("slug", "name", "parent")
+    parents = incoming.where("parent is not null").select(F.col("parent").alias("slug")).distinct()
+    named = parents.join(known, "slug", "left_anti").join(fresh.select("slug"), "slug", "left_anti")
+    made = named.select("slug", F.initcap(F.replace("slug", F.lit("_"), F.lit(" "))).alias("name"), F.lit(None).cast("string").alias("parent"))
+    return existing.select("slug", "name", "parent").unionByName(fresh).unionByName(made)
+
+
 def person_mapping(persons: DataFrame) -> DataFrame:
     """(id, canonical_id) of people that are not the smallest id of their
     normalized name."""
@@ -69,6 +102,24 @@ def person_mapping(persons: DataFrame) -> DataFrame:
     return persons.select("id", canonical.alias("canonical_id")).where("id <> canonical_id")
 
 
+def merged(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The rows that no mapping (id, canonical_id) sends to another."""
+    return rows.join(mapping.where("id <> canonical_id").select("id"), "id", "left_anti").select(*rows.columns)
+
+
+def without_titles(persons: DataFrame, mapping: DataFrame) -> DataFrame:
+    """People after ``title_mapping``: merged ones go, others take the clean name."""
+    renamed = mapping.where("action = 'rename'").select("id", "clean_name")
+    kept = merged(persons, mapping.where("action = 'merge'")).join(renamed, "id", "left")
+    parts = F.split("clean_name", " ", 2)
+    return kept.select(
+        "id",
+        F.coalesce(F.get(parts, F.lit(0)), "first_name").alias("first_name"),
+        F.coalesce(F.get(parts, F.lit(1)), "last_name").alias("last_name"),
+        F.coalesce(normalize_person_name(F.col("clean_name")), "normalized_name").alias("normalized_name"),
+    )
+
+
 def title_mapping(persons: DataFrame) -> DataFrame:
     """(id, action, canonical_id, clean_name) for people whose name changes when
     titles go: merged into the smallest id that has the cleaned name already, else
@@ -105,7 +156,7 @@ def merged_stations(stations: DataFrame, mapping: DataFrame) -> tuple[DataFrame,
     """Stations under their canonical municipality, one a number, and the mapping
     of those that were merged; a station that was there already stays."""
     moved = mapping.select(F.col("id").alias("municipality_id"), F.col("canonical_id").alias("to"))
-    placed = stations.join(F.broadcast(moved), "municipality_id", "left").select(
+    placed = stations.join(moved, "municipality_id", "left").select(
         "id", F.coalesce("to", "municipality_id").alias("municipality_id"), F.col("to").isNotNull().alias("moved"), "number",
         *[c for c in stations.columns if c not in ("id", "municipality_id", "number")],
     )
@@ -122,7 +173,7 @@ def move_results(facts: DataFrame, merged: DataFrame, key: list[str]) -> DataFra
     """Results of merged stations go to the one that stays, unless it has a row
     for the same key itself; of several that move, the smallest station's."""
     moved = merged.select(F.col("id").alias("polling_station_id"), "canonical_id")
-    both = facts.join(F.broadcast(moved), "polling_station_id", "left").withColumn("from", F.col("polling_station_id"))
+    both = facts.join(moved, "polling_station_id", "left").withColumn("from", F.col("polling_station_id"))
     both = both.withColumn("polling_station_id", F.coalesce("canonical_id", "polling_station_id"))
     return keep_first(both, [*key, "polling_station_id"], [F.col("canonical_id").isNotNull(), F.col("from")]).select(*facts.columns)
 
@@ -134,7 +185,7 @@ def mandates(t, roster: DataFrame, types: list[str]) -> DataFrame:
     from plebis.operators import totals
 
     of_rounds = totals.rounds(t, types).select(F.col("round_id").alias("election_round_id"), "year")
-    found = totals.candidacies(t).join(F.broadcast(of_rounds), "election_round_id").join(F.broadcast(roster), ["year", "normalized_name"])
+    found = totals.candidacies(t).join(F.broadcast(of_rounds), "election_round_id").join(roster, ["year", "normalized_name"])
     return found.groupBy("year", "normalized_name").agg(
         F.min("candidacy_id").alias("candidacy_id"), F.min_by("group", "candidacy_id").alias("group")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis import schema
@@ -42,7 +42,8 @@ def vote_shares(t) -> DataFrame:
 
 
 def person_history(t, person: int | None = None, mandates: DataFrame | None = None) -> DataFrame:
-    """All candidacies of a person, or of all people, newest first."""
+    """All candidacies of a person, newest first, or of all people, each with its
+    place ``nth`` in that order."""
     of_rounds = totals.with_label(totals.rounds(t)).select(
         F.col("round_id").alias("election_round_id"), "round_number", "election", "type_name", "year", "date"
     )
@@ -72,17 +73,20 @@ def person_history(t, person: int | None = None, mandates: DataFrame | None = No
         rows = rows.join(mandates.select("candidacy_id", "group"), "candidacy_id", "left")
     europe = F.col("type_name") == schema.EUROPE
     local = F.col("kind").isNotNull()
-    return rows.select(
+    newest = Window.partitionBy("person_id").orderBy(*newest_first("round_number"), "candidacy_id")
+    rows = rows.withColumn("nth", F.row_number().over(newest).cast("long"))
+    found = rows.select(
         "person_id", "candidacy_id", "election", F.col("type_name").alias("election_type"), "year", F.date_format("date", "yyyy-MM-dd").alias("date"),
         F.col("round_number").alias("round"), "list_name", F.col("position_on_list").alias("position"), "district", "candidate_votes", "list_votes",
         F.col("valid_ballots").alias("total_valid_ballots"), "vote_share", "rank", F.col("field").alias("total_candidates_in_round"),
         F.coalesce("won", F.lit(False)).alias("won_seat"), (europe & F.col("group").isNotNull()).alias("eu_mep"), F.when(europe, F.col("group")).alias("eu_group"),
-        F.col("kind").alias("lokalni_kind"), F.when(local, F.col("county_id")).alias("county_id"), F.when(local, F.col("municipality_id")).alias("municipality_id"),
+        F.col("kind").alias("lokalni_kind"), F.when(local, F.col("county_id")).alias("county_id"), F.when(local, F.col("municipality_id")).alias("municipality_id"), "nth",
     )
+    return found if person is None else found.orderBy("nth")
 
 
-def newest_first() -> list[Column]:
-    return [F.desc("year"), F.col("date").desc_nulls_last(), F.desc("round")]
+def newest_first(round_: str = "round") -> list[Column]:
+    return [F.desc("year"), F.col("date").desc_nulls_last(), F.desc(round_)]
 
 
 def _list_history(t, lists: DataFrame) -> DataFrame:

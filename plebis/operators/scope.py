@@ -29,6 +29,12 @@ def scope_stations(t, station=None, municipality=None, county=None, district=Non
     return found.select(F.col("id").alias("polling_station_id"))
 
 
+def parse_ids(text: str | None) -> list[int]:
+    """Ids from a comma-separated list; blank parts are skipped, anything else that
+    is no number raises ValueError."""
+    return [int(part) for part in map(str.strip, (text or "").split(",")) if part]
+
+
 def within(facts: DataFrame, scope: DataFrame | None) -> DataFrame:
     return facts if scope is None else facts.join(scope, "polling_station_id", "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plebis import schema
 from plebis.functions.names import station_label
 from plebis.operators import totals
+from plebis.operators.scope import parse_ids
 
 LEVELS = ("national", "county", "municipality", "station")
 
@@ -36,11 +37,15 @@ def election_groups(t) -> DataFrame:
     )
 
 
-def turnout_at(t, level: str, parent: int | None = None, groups: list[str] | None = None, stations: list[int] | None = None) -> DataFrame:
+def turnout_at(t, level: str, parent: int | None = None, groups: list[str] | None = None, stations: list[int] | str | None = None) -> DataFrame:
     """Turnout of each group at a level: (group_id, id, name[, address], measures).
 
     ``parent`` is a county for municipalities, a municipality for stations.
+    ``stations`` may be the text of a list, "1, 2"; one that is no list of numbers
+    raises ValueError.
     """
+    if isinstance(stations, str):
+        stations = parse_ids(stations)
     if level not in LEVELS:
         raise ValueError(f"unknown level {level}")
     of_groups = grouped_rounds(t).select(F.col("id").alias("group_id"), F.col("round_id").alias("election_round_id"))

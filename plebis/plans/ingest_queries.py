@@ -16,6 +16,8 @@ from plebis.plans.fixtures import FIRST_NAMES, LAST_NAMES
 from plebis.sources import cells, literals, melt, sheets
 
 BRANDS, PLACES = 25, 14
+#: Rows of a written file or workbook, as a task parses one whole.
+ROWS_A_FILE = 20_000
 
 
 def _folder(spark) -> str:
@@ -49,7 +51,9 @@ def scan_cells(t):
 )
 def scan_multi_file(t):
     """Several files under the header of the first by name."""
-    read = cells.scan_cells(t.spark, _written(_stations(t).repartition(6)), "part-*.csv")
+    stations = _stations(t)
+    n_files = max(6, stations.count() // ROWS_A_FILE)
+    read = cells.scan_cells(t.spark, _written(stations.repartition(n_files)), "part-*.csv")
     header = cells.header_of(read)
     long = cells.body_of(read).select(F.get("cells", F.lit(0)).alias("id"), F.posexplode("cells").alias("col", "value"))
     return long.join(F.broadcast(header), "col").where(F.col("text").isin("number", "location")).select("id", F.col("text").alias("header"), "value")
@@ -67,7 +71,7 @@ def scan_sheets(t):
         t.polling_station.select("id", "municipality_id", "number")
         .join(sums, "id", "left")
         .join(F.broadcast(munis), "municipality_id")
-        .select("sheet", "id", "number", "votes", (F.col("id") % 40).alias("file_no"))
+        .select("sheet", "id", "number", "votes", (F.col("id") % max(40, t.polling_station.count() // ROWS_A_FILE)).alias("file_no"))
     )
 
     def book(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -118,6 +122,41 @@ def layout_project(t):
     )
 
 
+@query("SELECT number AS station_number, location, (id % 900)::INT AS registered, (id % 800)::INT AS cast FROM polling_station")
+def layout_europe_2014(t):
+    """Six columns of town and district parts stand before the station's."""
+    blank = [F.lit("x")] * 6
+    rows = t.polling_station.select(
+        F.array(
+            F.lit("1"), F.lit("c"), F.lit("grad"), F.lit("m"), *blank, "number", "name", "location", "address",
+            (F.col("id") % 900).cast("string"), (F.col("id") % 800).cast("string"), F.lit("x"), F.lit("1"), F.lit("0"),
+        ).alias("cells")
+    )
+    return rows.select(*cells.layout_columns(cells.LAYOUTS["europe_2014"])).select("station_number", "location", "registered", "cast")
+
+
+@query("SELECT name AS muni_name, NULL::VARCHAR AS station_number, (id * 3)::INT AS registered, id::INT AS invalid FROM municipality")
+def layout_abroad(t):
+    """A row a country: no county, no station."""
+    rows = t.municipality.select(F.array("name", (F.col("id") * 3).cast("string"), F.lit("2"), F.lit("1"), F.col("id").cast("string"), F.lit("7")).alias("cells"))
+    return rows.select(*cells.layout_columns(cells.LAYOUTS["presidential_2000_abroad"])).select("muni_name", "station_number", "registered", "invalid")
+
+
+@query("SELECT CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS label, id::VARCHAR AS id FROM polling_station")
+def scan_missing_skipped(t):
+    """Of three folders one is not there; the others are read."""
+    even, odd = (_written(_stations(t).where(F.col("id") % 2 == k)) for k in (0, 1))
+    read = cells.scan_each(t.spark, {"even": even, "gone": f"{even}-gone", "odd": odd}, glob="*.csv")
+    return read.where("row_no > 0").select("label", F.get("cells", F.lit(0)).alias("id"))
+
+
+@query("SELECT number, name FROM polling_station WHERE id % 3 <> 0")
+def row_guards_local(t):
+    """Rows of workbooks whose first cell is missing go."""
+    rows = t.polling_station.select(F.array(F.when(F.col("id") % 3 != 0, F.col("number")), F.col("name")).alias("cells"))
+    return cells.begun(rows).select(F.get("cells", F.lit(0)).alias("number"), F.get("cells", F.lit(1)).alias("name"))
+
+
 @query("SELECT number AS station_number, CASE WHEN id % 7 = 3 THEN 0 ELSE 1 END::INT AS registered FROM polling_station WHERE id % 7 NOT IN (1, 2)")
 def row_guards(t):
     """Rows that are short (every seventh) or lack a municipality go; a missing
@@ -155,14 +194,13 @@ def _wide(t, at: Column, width: int, by_place: bool) -> DataFrame:
     if by_place:
         rows = rows.unionByName(t.votes.groupBy("round_id", "polling_station_id", "brand", "position").agg(F.sum("votes").alias("votes")))
     placed = rows.withColumn("col", at).where("col is not null")
+    gap = lambda n: F.array_repeat(F.lit("-"), n.cast("int"))
+    before = lambda k: F.coalesce(F.get("cells", k - 1)["col"], F.lit(-1))
+    filled = F.flatten(F.transform("cells", lambda x, k: F.concat(gap(x["col"] - before(k) - 1), F.array(x["votes"]))))
     return (
         placed.groupBy("round_id", "polling_station_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("votes").cast("string")))).alias("m"))
-        .select(
-            "round_id",
-            "polling_station_id",
-            F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("-"))).alias("cells"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("col", F.col("votes").cast("string").alias("votes")))).alias("cells"))
+        .select("round_id", "polling_station_id", F.concat(filled, gap(F.lit(width - 1) - F.get("cells", F.size("cells") - 1)["col"])).alias("cells"))
     )
 
 
@@ -194,29 +232,63 @@ def melt_fixed_groups(t):
     texts = {first + (b - 1) * size: f"L{b}" for b in range(1, BRANDS + 1)}
     texts |= {first + (b - 1) * size + p: _person(b, p) for b in range(1, BRANDS + 1) for p in range(1, PLACES + 1)}
     wide = _wide(t, F.lit(first) + (F.col("brand") - 1) * size + F.col("position"), width, True)
-    return _some(melt.melt(wide, melt.fixed_groups(_header(t, texts, width), first, size), ["round_id", "polling_station_id"]))
+    return _some(melt.melt(wide, melt.fixed_groups(_header(t, texts, width), first, size), ["round_id", "polling_station_id"], blanks=False))
+
+
+_LIST_NAME = "CASE brand % 3 WHEN 0 THEN 'L' || brand::VARCHAR || ' - SAVEZ' WHEN 1 THEN 'S.D.P. L' || brand::VARCHAR ELSE 'HDZ L' || brand::VARCHAR END"
+_SURNAME = f"CASE brand WHEN 7 THEN 'Nova' WHEN 8 THEN 'Most' ELSE {_LAST}[brand] END"
 
 
 @query(
-    f"SELECT round_id, polling_station_id, 'L' || brand::VARCHAR || ' - SAVEZ' AS list_name, 0 AS position, 'L' || brand::VARCHAR || ' - SAVEZ' AS name, votes FROM ({_BY_BRAND}) UNION ALL "
-    f"SELECT round_id, polling_station_id, 'L' || brand::VARCHAR || ' - SAVEZ', position, {_FIRST}[position + CASE WHEN brand % 5 = 0 AND position >= 2 THEN 1 ELSE 0 END] || ' ' || {_LAST}[brand], votes "
+    f"SELECT round_id, polling_station_id, {_LIST_NAME} AS list_name, 0 AS position, {_LIST_NAME} AS name, votes FROM ({_BY_BRAND}) UNION ALL "
+    f"SELECT round_id, polling_station_id, {_LIST_NAME}, position, {_FIRST}[position + CASE WHEN brand % 5 = 0 AND position >= 2 THEN 1 ELSE 0 END] || ' ' || {_SURNAME}, votes "
     f"FROM ({_BY_PLACE}) WHERE position <= 5 + brand % 9 - CASE WHEN brand % 5 = 0 THEN 1 ELSE 0 END"
 )
 def melt_variable_groups(t):
-    """Lists of 5 to 13 candidates; where a blank header cell stands between
-    candidates, those behind it are read one column further left."""
+    """Lists of 5 to 13 candidates, some known by a keyword alone, beside people
+    whose surnames read like one in other letters; where a blank header cell stands
+    between candidates, those behind it are read one column further left."""
     first, start, texts = 15, [], {}
     at = first
     for b in range(1, BRANDS + 1):
         start.append(at)
-        texts[at] = f"L{b} - SAVEZ"
+        texts[at] = (f"L{b} - SAVEZ", f"S.D.P. L{b}", f"HDZ L{b}")[b % 3]
         n = 5 + b % 9
-        texts |= {at + p: _person(b, p) for p in range(1, n + 1) if not (b % 5 == 0 and p == 2)}
+        surname = {7: "Nova", 8: "Most"}.get(b, LAST_NAMES[b - 1])
+        texts |= {at + p: f"{FIRST_NAMES[p - 1]} {surname}" for p in range(1, n + 1) if not (b % 5 == 0 and p == 2)}
         at += n + 1
     begins = F.element_at(F.array(*map(F.lit, start)), F.col("brand"))
     col = F.when(F.col("position") <= 5 + F.col("brand") % 9, begins + F.col("position"))
     wide = _wide(t, col, at, True)
-    return _some(melt.melt(wide, melt.variable_groups(_header(t, texts, at), first), ["round_id", "polling_station_id"]))
+    return _some(melt.melt(wide, melt.variable_groups(_header(t, texts, at), first), ["round_id", "polling_station_id"], blanks=False))
+
+
+def _europe(t, year: int):
+    first, size = cells.EUROPE_GROUPS[year]
+    width = first + BRANDS * size
+    texts = {first + (b - 1) * size: f"L{b}" for b in range(1, BRANDS + 1)}
+    texts |= {first + (b - 1) * size + p: _person(b, p) for b in range(1, BRANDS + 1) for p in range(1, size)}
+    at = F.when(F.col("position") < size, F.lit(first) + (F.col("brand") - 1) * size + F.col("position"))
+    wide = _wide(t, at, width, True)
+    return _some(melt.melt(wide, melt.fixed_groups(_header(t, texts, width), first, size), ["round_id", "polling_station_id"], blanks=False))
+
+
+def _europe_sql(candidates: int) -> str:
+    return (
+        f"SELECT round_id, polling_station_id, 'L' || brand::VARCHAR AS list_name, 0 AS position, 'L' || brand::VARCHAR AS name, votes FROM ({_BY_BRAND}) UNION ALL "
+        f"SELECT round_id, polling_station_id, 'L' || brand::VARCHAR, position, {_FIRST}[position] || ' ' || {_LAST}[brand], votes FROM ({_BY_PLACE}) WHERE position <= {candidates}"
+    )
+
+
+@query(_europe_sql(11))
+def melt_europe_2014(t):
+    """Lists of eleven behind nineteen columns of geography."""
+    return _europe(t, 2014)
+
+
+@query(_europe_sql(12))
+def melt_europe_2019(t):
+    return _europe(t, 2019)
 
 
 @query(f"SELECT round_id, polling_station_id, 'KANDIDAT ' || brand::VARCHAR AS name, votes FROM ({_BY_BRAND})")
@@ -224,7 +296,7 @@ def melt_pct_interleaved(t):
     first, width = 13, 13 + 2 * BRANDS
     texts = {first + 2 * (b - 1): f"mr.sc. Kandidat {b}" for b in range(1, BRANDS + 1)} | {first + 2 * b - 1: "%" for b in range(1, BRANDS + 1)}
     wide = _wide(t, F.lit(first) + (F.col("brand") - 1) * 2, width, False)
-    found = melt.melt(wide, melt.interleaved(_header(t, texts, width), first), ["round_id", "polling_station_id"])
+    found = melt.melt(wide, melt.interleaved(_header(t, texts, width), first), ["round_id", "polling_station_id"], blanks=False)
     return _some(found).select("round_id", "polling_station_id", "name", "votes")
 
 
@@ -233,7 +305,7 @@ def melt_simple(t):
     first, width = 13, 13 + BRANDS
     texts = {first + b - 1: f" L{b}".strip() for b in range(1, BRANDS + 1) if b % 6}
     wide = _wide(t, F.lit(first) + F.col("brand") - 1, width, False)
-    found = melt.melt(wide, melt.filled(_header(t, texts, width), first), ["round_id", "polling_station_id"])
+    found = melt.melt(wide, melt.filled(_header(t, texts, width), first), ["round_id", "polling_station_id"], blanks=False)
     return _some(found).select("round_id", "polling_station_id", "name", "votes")
 
 
@@ -245,5 +317,5 @@ def melt_minority(t):
     first, width = 15, 15 + BRANDS
     texts = {first + b - 1: f"L{b}" for b in range(1, BRANDS + 1) if b % 6}
     wide = _wide(t, F.lit(first) + F.col("brand") - 1, width, False)
-    found = melt.melt(wide, melt.compacted(_header(t, texts, width), first), ["round_id", "polling_station_id"])
+    found = melt.melt(wide, melt.compacted(_header(t, texts, width), first), ["round_id", "polling_station_id"], blanks=False)
     return _some(found).select("round_id", "polling_station_id", "name", "votes")

@@ -19,9 +19,9 @@ shares AS (SELECT pv.id AS candidacy_id, pv.person_id, pv.electoral_list_id, pv.
            FROM pv LEFT JOIN lt ON lt.electoral_list_id = pv.electoral_list_id LEFT JOIN den ON den.electoral_list_id = pv.electoral_list_id)"""
 
 
-@query("SELECT candidacy_id, candidate_votes, list_votes, valid_ballots, share FROM shares", _LISTS + _SHARES)
+@query("SELECT candidacy_id, candidate_votes, list_votes, valid_ballots, share, round_even(share, 1) AS vote_share FROM shares", _LISTS + _SHARES)
 def vote_share(t):
-    return profiles.vote_shares(t).select("candidacy_id", "candidate_votes", "list_votes", "valid_ballots", "share")
+    return profiles.vote_shares(t).select("candidacy_id", "candidate_votes", "list_votes", "valid_ballots", "share", "vote_share")
 
 
 @query(
@@ -37,13 +37,16 @@ def turnout_pct(t):
     "SELECT s.person_id, s.candidacy_id, x.election, x.type_name AS election_type, x.year, strftime(x.date, '%Y-%m-%d') AS date, x.round_number AS round, l.name AS list_name, "
     "s.position_on_list AS position, d.name AS district, s.candidate_votes, s.list_votes, s.valid_ballots AS total_valid_ballots, k.rank, k.field AS total_candidates_in_round, "
     "c.id IS NOT NULL AS won_seat, CASE x.type_id WHEN 4 THEN 'vijece' WHEN 5 THEN 'vijece' WHEN 6 THEN 'nacelnik' WHEN 7 THEN 'nacelnik' WHEN 8 THEN 'zupan' WHEN 9 THEN 'zup_skupstina' END AS lokalni_kind, "
-    "CASE WHEN x.type_id > 3 THEN h.county_id END AS county_id, CASE WHEN x.type_id > 3 THEN h.municipality_id END AS municipality_id "
-    "FROM shares s JOIN electoral_list l ON l.id = s.electoral_list_id JOIN rounds x ON x.round_id = l.election_round_id LEFT JOIN electoral_district d ON d.id = l.district_id "
+    "CASE WHEN x.type_id > 3 THEN h.county_id END AS county_id, CASE WHEN x.type_id > 3 THEN h.municipality_id END AS municipality_id, round_even(s.share, 1) AS vote_share, "
+    "x.type_id = 3 AND s.person_id % 3 = 0 AS eu_mep, CASE WHEN x.type_id = 3 AND s.person_id % 3 = 0 THEN 'G' || (s.candidacy_id % 4)::VARCHAR END AS eu_group, "
+    "row_number() OVER (PARTITION BY s.person_id ORDER BY x.year DESC, x.date DESC NULLS LAST, x.round_number DESC, s.candidacy_id) AS nth FROM shares s JOIN electoral_list l ON l.id = s.electoral_list_id JOIN rounds x ON x.round_id = l.election_round_id LEFT JOIN electoral_district d ON d.id = l.district_id "
     "LEFT JOIN home2 h ON h.electoral_list_id = l.id LEFT JOIN (SELECT * FROM ranked WHERE own) k ON k.candidacy_id = s.candidacy_id LEFT JOIN chosen c ON c.id = s.candidacy_id",
     _LISTS + _SHARES + _RANKS,
 )
 def person_history(t):
-    return profiles.person_history(t).drop("vote_share", "eu_mep", "eu_group")
+    """Every third person sat in the European Parliament."""
+    members = t.candidacy.where("person_id % 3 = 0").select(F.col("id").alias("candidacy_id"), F.concat(F.lit("G"), (F.col("id") % 4).cast("string")).alias("group"))
+    return profiles.person_history(t, mandates=members)
 
 
 _HISTORY = (
@@ -189,12 +192,31 @@ def turnout_municipality(t):
     return turnout.turnout_at(t, "municipality", parent=2)
 
 
+@query(f"SELECT group_id, p.id, p.number || ' — ' || p.location AS name, p.address, {_M} {_PLACED} WHERE p.id IN (3, 7, 11, 19) GROUP BY ALL", _GROUPS)
+def turnout_listed_stations(t):
+    """Stations given as the text of a list."""
+    return turnout.turnout_at(t, "station", stations="3, 7,11,,19")
+
+
 @query(f"SELECT group_id, p.id, p.number || ' — ' || p.location AS name, p.address, {_M} {_PLACED} GROUP BY ALL", _GROUPS)
 def turnout_station(t):
     return turnout.turnout_at(t, "station")
 
 
-@query()
+@query(
+    """SELECT z.election_round_id, '{"election":' || to_json(z.election)::VARCHAR || ',"year":' || z.year::VARCHAR || ',"registered_voters":' || registered_voters::VARCHAR || ',"ballots_cast":' || ballots_cast::VARCHAR
+       || ',"valid_ballots":' || valid_ballots::VARCHAR || ',"invalid_ballots":' || invalid_ballots::VARCHAR || ',"top_lists":[' || a.top_lists || '],"top_candidates":[' || b.top_candidates || ']}' AS payload FROM
+       (SELECT x.election_round_id, r.election, r.year, sum(x.registered_voters)::BIGINT AS registered_voters, sum(x.ballots_cast)::BIGINT AS ballots_cast, sum(x.valid_ballots)::BIGINT AS valid_ballots,
+        sum(x.invalid_ballots)::BIGINT AS invalid_ballots FROM turnout x JOIN rounds r ON r.round_id = x.election_round_id WHERE x.polling_station_id IN (SELECT station FROM inside) GROUP BY ALL) z
+       JOIN (SELECT election_round_id, string_agg('{"place":' || place::VARCHAR || ',"name":' || to_json(name)::VARCHAR || ',"votes":' || votes::VARCHAR || '}', ',' ORDER BY place) AS top_lists FROM
+        (SELECT *, row_number() OVER (PARTITION BY election_round_id ORDER BY votes DESC, name) AS place FROM (SELECT l.election_round_id, l.name, sum(r.votes)::BIGINT AS votes FROM list_result r
+         JOIN electoral_list l ON l.id = r.electoral_list_id WHERE r.polling_station_id IN (SELECT station FROM inside) GROUP BY ALL)) WHERE place <= 5 GROUP BY ALL) a ON a.election_round_id = z.election_round_id
+       JOIN (SELECT election_round_id, string_agg('{"place":' || place::VARCHAR || ',"name":' || to_json(name)::VARCHAR || ',"votes":' || votes::VARCHAR || ',"list_name":' || to_json(list_name)::VARCHAR || '}', ',' ORDER BY place) AS top_candidates FROM
+        (SELECT *, row_number() OVER (PARTITION BY election_round_id ORDER BY votes DESC, name, list_name) AS place FROM (SELECT l.election_round_id, p.first_name || ' ' || p.last_name AS name, l.name AS list_name,
+         sum(r.votes)::BIGINT AS votes FROM candidate_result r JOIN candidacy c ON c.id = r.candidacy_id JOIN person p ON p.id = c.person_id JOIN electoral_list l ON l.id = c.electoral_list_id
+         WHERE r.polling_station_id IN (SELECT station FROM inside) GROUP BY ALL)) WHERE place <= 5 GROUP BY ALL) b ON b.election_round_id = z.election_round_id""",
+    _ROUNDS + ", inside AS (SELECT p.id AS station FROM polling_station p JOIN municipality m ON m.id = p.municipality_id WHERE m.county_id = 2)",
+)
 def json_payload(t):
     """A profile as the nested text that an interface would send."""
     return profiles.location_profile(t, county=2).select("election_round_id", F.to_json(F.struct("election", "year", *totals.MEASURES, "top_lists", "top_candidates")).alias("payload"))

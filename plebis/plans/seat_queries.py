@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plebis import schema
 from plebis.operators import apportion, rank, totals
+from plebis.operators.scope import scope_stations
 from plebis.plans.catalog import query
 from plebis.plans.table_queries import _ROUNDS
 
@@ -104,7 +105,8 @@ def sabor_district_detail(t):
 
 
 @query(
-    "SELECT s.year, s.district, s.party, coalesce(p.first_name || ' ' || p.last_name, s.party) AS name, s.chosen, k.party_rank FROM "
+    "SELECT s.year, s.district, s.party, coalesce(p.first_name || ' ' || p.last_name, s.party) AS name, s.chosen, k.party_rank, "
+    "row_number() OVER (PARTITION BY s.year ORDER BY k.party_rank, s.district, s.electoral_list_id, s.chosen) AS place FROM "
     "(SELECT year, district, party, electoral_list_id, unnest(generate_series(1, seats)) AS chosen FROM ps WHERE seats > 0) s "
     "LEFT JOIN chosen c ON c.electoral_list_id = s.electoral_list_id AND c.nth = s.chosen LEFT JOIN person p ON p.id = c.person_id "
     "JOIN (SELECT year, party, row_number() OVER (PARTITION BY year ORDER BY seats DESC, party) AS party_rank FROM "
@@ -112,7 +114,7 @@ def sabor_district_detail(t):
     _LISTS,
 )
 def seat_holders(t):
-    return apportion.seat_holders(t, _parliament(t)).select("year", "district", "party", "name", "chosen", "party_rank")
+    return apportion.seat_holders(t, _parliament(t)).select("year", "district", "party", "name", "chosen", "party_rank", "place")
 
 
 @query("SELECT year, id AS candidacy_id FROM chosen JOIN (SELECT electoral_list_id, year FROM ps) USING (electoral_list_id)", _LISTS)
@@ -146,17 +148,34 @@ def sabor_raw(t):
 
 @query(
     "SELECT year, trim(split_part(split_part(name, chr(10), 1), ',', 1)) AS party, sum(votes)::BIGINT AS votes, round(sum(votes / total_votes * 100.0::DOUBLE), 9) AS votes_pct, "
-    "sum(seats)::BIGINT AS seats, bool_or(eligible) AS eligible FROM es GROUP BY ALL",
+    "sum(seats)::BIGINT AS seats, bool_or(eligible) AS eligible, max(ceil(total_votes * 0.05::DOUBLE))::BIGINT AS threshold_votes, "
+    "row_number() OVER (PARTITION BY year ORDER BY sum(seats) DESC, sum(votes) DESC, trim(split_part(split_part(name, chr(10), 1), ',', 1))) AS place FROM es GROUP BY year, trim(split_part(split_part(name, chr(10), 1), ',', 1))",
     _LISTS + _EUROPE,
 )
 def eu_seats(t):
     return apportion.europe_parties(apportion.europe_lists(t)).withColumn("votes_pct", F.round("votes_pct", 9))
 
 
+_COUNTY_LISTS = _LISTS.replace(
+    "FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id GROUP BY ALL),\npl0",
+    "FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id WHERE r.polling_station_id IN "
+    "(SELECT p.id FROM polling_station p JOIN municipality m ON m.id = p.municipality_id WHERE m.county_id = 2) GROUP BY ALL),\npl0",
+)
+
+
+@query(
+    "SELECT year, name, votes, total_votes, ceil(total_votes * 0.05::DOUBLE)::BIGINT AS threshold_votes, eligible, seats FROM es",
+    _COUNTY_LISTS + _EUROPE,
+)
+def eu_scope_seats(t):
+    """Seats as the votes of one county would give them."""
+    return apportion.europe_lists(t, scope_stations(t, county=2)).select("year", "name", "votes", "total_votes", "threshold_votes", "eligible", "seats")
+
+
 @query(
     "SELECT es.year, pv.id AS candidacy_id, p.first_name || ' ' || p.last_name AS name, trim(split_part(split_part(l.name, chr(10), 1), ',', 1)) AS party, l.name AS list_name, "
     "pv.position_on_list, pv.personal_votes, CASE WHEN es.total_votes > 0 THEN pv.personal_votes / es.total_votes * 100.0::DOUBLE ELSE 0 END AS personal_pct, "
-    "coalesce(w.won, false) AS is_winner FROM pv JOIN electoral_list l ON l.id = pv.electoral_list_id JOIN person p ON p.id = pv.person_id "
+    "coalesce(w.won, false) AS is_winner, row_number() OVER (PARTITION BY es.year ORDER BY pv.personal_votes DESC, pv.id) AS place FROM pv JOIN electoral_list l ON l.id = pv.electoral_list_id JOIN person p ON p.id = pv.person_id "
     "JOIN (SELECT election_round_id, year, max(total_votes) AS total_votes FROM es GROUP BY ALL) es ON es.election_round_id = l.election_round_id "
     "LEFT JOIN (SELECT id, true AS won FROM (SELECT pv.id, es.seats, row_number() OVER (PARTITION BY electoral_list_id ORDER BY (personal_votes >= es.votes * 10.0::DOUBLE / 100.0::DOUBLE) DESC, "
     "CASE WHEN personal_votes >= es.votes * 10.0::DOUBLE / 100.0::DOUBLE THEN personal_votes END DESC NULLS LAST, position_on_list, pv.id) AS nth "

@@ -19,12 +19,38 @@ def merge_persons(t):
     return maintain.person_mapping(people)
 
 
+@query("SELECT 'candidacy' AS kind, id, person_id FROM candidacy UNION ALL SELECT 'person', id, id FROM person")
+def merge_persons_applied(t):
+    """Every person stands twice, and every other candidacy is the copy's: copies
+    go, their candidacies pass to whom they copy."""
+    copies = t.person.withColumn("id", F.col("id") + 100000)
+    people = t.person.unionByName(copies)
+    theirs = t.candidacy.withColumn("person_id", F.col("person_id") + F.when(F.col("id") % 2 == 0, 100000).otherwise(0))
+    mapping = maintain.person_mapping(people)
+    moved = maintain.repoint(theirs, mapping, "person_id").select(F.lit("candidacy").alias("kind"), "id", "person_id")
+    return moved.unionByName(maintain.merged(people, mapping).select(F.lit("person").alias("kind"), "id", F.col("id").alias("person_id")))
+
+
+@query(
+    "SELECT id, first_name, last_name, normalized_name FROM person WHERE id % 3 = 0 UNION ALL SELECT id + 100000, first_name, last_name, normalized_name FROM person WHERE id % 3 <> 0"
+)
+def clean_titles_applied(t):
+    bare, titled = _titled(t)
+    people = bare.unionByName(titled)
+    return maintain.without_titles(people, maintain.title_mapping(people))
+
+
 @query(
     "SELECT id + 100000 AS id, CASE WHEN id % 3 = 0 THEN 'merge' ELSE 'rename' END AS action, CASE WHEN id % 3 = 0 THEN id ELSE id + 100000 END AS canonical_id, "
     "first_name || ' ' || last_name AS clean_name FROM person"
 )
 def clean_titles(t):
     """Every person once more with a title; every third is known without it."""
+    bare, titled = _titled(t)
+    return maintain.title_mapping(bare.unionByName(titled))
+
+
+def _titled(t):
     bare = t.person.where("id % 3 = 0")
     titled = t.person.select(
         (F.col("id") + 100000).alias("id"),
@@ -32,7 +58,32 @@ def clean_titles(t):
         "last_name",
         F.concat(F.lit("DR.SC. "), "normalized_name").alias("normalized_name"),
     )
-    return maintain.title_mapping(bare.unionByName(titled))
+    return bare, titled
+
+
+@query(
+    "SELECT 'station' AS kind, id AS station, municipality_id AS at, 0::BIGINT AS votes FROM polling_station UNION ALL "
+    "SELECT 'result', polling_station_id, electoral_list_id, votes FROM list_result"
+)
+def merge_municipalities_applied(t):
+    """Stations stand again under a town's copy; odd ones' results are kept there,
+    even ones' stand in both places, with other votes in the copy."""
+    munis = t.municipality
+    copies = munis.withColumn("id", F.col("id") + 1000).withColumn("name", F.concat(F.lit("GRAD "), F.lower("name"))).withColumn("type", F.lit(""))
+    mapping = maintain.municipality_mapping(munis.unionByName(copies))
+    shift = 10_000_000
+    again = t.polling_station.withColumn("id", F.col("id") + shift).withColumn("municipality_id", F.col("municipality_id") + 1000)
+    stations, gone = maintain.merged_stations(t.polling_station.unionByName(again), mapping)
+    odd = F.col("polling_station_id") % 2 != 0
+    there = t.list_result.withColumn("polling_station_id", F.col("polling_station_id") + shift)
+    facts = (
+        t.list_result.where(~odd)
+        .unionByName(there.where(odd))
+        .unionByName(there.where(~odd).withColumn("votes", F.col("votes") + 5))
+    )
+    moved = maintain.move_results(facts, gone, ["electoral_list_id"])
+    left = stations.select(F.lit("station").alias("kind"), F.col("id").alias("station"), F.col("municipality_id").alias("at"), F.lit(0).cast("long").alias("votes"))
+    return left.unionByName(moved.select(F.lit("result").alias("kind"), F.col("polling_station_id").alias("station"), F.col("electoral_list_id").alias("at"), "votes"))
 
 
 @query("SELECT id + 1000 AS id, id AS canonical_id FROM municipality WHERE id % 5 <> 0")
@@ -63,6 +114,61 @@ def mandate_upsert(t):
     return maintain.mandates(t, roster, ["Izbori za Europski parlament"])
 
 
+@query(
+    "SELECT x.year, min(c.id)::BIGINT AS candidacy_id FROM candidacy c JOIN person p ON p.id = c.person_id JOIN electoral_list l ON l.id = c.electoral_list_id "
+    "JOIN election_round r ON r.id = l.election_round_id JOIN election x ON x.id = r.election_id WHERE x.election_type_id = 3 AND x.year % 2 = 0 AND p.id % 14 = x.year % 14 GROUP BY x.year, p.normalized_name "
+    "UNION ALL SELECT year, -1::BIGINT FROM election WHERE election_type_id = 3 AND year % 2 = 1"
+)
+def mandate_stale(t):
+    """Every year has a stale row; rosters come for even years, whose rows go."""
+    years = t.election.where("election_type_id = 3").select("year")
+    roster = t.person.join(F.broadcast(years.where("year % 2 = 0")), F.col("id") % 14 == F.col("year") % 14).select("year", "normalized_name", F.lit("G").alias("group"))
+    fresh = maintain.mandates(t, roster, ["Izbori za Europski parlament"])
+    stale = years.select("year", F.lit("X").alias("normalized_name"), F.lit(-1).cast("long").alias("candidacy_id"), F.lit("G").alias("group"))
+    return maintain.replace_years(stale, fresh).select("year", "candidacy_id")
+
+
+@query(
+    "SELECT 'electoral_list' AS table_name, count(*)::BIGINT AS n FROM electoral_list WHERE district_id IS NULL OR district_id % 1000 NOT IN (12, 121, 122, 123, 124, 125, 126) "
+    "UNION ALL SELECT 'list_result', count(*)::BIGINT FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id WHERE l.district_id IS NULL OR l.district_id % 1000 NOT IN (12, 121, 122, 123, 124, 125, 126) "
+    "UNION ALL SELECT 'candidacy', count(*)::BIGINT FROM candidacy c JOIN electoral_list l ON l.id = c.electoral_list_id WHERE l.district_id IS NULL OR l.district_id % 1000 NOT IN (12, 121, 122, 123, 124, 125, 126) "
+    "UNION ALL SELECT 'candidate_result', count(*)::BIGINT FROM candidate_result r JOIN candidacy c ON c.id = r.candidacy_id JOIN electoral_list l ON l.id = c.electoral_list_id WHERE l.district_id IS NULL OR l.district_id % 1000 NOT IN (12, 121, 122, 123, 124, 125, 126) "
+    "UNION ALL SELECT 'turnout', count(*)::BIGINT FROM turnout"
+)
+def wipe_district_12(t):
+    """District 12 takes its sub-districts along and leaves turnout."""
+    counts = [left.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, left in maintain.wiped(t, 12).items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).unionByName(counts[4])
+
+
+@query(
+    "SELECT county_id, name, type FROM municipality WHERE id % 2 = 0 UNION ALL SELECT county_id, 'GRAD ' || lower(name), CASE WHEN id % 3 = 0 THEN 'općina' ELSE 'grad' END FROM municipality WHERE id % 2 = 1"
+)
+def municipality_get_or_create(t):
+    """Even towns are known; all come in twice, first with a prefix and a type as
+    it may be written."""
+    munis = t.municipality
+    written = F.when(F.col("id") % 3 == 0, "OP INA").otherwise("Grad ")
+    first = munis.select("county_id", F.concat(F.lit("GRAD "), F.lower("name")).alias("name"), written.alias("type"), F.lit(1).alias("seq"))
+    later = munis.select("county_id", "name", "type", F.lit(2).alias("seq"))
+    return maintain.municipalities_get_or_create(munis.where("id % 2 = 0"), first.unionByName(later)).select("county_id", "name", "type")
+
+
+@query(
+    "SELECT slug, name, NULL::VARCHAR AS parent FROM election_type UNION ALL SELECT 'local_' || id::VARCHAR, 'Town ' || id::VARCHAR, 'local_votes_' || (id % 3)::VARCHAR FROM municipality "
+    "UNION ALL SELECT DISTINCT 'local_votes_' || (id % 3)::VARCHAR, 'Local Votes ' || (id % 3)::VARCHAR, NULL FROM municipality"
+)
+def type_get_or_create(t):
+    """A type for each town under one of three parents that nobody has named."""
+    known = t.election_type.select("slug", "name", F.lit(None).cast("string").alias("parent"))
+    key = F.col("id").cast("string")
+    incoming = t.municipality.select(
+        F.concat(F.lit("local_"), key).alias("slug"), F.concat(F.lit("Town "), key).alias("name"),
+        F.concat(F.lit("local_votes_"), (F.col("id") % 3).cast("string")).alias("parent"), F.lit(1).alias("seq"),
+    )
+    return maintain.types_get_or_create(known, incoming)
+
+
 @query(
     "SELECT 'list_result' AS table_name, count(*)::BIGINT AS n FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id WHERE l.district_id IS NULL OR l.district_id % 1000 <> 5 "
     "UNION ALL SELECT 'candidacy', count(*)::BIGINT FROM candidacy c JOIN electoral_list l ON l.id = c.electoral_list_id WHERE l.district_id IS NULL OR l.district_id % 1000 <> 5 "

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import csv
 import io
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plebis.functions.names import parse_int, strip
 
+LOG = logging.getLogger(__name__)
 CELLS = "file string, row_no long, cells array<string>"
 
 #: Column offsets by layout; None where a sheet lacks the cell.
@@ -39,7 +42,18 @@ LAYOUTS = {
         "county_code": 2, "county_name": 3, "muni_type": 4, "muni_name": 5, "station_number": 6, "station_name": 7, "location": 8, "address": 9,
         "registered": 10, "cast": 11, "valid": 13, "invalid": 14,
     },
+    "presidential_2000_abroad": {
+        "county_code": None, "county_name": None, "muni_type": None, "muni_name": 0, "station_number": None, "station_name": None, "location": None,
+        "address": None, "registered": 1, "cast": 2, "valid": 3, "invalid": 4,
+    },
+    "europe": STANDARD,
+    "europe_2014": {
+        "county_code": 0, "county_name": 1, "muni_type": 2, "muni_name": 3, "station_number": 10, "station_name": 11, "location": 12, "address": 13,
+        "registered": 14, "cast": 15, "valid": 17, "invalid": 18,
+    },
 }
+#: First column of votes, and columns a list with its candidates, of European sheets.
+EUROPE_GROUPS = {2013: (13, 13), 2014: (19, 12), 2019: (13, 13), 2024: (13, 13)}
 MEASURES = ("registered", "cast", "valid", "invalid")
 
 
@@ -64,6 +78,22 @@ def scan_cells(spark: SparkSession, path: str, glob: str | None = None, **option
     return parse_cells(files(spark, path, glob), **options)
 
 
+def scan_each(spark: SparkSession, paths: dict[str, str], **options) -> DataFrame:
+    """Sheets of several paths, with the label that each has in ``paths``; a path
+    that is not there is logged and left out."""
+    found = spark.createDataFrame([], f"label string, {CELLS}")
+    for label, path in paths.items():
+        try:
+            read = scan_cells(spark, path, **options)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            LOG.warning("%s: nothing at %s", label, path)
+            continue
+        found = found.unionByName(read.withColumn("label", F.lit(label)))
+    return found
+
+
 def header_of(cells: DataFrame) -> DataFrame:
     """(col, text) of the header; of several files, that of the first by name."""
     first = cells.where("row_no = 0").orderBy("file").limit(1)
@@ -75,6 +105,11 @@ def body_of(cells: DataFrame, least: int = 0) -> DataFrame:
     return cells.where((F.col("row_no") > 0) & (F.size("cells") >= least))
 
 
+def begun(cells: DataFrame) -> DataFrame:
+    """Rows whose first cell is there."""
+    return cells.where(F.get("cells", F.lit(0)).isNotNull())
+
+
 def layout_columns(layout: dict[str, int | None], cells: str | Column = "cells") -> list[Column]:
     """The cells that a layout names, null where it has none; counts as integers."""
     out = []

@@ -2,7 +2,8 @@
 
 Each layout is a rule from the header (col, text) to the columns that hold votes:
 (col, list_name, position, name), position 0 for the list itself.  The header is
-as wide as a sheet, so it is broadcast and the rows are exploded in place.
+as wide as a sheet, so it goes to the rows as one array, and only cells that hold
+something become rows of their own.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from plebis.functions.names import clean_candidate_name, parse_int
 
 # Words that tell the name of a list.
 LIST_WORDS = (
-    "HDZ SDP DP HSS HSP MOST HKS IDS HNS HSLS SDSS BDSH OIP FOKUS AUTOHTONA CENTAR MOŽEMO STRANKA PLATFORMA REPUBLIKA POKRET "
-    "KOALICIJA SAVEZ UNIJA FORUM DOMOVINSKI HRVATSKA HRVATSKI HRVATSKO HRVATSKE DEMOKRATSKA DEMOKRATSKI ZAJEDNICA BILO POLITIČKA "
-    "LIBERALNA SELJAČKA SOCIJALDEMOKRATSKA NARODNA NARODNI PRAVA LIJEVI DESNI ODLUČNOST PRAVEDNOST ZELENA NOVA PRAVDA RIJEKA RDS"
-).split()
+    "HDZ", "SDP", "DP", "HSS", "HSP", "MOST", "HKS", "IDS", "HNS", "HSLS", "SDSS", "BDSH", "OIP", "FOKUS", "AUTOHTONA", "CENTAR",
+    "MOŽEMO", "STRANKA", "PLATFORMA", "REPUBLIKA", "POKRET", "KOALICIJA", "SAVEZ", "UNIJA", "FORUM", "DOMOVINSKI", "HRVATSKA",
+    "HRVATSKI", "HRVATSKO", "HRVATSKE", "DEMOKRATSKA", "DEMOKRATSKI", "ZAJEDNICA", "BILO", "POLITIČKA", "LIBERALNA", "SELJAČKA",
+    "SOCIJALDEMOKRATSKA", "NARODNA", "NARODNI", "PRAVA", "LIJEVI", "DESNI", "ODLUČNOST", "PRAVEDNOST", "ZELENA", "NOVA", "PRAVDA",
+    "RIJEKA", "RDS",
+)
 
 
 def _ordered():
@@ -43,7 +46,7 @@ def variable_groups(header: DataFrame, first: int) -> DataFrame:
     """A list starts at a cell that reads like one; its candidates are the filled
     cells up to the next.  The i-th of them is read i columns after the list, blank
     cells between them or not."""
-    words = F.split(F.upper("text"), r"(?U)[\s,]+")
+    words = F.split(F.replace(F.replace("text", F.lit("."), F.lit("")), F.lit("!"), F.lit("")), r"(?U)\s+")
     is_list = F.contains("text", F.lit(" - ")) | F.contains("text", F.lit(",")) | F.contains("text", F.lit("!")) | F.arrays_overlap(
         words, F.array(*map(F.lit, LIST_WORDS))
     )
@@ -89,9 +92,15 @@ def compacted(header: DataFrame, first: int) -> DataFrame:
     return filled(header, first).withColumn("sheet", F.lit(0)).withColumn("col", at.cast("int")).drop("sheet")
 
 
-def melt(rows: DataFrame, columns: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:
-    """One row a row and vote column; missing cells count 0."""
-    long = rows.select(*keys, F.posexplode(cells).alias("col", "cell"))
-    return long.join(F.broadcast(columns), "col").select(
-        *keys, "list_name", "position", "name", parse_int(F.coalesce("cell", F.lit(""))).cast("long").alias("votes")
+def melt(rows: DataFrame, columns: DataFrame, keys: list[str], cells: str = "cells", blanks: bool = True) -> DataFrame:
+    """One row a row and vote column that the row reaches; missing cells count 0,
+    or are left out without ``blanks``."""
+    wanted = columns.agg(F.collect_list(F.struct("col", "list_name", "position", "name")).alias("__wanted"))
+    read = F.transform(
+        F.filter("__wanted", lambda c: c["col"] < F.size(cells)),
+        lambda c: F.struct(c["list_name"].alias("list_name"), c["position"].alias("position"), c["name"].alias("name"), F.get(F.col(cells), c["col"]).alias("cell")),
     )
+    if not blanks:
+        read = F.filter(read, lambda c: ~F.coalesce(c["cell"], F.lit("")).isin("", "-", "0"))
+    long = rows.join(F.broadcast(wanted)).select(*keys, F.inline(read))  # one row, as wide as a sheet
+    return long.select(*keys, "list_name", "position", "name", parse_int(F.coalesce("cell", F.lit(""))).cast("long").alias("votes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import re
 import zipfile
 from collections.abc import Iterator
@@ -77,7 +78,8 @@ def parse_sheets(found: DataFrame, title_rows: int = 1) -> DataFrame:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows = list(workbook_rows(bytes(content)))
-                except (zipfile.BadZipFile, KeyError, Tree.ParseError):
+                except (zipfile.BadZipFile, KeyError, Tree.ParseError) as error:
+                    logging.getLogger(__name__).warning("%s: no workbook: %s", path, error)
                     continue
                 kept = [r for r in rows if r[1] >= title_rows]
                 yield pd.DataFrame(

@@ -3,6 +3,7 @@
 import tempfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from plebis.sources import cells, melt, sheets
@@ -53,3 +54,32 @@ def test_stream_replaces_keys(spark):
     newest = max(base.glob("out/v=*"), key=lambda p: int(p.name[2:]))
     got = sorted(tuple(r)[:4] for r in spark.read.parquet(str(newest)).select(*[F.col(c.split()[0]) for c in schema.split(", ")]).collect())
     assert got == [(1, 1, 10, 8), (1, 2, 9, 8)]
+
+
+def test_ids_from_text():
+    from plebis.operators.scope import parse_ids
+
+    assert parse_ids(" 1, 22,,3 ") == [1, 22, 3] and parse_ids(None) == []
+    with pytest.raises(ValueError):
+        parse_ids("1,x")
+
+
+def test_lists_by_keyword(spark):
+    from plebis.sources import melt
+
+    header = ["g", "HDZ", "Ana Nova", "Marko Most", "S.D.P.", "Iva Kos", "", "NOVA!", "Rok Kos"]
+    rows = spark.createDataFrame(list(enumerate(header)), "col int, text string")
+    got = sorted(map(tuple, melt.variable_groups(rows, 1).collect()))
+    assert got == [
+        (1, "HDZ", 0, "HDZ"), (2, "HDZ", 1, "Ana Nova"), (3, "HDZ", 2, "Marko Most"), (4, "S.D.P.", 0, "S.D.P."), (5, "S.D.P.", 1, "Iva Kos"),
+        (7, "NOVA!", 0, "NOVA!"), (8, "NOVA!", 1, "Rok Kos"),
+    ]
+
+
+def test_melt_reads_what_a_row_reaches(spark):
+    from plebis.sources import melt
+
+    columns = spark.createDataFrame([(1, "a", 0, "a"), (2, "b", 0, "b"), (3, "c", 0, "c")], "col int, list_name string, position int, name string")
+    rows = spark.createDataFrame([(1, ["x", "5", None, "1.200"]), (2, ["x", "-"]), (3, [])], "k int, cells array<string>")
+    got = lambda blanks: sorted((r["k"], r["name"], r["votes"]) for r in melt.melt(rows, columns, ["k"], blanks=blanks).collect())
+    assert got(True) == [(1, "a", 5), (1, "b", 0), (1, "c", 1200), (2, "a", 0)] and got(False) == [(1, "a", 5), (1, "c", 1200)]
