@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +57,7 @@ _BLOCKS = set(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_CLOSED_BY_NEXT = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
 _HOLDERS = {"article", "body", "div", "main", "section", "td"}
 _STRIP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(_HIDDEN) + r")\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I
@@ -68,33 +71,43 @@ _WHITE = re.compile(r"\s+")
 WINDOW, SURGE = 3, 80
 
 
+class _Open(NamedTuple):
+    """An open element, and what it and all around it say about the text in it."""
+
+    name: str
+    outside: bool
+    marked: int  # number of the outermost marked article, or 0
+    number: int
+    holder: int
+    heading: bool
+    linked: bool
+    labels: tuple[int, ...]  # numbers of containers that are outside by their label alone
+
+
 def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, weight, marked article or 0, container, heading) of every line."""
     page = _HEAD.sub(" ", _STRIP.sub(" ", page))
     out: list[tuple[tuple[str, int, int, int, bool], tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, outside, article, number, outside by its label alone
+    stack: list[_Open] = [_Open("", False, 0, 0, 0, False, False, ())]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     free = False  # letters or digits outside links
     at = 0
-    n_opened = 0
 
     def flush() -> None:
         nonlocal parts, linked, free
         if parts:
             text = _WHITE.sub(" ", references.unescape("".join(parts))).strip()
-            if text and not any(s[1] for s in stack):
-                marked = next((s[3] for s in stack if s[2]), 0)
-                holder = next((s[3] for s in reversed(stack) if s[0] in _HOLDERS), 0)
-                heading = any(s[0] in _HEADINGS for s in stack)
-                line = (text, max(1, len(text) - linked) if free else 0, marked, holder, heading)
-                out.append((line, tuple(s[3] for s in stack if s[4])))
+            top = stack[-1]
+            if text and not top.outside:
+                out.append(((text, max(1, len(text) - linked) if free else 0, top.marked, top.holder, top.heading), top.labels))
         parts, linked, free = [], 0, False
 
     def take(text: str) -> None:
         nonlocal linked, free
         parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if stack[-1].linked:
             linked += len(text)
         elif not free:
             free = any(map(str.isalnum, references.unescape(text)))
@@ -113,28 +126,40 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
         if name in _BLOCKS:
             flush()
         if tag.group(1):
-            for back in range(len(stack) - 1, -1, -1):
-                if stack[back][0] == name:
-                    # An inline end tag does not close the blocks it stands in.
-                    if name in _BLOCKS or all(s[0] not in _BLOCKS for s in stack[back + 1 :]):
-                        del stack[back:]
-                    break
+            # An inline end tag does not close the blocks it stands in.
+            back = len(stack) - 1 if opened[name] else 0
+            while back and stack[back].name != name and (name in _BLOCKS or stack[back].name not in _BLOCKS):
+                back -= 1
+            if back and stack[back].name == name:
+                opened.subtract(o.name for o in stack[back:])
+                del stack[back:]
         elif name not in _VOID and not tag.group(3).endswith("/"):
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+            if name in _CLOSED_BY_NEXT and stack[-1].name == name:
+                opened[stack.pop().name] -= 1
+            top = stack[-1]
             label = " ".join(filter(None, (g for m in _LABEL.finditer(tag.group(3)) for g in m.groups())))
             outside = name in _OUTSIDE
             by_label = not outside and name not in _MAIN and name not in ("body", "html") and any(map(_NAMED.fullmatch, label.split()))
             by_label = by_label or name == "form"  # may wrap a whole page
-            if name == "header" and any(s[2] for s in stack):
+            if name == "header" and top.marked:
                 outside = False  # the article's own heading
             if name == "article" and label and re.search(r"(?:^|[\s_-])comment", label, re.I):
                 outside = True
             if name in _BLOCKS or name == "a" or outside or by_label:
-                n_opened += 1
-                stack.append((name, outside, name in _MAIN and not outside, n_opened, by_label))
+                number = tag.start() + 1
+                opened[name] += 1
+                stack.append(
+                    _Open(
+                        name,
+                        top.outside or outside,
+                        top.marked or (number if name in _MAIN and not outside else 0),
+                        number,
+                        number if name in _HOLDERS else top.holder,
+                        top.heading or name in _HEADINGS,
+                        top.linked or name == "a",
+                        (*top.labels, number) if by_label else top.labels,
+                    )
+                )
     take(page[at:])
     flush()
     return within(out)

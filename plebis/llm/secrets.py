@@ -6,11 +6,14 @@ in (digits, hex, base32, base36, base58, base62, either base64): chi-squared
 uniformity of its letters, for digits also of their steps, a runs test about the
 alphabet's middle and the lag-1 serial correlation.  A run is reported when no test of the
 battery speaks against randomness and its uniformity is too good for ordinary
-text.  The p-values of the latter go through a weighted step-up procedure in each
-document, whose weights follow the length of the runs, so that short runs, on
-which chance says little, need more evidence.
+text.  The p-values of the latter go through a weighted step-up procedure over all
+runs of the table, whose weights follow the length of the runs up to a bound, so that
+short runs, on which chance says little, need more evidence: of all runs reported, a share of
+``level`` at most is expected to be ordinary text.
 
-Everything is row-local: no shuffle, no join, no Python.
+A first pass counts the weighted p-values in steps of an eighth of their logarithm;
+the step-up procedure runs over these counts, rounded against discovery, and its one
+bar is held against every run in the second pass, which is row-local.
 
 Defined results.  Null text scans as the empty text.  Offsets are code points,
 end exclusive.  Repeated rows and null ids give a row each; an empty table gives
@@ -19,7 +22,7 @@ no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis.llm.common import joined, table
@@ -51,6 +54,10 @@ BASE58 = "".join(c for c in BASE62 if c not in "0OIl")
 BASE64, BASE64_URL, BASE64_BOTH = BASE62 + "+/", BASE62 + "-_", BASE62 + "+/_-"
 #: Runs from this length on that lack some letters of a larger alphabet are of the smaller one.
 LONG = 60
+#: Length from which a run's weight grows no more.
+WEIGHED = 30
+#: Steps to a unit of the logarithm, in which p-values are counted.
+STEPS = 8
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -187,18 +194,33 @@ def battery(runs: Column) -> Column:
     return F.transform(F.transform(known, measure), decide)
 
 
-def discoveries(tested: Column, level: float, doubt: float) -> Column:
-    """The runs that a weighted step-up procedure keeps at false-discovery rate
-    ``level``, without those that the battery finds unlike random letters."""
-    def kept(per_run: Column) -> Column:
-        """per_run: the mean length of a run, by which each one's length is scaled."""
-        scaled = lambda s: s["p_text"] * per_run / s["n"]
-        m = F.size(tested)
-        ranked = F.transform(F.array_sort(F.transform(tested, scaled)), lambda p, i: F.when(p <= F.lit(level) * (i + 1) / m, p))
-        bar = F.coalesce(F.array_max(ranked), F.lit(-1.0))
-        return let(bar, lambda most: F.filter(tested, lambda s: (scaled(s) <= most) & (s["p_random"] >= doubt)))
+def _weight(s: Column) -> Column:
+    return F.least(s["n"], F.lit(float(WEIGHED)))
 
-    return let(F.aggregate(tested, F.lit(0.0), lambda a, s: a + s["n"]) / F.greatest(F.size(tested), F.lit(1)), kept)
+
+def _step_of(s: Column) -> Column:
+    """The step of a run's p-value divided by its weight."""
+    return F.floor(-F.log(F.greatest(s["p_text"] / _weight(s), F.lit(1e-300))) * STEPS).cast("int")
+
+
+def bar_of(tested: DataFrame, level: float) -> DataFrame:
+    """Rows ``tested`` (arrays of runs) to one row: the least step at which the
+    weighted step-up procedure over all runs keeps a run."""
+    counts = tested.select(F.explode("tested").alias("s")).groupBy(_step_of(F.col("s")).alias("step")).agg(
+        F.count("*").alias("c"), F.sum(_weight(F.col("s"))).alias("n")
+    )
+    # Some thousand steps at most, however large the table is.
+    everything = Window.partitionBy()
+    upper = F.exp(-F.col("step") / STEPS) * F.sum("n").over(everything) / F.sum("c").over(everything)
+    reached = F.sum("c").over(Window.orderBy(F.desc("step")))
+    kept = counts.withColumn("keeps", upper * F.sum("c").over(everything) <= F.lit(level) * reached)
+    return kept.agg(F.coalesce(F.min(F.when(F.col("keeps"), F.col("step"))), F.lit(1 << 30)).alias("__secret_bar"))
+
+
+def discoveries(tested: Column, bar: Column, doubt: float) -> Column:
+    """The runs that reach the bar, without those that the battery finds unlike
+    random letters."""
+    return F.filter(tested, lambda s: (_step_of(s) >= bar) & (s["p_random"] >= doubt))
 
 
 def _ranked(found: Column, nth: int) -> Column:
@@ -219,19 +241,24 @@ def scan(docs: DataFrame, text: str = "text", level: float = 0.05, doubt: float
         elif pattern == ACCESS:
             found = F.filter(found, lambda s: F.length(s["match"]) >= 20)
         spans.append(_ranked(found, nth))
-    runs = located(whole, RUN)
-    random = _ranked(let(battery(runs), lambda tested: discoveries(tested, level, doubt)), 3)
+    tested = battery(located(whole, RUN))
+    bar = bar_of(docs.where(docs[text].rlike(RUN)).select(tested.alias("tested")), level)
+    random = _ranked(discoveries(tested, bar["__secret_bar"], doubt), 3)
     ordered = F.array_sort(F.concat(*spans, random))
     named = F.transform(
         ordered,
         lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["nth"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return docs.select(*[docs[c] for c in docs.columns if c != into], named.alias(into))
+    # One row of one number.
+    return docs.join(F.broadcast(bar)).select(*[docs[c] for c in docs.columns if c != into], named.alias(into))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", spans: str = "__secret_spans") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows with every reported span of the text replaced by ``mark``;
     spans that overlap or touch make one mark."""
+    spans = "__secret_spans"
+    while spans in docs.columns:
+        spans += "_"  # a name that no column has
     found = scan(docs, text, into=spans)
     merged = F.aggregate(
         spans,

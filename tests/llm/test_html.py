@@ -68,3 +68,47 @@ def test_rows(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.main_text(df).collect())
     assert got == [(1, EXPECTED, len(EXPECTED)), (2, "", 0), (2, "", 0)]
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def brute(page):
+    """Windows over line weights, place by place."""
+    found = html.lines(page or "")
+    if any(line[1] and line[2] for line in found):
+        found = [line for line in found if line[2]]
+    w = [line[1] for line in found]
+    n, level = len(w), min(html.SURGE, max(w, default=0))
+    window = lambda i: sum(w[i : i + html.WINDOW])
+    goes_on = lambda i: w[i] > 0 or (window(i) >= level and window(i) > 0)
+    inside, kept = False, set()
+    start = None
+    for i in range(n + 1):
+        if inside and (i == n or not goes_on(i)):
+            weight = {}
+            for k in range(start, i):
+                weight.setdefault(found[k][3], []).append(w[k])
+            own = max(weight, key=lambda h: sum(weight[h]))
+            first, last = start, i
+            while first > 0 and found[first - 1][3] == own:
+                first -= 1
+            while last < n and found[last][3] == own:
+                last += 1
+            kept |= {k for k in range(first, last) if w[k] or found[k][4]}
+            inside = False
+        elif not inside and i < n and w[i] and window(i) >= level:
+            inside, start = True, i
+    return "\n\n".join(found[k][0] for k in sorted(kept))
+
+
+def test_windows_against_brute_force(spark, data):
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").select("html").collect()]
+    unmarked = [p.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div") for p in pages if p]
+    for page in [*pages, *unmarked]:
+        assert html.extract(page) == brute(page)
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html.extract("<div>x" * 16_000 + "<p>" + "word " * 40) .endswith("word")
+    assert time.process_time() - began < 2

@@ -99,3 +99,15 @@ def test_small_sources_are_filled_from_later_blocks(docs_of):
             own = [r for r in got if r["source"] == source]
             taken = sum(r["size"] * len(r["draws"]) for r in own)
             assert own[0]["target"] - min(r["size"] for r in own) < taken <= own[0]["target"]
+
+
+def test_the_tree_decides(corpus, plan, monkeypatch):
+    """Another splitting of the same quotas gives other shards and other documents."""
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, n, seed: split(quotas, n, seed + 1))
+    other = mixing.plan_documents(corpus[1], n_shards=4, n_blocks=64).collect()
+    key = lambda rows, what: sorted((str(r["key"]), str(what(r["draws"]))) for r in rows)
+    assert key(plan, lambda d: [x["shard"] for x in d]) != key(other, lambda d: [x["shard"] for x in d])
+    assert key(plan, len) != key(other, len)
+    shares = [sum(x["shard"] == k for r in plan for x in r["draws"]) for k in range(4)]
+    assert min(shares) > 0.5 * max(shares)

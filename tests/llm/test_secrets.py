@@ -75,3 +75,21 @@ def test_digest_columns(spark, docs_of, tmp_path):
     assert got[0]["base_sha256"] == hashlib.sha256(b"assign:0:12").hexdigest() and got[0]["spans"] == "assign:0:12" and got[0]["n_assign"] == 1
     assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["spans"] == ""
     assert secrets.scan(docs_of([])).count() == 0
+
+
+def test_false_discoveries_over_the_table(docs_of):
+    """Of ordinary letters in their usual shares few are reported, beside keys."""
+    rng = random.Random(11)
+    shares = dict(zip("etaoinshrdlcumwfgypbvk", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8)))
+    ordinary = ["".join(rng.choices(list(shares), list(shares.values()), k=rng.randint(20, 60))) for _ in range(3000)]
+    keys = ["".join(rng.choices(secrets.BASE62, k=40)) for _ in range(100)]
+    got = secrets.scan(docs_of([f"{r} {s}" for r, s in zip(ordinary[::2], ordinary[1::2])] + keys)).orderBy("doc_id").collect()
+    hits = [sum(s["kind"] == "random" for s in r["spans"]) for r in got]
+    false, true = sum(hits[:1500]), sum(hits[1500:])
+    assert true >= 90 and false <= 0.1 * (false + true)
+
+
+def test_redaction_with_a_clashing_column(docs_of):
+    docs = docs_of(["token=abcdefgh"]).withColumn("__secret_spans", F.lit("kept")).withColumn("__secret_bar", F.lit(1))
+    r = secrets.redact(docs).first()
+    assert r["text"] == "[SECRET]" and r["__secret_spans"] == "kept"

@@ -56,3 +56,18 @@ def test_all_rows_and_sql(spark, data):
 def test_empty_and_repeated(spark, rows):
     pages = spark.createDataFrame([(*r, "h", "l") for r in rows], "page_id long, url string, host string, lower string")
     assert urls.judge(pages).count() == len(rows)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_bounds_decide_as_in_sql(spark, tmp_path, monkeypatch, broadcast):
+    """Hosts that are mostly blocked by rule lose their other pages too."""
+    monkeypatch.setattr(urls, "BROADCAST_HOSTS", broadcast)
+    given = [f"http://bad.com/de/{k}" for k in range(60)] + ["http://bad.com/x"] * 3 + [f"http://good.com/fr/{k}" for k in range(60)] + ["http://good.com/x", "http://new.net/", None]
+    given += [f"http://h{k}.com/{'de' if k % 3 == 0 else 'fr'}/{k}" for k in range(90)] + [f"http://h{k}.com/p" for k in range(90)]
+    spark.createDataFrame(list(enumerate(given)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {tuple(r) for r in urls.op5_url_filter(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == set(con.execute(f"SELECT page_id, host, path, rule, verdict, lower FROM ({urls.OP5_SQL})").fetchall())
+    verdicts = {r[1]: r[4] for r in got if r[3] is None}
+    assert verdicts["bad.com"] == "block" and verdicts["good.com"] == verdicts["new.net"] == verdicts[""] == "allow"
