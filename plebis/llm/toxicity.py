@@ -293,7 +293,10 @@ def learn(
     del found, column
     pa.default_memory_pool().release_unused()
     tune = np.arange(len(y)) % 5 == 0
-    model.train(words, begin[~tune], end[~tune], y[~tune])
+    fit = ~tune
+    if y[fit].min() == y[fit].max():  # too few rows to part
+        fit[:] = tune[:] = True
+    model.train(words, begin[fit], end[fit], y[fit])
     logits, languages = [], []
     for at in np.array_split(np.flatnonzero(tune), -(-int(tune.sum()) // TOGETHER)):
         own = np.concatenate([words[begin[d] : end[d]] for d in at])

@@ -76,3 +76,18 @@ def test_long_text_is_read_whole(spark, tables):
     words, bounds = toxicity.hashed_words(__import__("pyarrow").array([long + "vilex grubz moronx", long]))
     scores = model.score(words, bounds)
     assert scores[0] >= 0.5 > scores[1]
+
+
+def test_two_labels_are_enough(spark):
+    docs = spark.createDataFrame([(1, "vilex grubz"), (2, "fine words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.apply(docs, toxicity.learn(docs, labels, "toxic", F.lit(True))).collect()}
+    assert 0 <= got[2] < got[1] <= 1
+
+
+def test_sample_is_bounded_by_characters(spark, tables):
+    rows, docs, labels = tables
+    few = toxicity.learn(docs, labels, "toxic", F.lit(True), sample_chars=20_000)
+    got = toxicity.apply(docs, few).select("doc_id", "score").collect()
+    truth = {k: x for k, _, _, x in rows}
+    assert np.mean([(r["score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] in truth]) > 0.7

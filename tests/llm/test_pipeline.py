@@ -57,3 +57,17 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
     assert "op5_url_filter" in __spark_entry__.oracle_sql()
+
+
+def test_stages_on_empty_and_odd_tables(spark, docs_of, tmp_path):
+    """Each stage in turn on nothing, and on nulls, blanks, repeated rows and one long text."""
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (99, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{k}" for k in range(30_000))
+    for rows in ([], [(1, None, "s"), (2, "", None), (3, " \n", "s"), (4, "a b", "s"), (4, "a b", "s"), (None, "a b", "s"), (5, long, "t"), (6, long, "t")]):
+        docs = docs_of(rows)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{len(rows)}-{name}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            made = spark.read.parquet(path)
+            assert (made.count() > 0) == bool(rows) and (name == "bpe" or made.columns == docs.columns)
+            docs = made
