@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; its result is written as Parquet and read again as the next
-one's ``docs``.  All but the last return the columns of ``docs``.
+one's ``docs``, and removed when the stage after that has been written.  All but
+the last return the columns of ``docs``.
+
+Defined results.  An empty table gives an empty one at every stage.  Null and empty
+texts are scored like any text, are copies of nothing, hold no secrets, have size 0
+in the mixture and encode to no ids.  Rows with a null id are never copies.  Of
+rows that repeat one stays in the second stage.  Ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -17,7 +23,8 @@ from plebis.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores one half or more go."""
+    """Documents that the classifier scores one half or more go; null text is scored
+    as the empty one, repeated rows alike."""
     scored = toxicity.apply(docs, toxicity.model_for(spark, docs, sf_dir), into="__toxicity")
     return scored.where(F.col("__toxicity") < 0.5).select(*docs.columns)
 
@@ -29,18 +36,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reported spans are replaced by a mark; every document stays."""
+    """Reported spans are replaced by a mark; every document stays, null texts null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture draws it, in the mixture's order."""
+    """Every document as often as the mixture draws it, in the mixture's order; null
+    and empty texts have size 0 and go out with their block."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mixture."""
+    """Token counts and digests of every document of the mixture; a null text has no
+    tokens."""
     return bpe.digests(docs)
 
 
@@ -63,4 +72,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            _remove(spark, earlier)
+        earlier = path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """A folder of this run that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
