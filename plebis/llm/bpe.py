@@ -35,11 +35,11 @@ from plebis.llm.common import table
 #: The pattern by which byte-level vocabularies of this kind cut a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces, and pairs of tokens, that a worker keeps.
-KEPT = 500_000
+KEPT = 250_000
 #: Bytes of the longest piece that is encoded side by side with others.
 SIDE_BY_SIDE = 64
 #: Bytes of texts that are encoded together.
-SLICE = 8_000_000
+SLICE = 2_000_000
 #: White space as any of the engines here sees it, beside which a blank may not part pieces.
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -434,6 +434,7 @@ def _encoded(docs: DataFrame, text: str, path: str, kept: list[str], fields: lis
             for part in slices(texts):
                 ids, raw = words.encode(part)
                 rows += map(make, ids.to_pylist(), raw.to_pylist())
+            pa.default_memory_pool().release_unused()
             made = [pa.array([r[n] for r in rows], type=kind) for n, (_, kind, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(kept)], *made], names=[*kept, *(n for n, _, _ in fields)]

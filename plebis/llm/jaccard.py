@@ -53,7 +53,7 @@ PIVOTS = 64
 #: Of this many n-grams one is counted to find documents that link with nothing.
 SAMPLED = 4
 #: Documents whose n-grams are packed together, and documents to a block of counts.
-PACKED, COUNTED = 4096, 1024
+PACKED, COUNTED = 2048, 1024
 #: Above so many keys or n-grams a table is joined by shuffle instead of broadcast.
 BROADCAST_KEYS = 1_000_000
 WORDS = 4
