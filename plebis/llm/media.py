@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plebis.llm.common import table
+from plebis.llm.common import durable, table
 
 #: Zero bits of the hash at a cut (mean length 16384), least and greatest length.
 BITS, LEAST, MOST = 14, 4096, 65536
@@ -193,6 +193,7 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lists = chunk_lists(docs)
+    # Read three times; without the bytes it is small.
+    lists = chunk_lists(docs).transform(durable)
     rebuilt = rebuild(lists, chunk_store(docs))
     return lists.select(F.col("key").alias("doc_id"), "n_bytes", "media_id").join(rebuilt, "media_id").drop("media_id")
