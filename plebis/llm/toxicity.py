@@ -122,11 +122,12 @@ class Network:
         return (_mixed(words, 1) % size).astype(np.int64), (_mixed(words, 2) % size).astype(np.int64)
 
     def _padded(self, words: np.ndarray, bounds: np.ndarray):
-        """Both bucket rows of each place, padded so that no window spans two texts."""
+        """Both bucket rows of each place, padded before each text and at the end so
+        that no window that begins within a text or its padding reaches another."""
         n = np.diff(bounds)
-        starts = np.concatenate([[0], np.cumsum(n + PADDING + 1)])
+        starts = np.concatenate([[0], np.cumsum(n + PADDING)])
         rows = np.full((2, starts[-1] + PADDING), BUCKETS, np.int64)
-        at = np.arange(len(words)) + np.repeat(starts[:-1] - bounds[:-1], n)
+        at = np.arange(len(words)) + np.repeat(starts[:-1] + PADDING - bounds[:-1], n)
         rows[0, at], rows[1, at] = self.buckets(words)
         return rows, starts
 

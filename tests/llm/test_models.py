@@ -91,3 +91,45 @@ def test_sample_is_bounded_by_characters(spark, tables):
     got = toxicity.apply(docs, few).select("doc_id", "score").collect()
     truth = {k: x for k, _, _, x in rows}
     assert np.mean([(r["score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] in truth]) > 0.7
+
+
+def test_network_against_loops():
+    """Each filter at every place by itself, the greatest answer of a text, then the sum."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Network()
+    net.bias = [rng.normal(0, 0.2, b.shape).astype(np.float32) for b in net.bias]
+    net.out, net.base = rng.normal(0, 1, net.out.shape).astype(np.float32), 0.3
+    sizes = [0, 1, 2, 7, 40, 0, 13]
+    words = rng.integers(1, 1 << 32, sum(sizes), dtype=np.uint64).astype(np.uint32)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    got = net.logits(words, bounds)
+    for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        first, second = net.buckets(words[a:b])
+        places = [net.embedding[i] + net.embedding[j] for i, j in zip(first, second, strict=True)]
+        blank = np.zeros(toxicity.CHANNELS, np.float32)
+        z = net.base
+        for k, w in enumerate(toxicity.WIDTHS):
+            padded = [blank] * toxicity.PADDING + places + [blank] * toxicity.PADDING
+            windows = [np.concatenate(padded[at : at + w]) for at in range(len(places) + toxicity.PADDING)]
+            for f in range(toxicity.FILTERS):
+                answer = max(float(x @ net.filters[k][:, f]) + float(net.bias[k][f]) for x in windows)
+                z += max(0.0, answer) * float(net.out[k * toxicity.FILTERS + f])
+        assert got[d] == pytest.approx(z, abs=1e-3)
+        # Neighbours have no say.
+        assert net.logits(words[a:b], np.array([0, b - a]))[0] == pytest.approx(got[d], abs=1e-4)
+
+
+def test_ridge_against_all_rows_at_once(tables):
+    """Sums by partition give the weights that all rows in one matrix give."""
+    rows, docs, labels = tables
+    vectors = quality.document_statistics(docs)
+    model = quality.learn(vectors.repartition(7), labels, "quality", F.lit(True))
+    truth = {k: q for k, _, q, _ in rows}
+    tune = F.pmod(F.crc32(F.concat(F.lit("tune"), F.col("key").cast("string"))), F.lit(5)) == 0
+    known = [r for r in vectors.where(~tune).collect() if r["key"] in truth]
+    x, y = np.array([r["x"] for r in known]), np.array([float(truth[r["key"]]) for r in known])
+    deviation = x.std(axis=0)
+    z = quality.Fourier(x.mean(axis=0), np.where(deviation > 0, deviation, 1.0))(x)
+    stacked = np.vstack([z, np.sqrt(quality.RIDGE) * np.eye(z.shape[1])])
+    weights = np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ weights, atol=1e-4)
