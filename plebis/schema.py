@@ -17,6 +17,7 @@ ELECTION_TYPES = (
     (9, "zupanijska-skupstina", "Županijska skupština"),
 )
 PRESIDENT, PARLIAMENT, EUROPE = "Predsjednički izbori", "Parlamentarni izbori", "Izbori za Europski parlament"
+# Categories with their label and types.
 CATEGORIES = {
     "predsjednicki": ("Predsjednički", [PRESIDENT]),
     "sabor": ("Sabor", [PARLIAMENT]),
@@ -29,8 +30,10 @@ CATEGORIES = {
         ],
     ),
 }
+# Fixed values.
 #: Local types whose turnout counts in each round: a voter is in one of them.
 CANONICAL_LOCAL = {1: ["Općinsko vijeće", "Gradsko vijeće"], 2: ["Načelnik", "Gradonačelnik"]}
+# Fixed values.
 #: kind -> municipality type -> election type, and kinds of county level.
 LOCAL_KINDS = {
     "vijece": {"grad": "Gradsko vijeće", "općina": "Općinsko vijeće"},
