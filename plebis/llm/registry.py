@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plebis.llm import ann, bpe, html, jaccard, media, mixing, quality, secrets, toxicity, urls
+from plebis.llm import ann, bpe, html, jaccard, media, mixing, quality, repair, secrets, toxicity, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_repair": repair.op11_repair,
 }
 ORACLE_SQL = {"op5_url_filter": urls.OP5_SQL}
