@@ -3,8 +3,8 @@
 Every conversation is edited into role initials ``(s?(ua)+)?`` at the least cost, ties
 to the sequence of edits that comes first in ASCII order.  ``edits`` is the search:
 iterative-deepening A*, that is, a depth-first search that tries Delete, Insert, Keep and
-Rerole in this order under rising cost bounds, guided by the deletions that the rest
-cannot do without, with a table of the states that failed and the budget they failed with;
+Rerole in this order under rising cost bounds, guided by what the rest must cost at
+least, with a table of the states that failed and the budget they failed with;
 the first accepting path is the answer.
 
 A conversation may be longer than a task can hold.  Rows are therefore dealt by ranges of
@@ -41,7 +41,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Rows of one search, when states before and after have to be tried.
 BLOCK = 16
 #: Rows of one search from the start of a conversation to its end.
-WHOLE = 48
+WHOLE = 256
 #: Repeated rows are written out in steps of so many.
 STEP = 1000
 FAR = 1 << 60
@@ -51,7 +51,10 @@ STATES = range(4)
 USER_NEXT, ACCEPTS = (True, True, False, True), (0, 3)
 #: Cost and letters that lead from a state to the end of a conversation.
 TAIL = {0: (0, ""), 1: (4, "II"), 2: (2, "I"), 3: (0, "")}
-COST = {"D": 3, "I": 2, "K": 0, "R": 2}
+#: What a state has seen last, and the neighbours that are not in the grammar ($: the end,
+#: 2 and 3: an end in that state).
+LAST = "^sua"
+CLASH = {x + y for x in LAST for y in "sua$23"} - {"^s", "^u", "^$", "su", "ua", "au", "a$", "u2", "a3"}
 
 
 def step(state: int, letter: str, code: str) -> tuple[int, int] | None:
@@ -78,20 +81,36 @@ def edits(codes: str, start: int, goal: int | None) -> tuple[int, str] | None:
     """The cheapest edits of ``codes`` from ``start``, ASCII-least: to an accepting state
     (goal None; insertions may follow the last row) or to state ``goal`` by a last edit
     that uses up the last row."""
-    n = len(codes)
-    rest = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        rest[i] = rest[i + 1] + (3 if codes[i] == "X" else 0)
+    rest = _least(codes, goal)
     if goal is not None and goal not in _reached(codes, start):
         return None
-    bound = rest[0]
+    bound = rest[0][start]
     while True:
         found, bound = _within(codes, start, goal, rest, bound)
         if found is not None:
             return found
 
 
-def _within(codes: str, start: int, goal: int | None, rest: list[int], bound: int) -> tuple[tuple[int, str] | None, int]:
+def _least(codes: str, goal: int | None) -> list[list[int]]:
+    """For each row and state a cost that the rest takes at least: of each row its own, and an
+    edit more for each of the neighbours that cannot both stay as they are, each row counted
+    in one pair at most."""
+    n = len(codes)
+    if goal in (0, 1):  # nothing leads back there, so that one row at most may stay
+        return [[3 * (n - i) - 3 * (s < goal and i < n) for s in STATES] for i in range(n + 1)]
+    own, pairs, after, first = [0] * (n + 1), [0] * (n + 2), [0] * (n + 1), ["$" if goal is None else str(goal)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        c = codes[i]
+        own[i] = own[i + 1] + (3 if c == "X" else 2 * (c in "oO") + c.isupper())
+        if c == "X":
+            pairs[i], after[i], first[i] = pairs[i + 1], after[i + 1], first[i + 1]
+        else:
+            first[i], after[i] = c.lower(), pairs[i + 1]
+            pairs[i] = max(pairs[i + 1], (first[i] + first[i + 1] in CLASH) + after[i + 1])
+    return [[own[i] + 2 * max(pairs[i], (LAST[s] + first[i] in CLASH) + after[i]) for s in STATES] for i in range(n + 1)]
+
+
+def _within(codes: str, start: int, goal: int | None, rest: list[list[int]], bound: int) -> tuple[tuple[int, str] | None, int]:
     """One round: the first accepting path of at most ``bound``, or the next bound."""
     n, beyond = len(codes), FAR
     failed: dict[tuple[int, int], int] = {}  # (row, state): the largest budget it failed with
@@ -110,8 +129,8 @@ def _within(codes: str, start: int, goal: int | None, rest: list[int], bound: in
             to, cost = after
             j = i if letter == "I" else i + 1
             total = spent + cost
-            if total + rest[j] > bound:
-                beyond = min(beyond, total + rest[j])
+            if total + rest[j][to] > bound:
+                beyond = min(beyond, total + rest[j][to])
             elif failed.get((j, to), -1) < bound - total:
                 path.append((j, to, total, iter("DIKR"), letter))
                 break
