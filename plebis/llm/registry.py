@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plebis.llm import ann, bpe, html, jaccard, media, mixing, quality, repair, secrets, toxicity, urls, whitening
+from plebis.llm import ann, bpe, html, jaccard, media, mixing, pii, quality, repair, secrets, toxicity, urls, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_repair": repair.op11_repair,
     "op12_whitening": whitening.op12_whitening,
+    "op13_pii": pii.op13_pii,
 }
 ORACLE_SQL = {"op5_url_filter": urls.OP5_SQL}
