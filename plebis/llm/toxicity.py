@@ -255,19 +255,24 @@ def learn(
     known = (
         labels.where(teach & labels[label].isNotNull())
         .select(labels[key].alias("k"), labels[label].cast("double").alias("y"))
+        .distinct()
         .orderBy(F.xxhash64("k"), "k", "y")
         .limit(sample)
     )
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    # At most ``sample`` labels, and their texts' lengths, meet in one window.
-    before = Window.orderBy(F.xxhash64("k"), "k", "y", "chars").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = (
-        texts.select("key", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    texts = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
+    # Rows are bounded, not ids: of repeated ids every different text is a row.
+    order = [F.xxhash64("k"), F.col("k"), F.col("y"), F.col("chars"), F.col("h")]
+    rows = (
+        texts.select("key", "h", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
         .join(F.broadcast(known), F.col("key") == F.col("k"))
-        .select("k", "y", "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("before"))
-        .where(F.col("before") < sample_chars)
-        .select("k", "y").distinct()
+        .select("k", "y", "chars", "h")
+        .distinct()
+        .orderBy(*order)
+        .limit(sample)
     )
+    # At most ``sample`` rows of numbers meet in one window.
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = rows.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("before") < sample_chars).select("k", "y", F.col("h").alias("own"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +281,8 @@ def learn(
             tied = pa.array([xxhash.xxh3_64_intdigest(p) for p in packed], pa.uint64()).cast(pa.int64(), safe=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tied, pa.array(packed, pa.binary())], names=["k", "y", "tie", "words"])
 
-    taught = texts.join(F.broadcast(chosen), F.col("key") == F.col("k"))  # at most ``sample`` rows
+    met = texts.join(F.broadcast(chosen), (F.col("key") == F.col("k")) & (F.col("h") == F.col("own")))
+    taught = met.groupBy("k", "y", "h").agg(F.first("text").alias("text"))  # at most ``sample`` rows
     found = taught.select(F.col("k").cast("string"), "y", "text").mapInArrow(words_of, "k string, y double, tie long, words binary").toArrow()
     # Rows come in any order; the same rows give the same network.
     order = pc.sort_indices(found.select(["k", "y", "tie"]), [(c, "ascending") for c in ("k", "y", "tie")]).to_numpy()

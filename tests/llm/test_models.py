@@ -133,3 +133,19 @@ def test_ridge_against_all_rows_at_once(tables):
     stacked = np.vstack([z, np.sqrt(quality.RIDGE) * np.eye(z.shape[1])])
     weights = np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
     assert np.allclose(z @ model.weights, z @ weights, atol=1e-4)
+
+
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    """One id with a thousand texts and one row repeated a thousand times: rows are
+    bounded, whatever the ids."""
+    rows = [(1, f"text number {k} of one id") for k in range(1000)] + [(2, "the same row")] * 1000 + [(k, f"other text {k}") for k in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] * 20, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.Network, "train", lambda self, words, begin, end, y: seen.append(len(y)))
+    monkeypatch.setattr(toxicity.Network, "logits", lambda self, words, bounds: np.zeros(len(bounds) - 1))
+    monkeypatch.setattr(toxicity.Network, "calibrate", lambda self, logits, y, language: seen.append(len(y)))
+    toxicity.learn(docs, labels, "toxic", F.lit(True), sample=40)
+    toxicity.learn(docs, labels, "toxic", F.lit(True), sample_chars=60)
+    # At most as many again calibrate, where there are too few to part.
+    assert seen[0] + seen[1] <= 2 * 40 and (len(seen) == 2 or seen[2] <= 5)
