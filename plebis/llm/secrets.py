@@ -13,7 +13,8 @@ short runs, on which chance says little, need more evidence: of all runs reporte
 
 A first pass counts the weighted p-values in steps of an eighth of their logarithm;
 the step-up procedure runs over these counts, rounded against discovery, and its one
-bar is held against every run in the second pass, which is row-local.
+bar is held against every run in the second pass, which is row-local.  What the battery
+finds in texts with such runs is written to the shared folder between the passes.
 
 Defined results.  Null text scans as the empty text.  Offsets are code points,
 end exclusive.  Repeated rows and null ids give a row each; an empty table gives
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plebis.llm.common import joined, table
+from plebis.llm.common import durable, joined, let, located, table
 
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -60,43 +61,11 @@ WEIGHED = 30
 STEPS = 8
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their places in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"),
-        ),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                a["out"],
-                F.struct(
-                    (a["at"] + F.length(x["g"])).alias("start"),
-                    (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                    x["m"].alias("match"),
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    nothing = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(nothing)
-
-
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal, by the logistic form of Bowling et al."""
     return 1 / (1 + F.exp(0.07056 * z * z * z + 1.5976 * z))
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value worked out once, also within lambdas."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def battery(runs: Column) -> Column:
     """Adds to each run its encoding and the tests' p-values."""
 
@@ -232,6 +201,15 @@ def _ranked(found: Column, nth: int) -> Column:
 def scan(docs: DataFrame, text: str = "text", level: float = 0.05, doubt: float = 0.001, into: str = "spans") -> DataFrame:
     """All rows and columns of ``docs`` with ``into``: an array of
     (kind, start, end) by start, then kind in the order of KINDS."""
+    tested = "__secret_runs"
+    while tested in docs.columns:
+        tested += "_"  # a name that no column has
+    worth = F.coalesce(docs[text].rlike(RUN), F.lit(False))
+    # The battery's findings are read twice; they and their texts are written once.
+    put = durable(docs.where(worth).select("*", battery(located(docs[text], RUN)).alias(tested)))
+    bar = bar_of(put.select(F.col(tested).alias("tested")), level)
+    rest = docs.where(~worth).withColumn(tested, F.lit(None).cast(put.schema[tested].dataType))
+    docs = put.unionByName(rest)
     whole = F.coalesce(docs[text], F.lit(""))
     spans = []
     for nth, pattern in enumerate((ASSIGN, ACCESS, HEX)):
@@ -241,16 +219,14 @@ def scan(docs: DataFrame, text: str = "text", level: float = 0.05, doubt: float
         elif pattern == ACCESS:
             found = F.filter(found, lambda s: F.length(s["match"]) >= 20)
         spans.append(_ranked(found, nth))
-    tested = battery(located(whole, RUN))
-    bar = bar_of(docs.where(docs[text].rlike(RUN)).select(tested.alias("tested")), level)
-    random = _ranked(discoveries(tested, bar["__secret_bar"], doubt), 3)
-    ordered = F.array_sort(F.concat(*spans, random))
+    found = discoveries(F.coalesce(docs[tested], F.array().cast(put.schema[tested].dataType)), bar["__secret_bar"], doubt)
+    ordered = F.array_sort(F.concat(*spans, _ranked(found, 3)))
     named = F.transform(
         ordered,
         lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["nth"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
     # One row of one number.
-    return docs.join(F.broadcast(bar)).select(*[docs[c] for c in docs.columns if c != into], named.alias(into))
+    return docs.join(F.broadcast(bar)).select(*[docs[c] for c in docs.columns if c not in (into, tested)], named.alias(into))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
