@@ -169,7 +169,9 @@ def europe_lists(t, scope: DataFrame | None = None, year: int | None = None) ->
         .withColumn("n_seats", seats)
     )
     lists = passing(lists, ["election_round_id"])
-    lists = lists.withColumn("threshold_votes", F.ceil(F.col("total_votes") * F.lit(float(schema.THRESHOLD))))
+    # The percentage is applied first, and halves go to the even number.
+    bar = F.col("total_votes") * F.lit(schema.THRESHOLD * 100) / 100
+    lists = lists.withColumn("threshold_votes", F.bround(bar, 0).cast("long"))
     won = highest_averages(lists.where("eligible"), ["election_round_id"])
     return lists.join(won, ["election_round_id", "electoral_list_id"], "left").withColumn(
         "seats", F.coalesce("seats", F.lit(0).cast("long"))

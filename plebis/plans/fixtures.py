@@ -7,6 +7,8 @@ for.  Surrogate keys are composed from the natural ones.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,17 @@ LAST_NAMES = (
 )
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder among those that the cluster shares; a temporary one only on a single
+    machine whose session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="plebis-")
+    return f"{base}/{what}-{uuid.uuid4().hex}"
+
+
 class Tables:
     """The election tables over one folder; each is a lazy DataFrame."""
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +9,7 @@ from pyspark.sql import functions as F
 from plebis.functions.names import parse_int
 from plebis.operators import totals
 from plebis.plans.catalog import query
-from plebis.plans.fixtures import FIRST_NAMES, LAST_NAMES
+from plebis.plans.fixtures import FIRST_NAMES, LAST_NAMES, new_folder
 from plebis.sources import cells, literals, melt, sheets
 
 BRANDS, PLACES = 25, 14
@@ -20,14 +17,8 @@ BRANDS, PLACES = 25, 14
 ROWS_A_FILE = 20_000
 
 
-def _folder(spark) -> str:
-    """A new folder among those that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plebis-")
-    return f"{base}/sheets-{uuid.uuid4().hex}"
-
-
 def _written(df: DataFrame) -> str:
-    folder = _folder(df.sparkSession)
+    folder = new_folder(df.sparkSession, "sheets")
     df.write.option("header", True).option("sep", ";").option("emptyValue", "").csv(folder)
     return folder
 

@@ -148,7 +148,7 @@ def sabor_raw(t):
 
 @query(
     "SELECT year, trim(split_part(split_part(name, chr(10), 1), ',', 1)) AS party, sum(votes)::BIGINT AS votes, round(sum(votes / total_votes * 100.0::DOUBLE), 9) AS votes_pct, "
-    "sum(seats)::BIGINT AS seats, bool_or(eligible) AS eligible, max(ceil(total_votes * 0.05::DOUBLE))::BIGINT AS threshold_votes, "
+    "sum(seats)::BIGINT AS seats, bool_or(eligible) AS eligible, max(round_even(total_votes * 5.0::DOUBLE / 100.0::DOUBLE, 0))::BIGINT AS threshold_votes, "
     "row_number() OVER (PARTITION BY year ORDER BY sum(seats) DESC, sum(votes) DESC, trim(split_part(split_part(name, chr(10), 1), ',', 1))) AS place FROM es GROUP BY year, trim(split_part(split_part(name, chr(10), 1), ',', 1))",
     _LISTS + _EUROPE,
 )
@@ -164,7 +164,7 @@ _COUNTY_LISTS = _LISTS.replace(
 
 
 @query(
-    "SELECT year, name, votes, total_votes, ceil(total_votes * 0.05::DOUBLE)::BIGINT AS threshold_votes, eligible, seats FROM es",
+    "SELECT year, name, votes, total_votes, round_even(total_votes * 5.0::DOUBLE / 100.0::DOUBLE, 0)::BIGINT AS threshold_votes, eligible, seats FROM es",
     _COUNTY_LISTS + _EUROPE,
 )
 def eu_scope_seats(t):

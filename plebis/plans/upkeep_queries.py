@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from plebis.operators import maintain
 from plebis.plans.catalog import query
+from plebis.plans.fixtures import new_folder
+from plebis.sources.store import Change, Store
+from plebis.sources.store import upsert_turnout as upsert_turnout_versions
+
+WIPED = ("electoral_list", "list_result", "candidacy", "candidate_result", "turnout")
 
 
 @query(
@@ -232,3 +237,53 @@ def resolve_county(t):
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lower("n"), F.lit(" županija"))).otherwise("inozemstvo").alias("county_name"),
     )
     return maintain.resolve_county(rows, t.county).select("c_custkey", "county_id")
+
+
+def _store(t) -> Store:
+    return Store(t.spark, new_folder(t.spark, "store"))
+
+
+@query(
+    "SELECT election_round_id, polling_station_id, CASE WHEN election_round_id % 2 = 0 AND polling_station_id % 3 = 0 THEN 2 * registered_voters ELSE registered_voters END::BIGINT AS registered_voters, "
+    "CASE WHEN election_round_id % 2 = 0 AND polling_station_id % 3 = 0 THEN 2 * ballots_cast ELSE ballots_cast END::BIGINT AS ballots_cast FROM turnout"
+)
+def upsert_by_round(t):
+    """Turnout kept by round; every third station of even rounds comes in from two
+    files.  Odd rounds keep their files."""
+    store = _store(t)
+    store.commit({"turnout": Change(t.turnout, "election_round_id")})
+    part = t.turnout.where("election_round_id % 2 = 0 AND polling_station_id % 3 = 0")
+    upsert_turnout_versions(store, part.unionByName(part))
+    return store.read("turnout").select("election_round_id", "polling_station_id", "registered_voters", "ballots_cast")
+
+
+_KEPT = "(l.district_id IS NULL OR l.district_id % 1000 <> 5)"
+
+
+@query(
+    f"SELECT 'now' AS version, r.electoral_list_id, r.polling_station_id, r.votes FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id WHERE {_KEPT} "
+    "UNION ALL SELECT 'before', electoral_list_id, polling_station_id, votes FROM list_result UNION ALL SELECT 'back', electoral_list_id, polling_station_id, votes FROM list_result"
+)
+def wipe_committed(t):
+    """A district wiped in one commit over several tables, the version before, and
+    the rollback."""
+    store = _store(t)
+    first = store.commit({n: Change(getattr(t, n)) for n in WIPED})
+    second = store.commit({n: Change(rows) for n, rows in maintain.wiped(t, 5).items()}, base=first)
+    third = store.rollback(first)
+    rows = lambda name, v: store.read("list_result", v).select(F.lit(name).alias("version"), "electoral_list_id", "polling_station_id", "votes")
+    return rows("now", second).unionByName(rows("before", first)).unionByName(rows("back", third))
+
+
+@query(
+    f"SELECT 'electoral_list' AS table_name, count(*)::BIGINT AS before, 0::BIGINT AS added, count(*) FILTER (NOT {_KEPT})::BIGINT AS removed FROM electoral_list l "
+    f"UNION ALL SELECT 'list_result', count(*)::BIGINT, 0::BIGINT, count(*) FILTER (NOT {_KEPT})::BIGINT FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id "
+    f"UNION ALL SELECT 'candidacy', count(*)::BIGINT, 0::BIGINT, count(*) FILTER (NOT {_KEPT})::BIGINT FROM candidacy c JOIN electoral_list l ON l.id = c.electoral_list_id "
+    f"UNION ALL SELECT 'candidate_result', count(*)::BIGINT, 0::BIGINT, count(*) FILTER (NOT {_KEPT})::BIGINT FROM candidate_result r JOIN candidacy c ON c.id = r.candidacy_id JOIN electoral_list l ON l.id = c.electoral_list_id"
+)
+def wipe_dry_run(t):
+    """What wiping a district would take away, told without a commit."""
+    store = _store(t)
+    names = [n for n in WIPED if n != "turnout"]
+    store.commit({n: Change(getattr(t, n)) for n in names})
+    return store.dry_run({n: Change(rows) for n, rows in maintain.wiped(t, 5).items() if n in names})

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from plebis.operators.maintain import upsert_turnout
+from plebis.sources.store import Store
+from plebis.sources.store import upsert_turnout as upsert_turnout_versions
 
 
 def turnout_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,3 +29,15 @@ def upsert_into(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQue
         upsert_turnout(known, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_versions(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Each batch is a version of the store's turnout: only the rounds that come in are
+    written anew, and a batch that runs twice gives the version it gave."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            upsert_turnout_versions(store, batch.persist(), key=f"batch-{number}")
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,21 @@ def test_merging_keeps_own_results(spark):
     facts = spark.createDataFrame([(5, 1, 9), (5, 2, 100), (6, 2, 7)], "electoral_list_id long, polling_station_id long, votes long")
     got = sorted(tuple(r) for r in maintain.move_results(facts, merged, ["electoral_list_id"]).collect())
     assert got == [(5, 1, 9), (6, 1, 7)]
+
+
+def test_threshold_votes_round_half_to_even(spark):
+    from types import SimpleNamespace
+
+    from plebis import schema
+    from plebis.operators import apportion
+
+    frame = spark.createDataFrame
+    t = SimpleNamespace(
+        election_type=frame([(3, "eu", schema.EUROPE)], "id long, slug string, name string"),
+        election=frame([(k, 3, 2000 + k, None) for k in (1, 2, 3)], "id long, election_type_id long, year int, name string"),
+        election_round=frame([(k, k, 1, None) for k in (1, 2, 3)], "id long, election_id long, round_number int, date date"),
+        electoral_list=frame([(k, k, f"L{k}", None) for k in (1, 2, 3)], "id long, election_round_id long, name string, district_id long"),
+        list_result=frame([(1, 7, 1001), (2, 7, 1010), (3, 7, 1030)], "electoral_list_id long, polling_station_id long, votes long"),
+    )
+    got = {r["year"]: r["threshold_votes"] for r in apportion.europe_lists(t).collect()}
+    assert got == {2001: 50, 2002: 50, 2003: 52}
