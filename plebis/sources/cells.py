@@ -1,9 +1,7 @@
 """Delimited result sheets as rows of cells.
 
-A file is decoded and parsed whole by one task, as quoted cells may hold line
-ends and the encodings are old; sheets are one district or country each, and
-files are spread over tasks.  All that follows works on the cells with built-in
-functions.
+Files are read by slices (``slices``).  ``parse_cells`` takes contents that are in a column
+already, each whole.  All that follows works on the cells with built-in functions.
 """
 
 from __future__ import annotations
@@ -19,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plebis.functions.names import parse_int, strip
+from plebis.sources import slices
 
 LOG = logging.getLogger(__name__)
-CELLS = "file string, row_no long, cells array<string>"
+CELLS = slices.CELLS
 
 #: Column offsets by layout; None where a sheet lacks the cell.
 STANDARD = {
@@ -75,7 +74,9 @@ def parse_cells(found: DataFrame, encoding: str = "utf-8-sig", delimiter: str =
 
 
 def scan_cells(spark: SparkSession, path: str, glob: str | None = None, **options) -> DataFrame:
-    return parse_cells(files(spark, path, glob), **options)
+    """Files below ``path`` to rows (file, row_no, cells); a file is parsed by as many
+    tasks as it has slices."""
+    return slices.scan(spark, path, glob, **options)
 
 
 def scan_each(spark: SparkSession, paths: dict[str, str], **options) -> DataFrame:
@@ -90,6 +91,8 @@ def scan_each(spark: SparkSession, paths: dict[str, str], **options) -> DataFram
                 raise
             LOG.warning("%s: nothing at %s", label, path)
             continue
+        if not files(spark, path, options.get("glob")).inputFiles():
+            LOG.warning("%s: no file at %s", label, path)
         found = found.unionByName(read.withColumn("label", F.lit(label)))
     return found
 
