@@ -45,6 +45,36 @@ def highest_averages(lists: DataFrame, by: list[str], n_seats: str = "n_seats")
     return won.groupBy(*by, "electoral_list_id").agg(F.count("*").alias("seats"))
 
 
+#: Halvings of the range in which a district's divisor lies: no list has two quotients
+#: in what is left.
+HALVINGS = 42
+
+
+def by_divisor(lists: DataFrame, by: list[str], n_seats: str = "n_seats") -> DataFrame:
+    """``highest_averages`` without a row for each quotient: a search for the divisor that
+    hands out no more than all seats, one window a group; what it leaves goes, a seat a list,
+    by the next quotient, then votes, then id.  A group without any votes gives all
+    to its first list."""
+    group = Window.partitionBy(*by)
+    in_turn = group.orderBy(F.desc("__next"), F.desc("votes"), "electoral_list_id")
+    n = F.col(n_seats)
+    given = lambda at: F.aggregate("__all", F.lit(0).cast("long"), lambda a, v: a + F.floor(v / at))
+    top = F.array_max("__all").cast("double")
+    ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = (a["lo"] + a["hi"]) / 2
+        enough = given(middle) > n
+        return ends(F.when(enough, middle).otherwise(a["lo"]), F.when(enough, a["hi"]).otherwise(middle))
+
+    divisor = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), ends(top / (n + 1) / 2, top + 1), halved, lambda a: a["hi"])
+    sure = lists.withColumn("__all", F.collect_list("votes").over(group)).withColumn("__seats", F.floor(F.col("votes") / divisor))
+    left = sure.withColumn("__left", n - F.sum("__seats").over(group)).withColumn("__next", F.col("votes") / (F.col("__seats") + 1))
+    placed = left.withColumn("__place", F.row_number().over(in_turn))
+    more = F.when(top == 0, F.when(F.col("__place") == 1, n).otherwise(0)).otherwise((F.col("__place") <= F.col("__left")).cast("int"))
+    return placed.select(*by, "electoral_list_id", (F.col("__seats") + more).cast("long").alias("seats")).where("seats > 0")
+
+
 def parliament_lists(t, year: int | None = None) -> DataFrame:
     """List totals of parliament districts with their seats and eligibility."""
     of_rounds = totals.rounds(t, [schema.PARLIAMENT], year)

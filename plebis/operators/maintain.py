@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plebis import schema
 from plebis.functions.names import clean_candidate_name, normalize_municipality, normalize_person_name
 
 
@@ -216,6 +217,45 @@ def wiped(t, number: int) -> dict[str, DataFrame]:
     return tables
 
 
+def dependents(root: str, keys: dict[str, dict[str, str]] = schema.FOREIGN_KEYS) -> list[str]:
+    """The tables that rows of ``root`` can take along, each after all it depends on."""
+    reached, waiting = [root], [root]
+    while waiting:
+        parent = waiting.pop()
+        for table, columns in keys.items():
+            if parent in columns.values() and table not in reached:
+                reached.append(table)
+                waiting.append(table)
+    placed: list[str] = [root]
+    while len(placed) < len(reached):
+        ready = [x for x in reached if x not in placed and all(p in placed or p not in reached or p == x for p in keys[x].values())]
+        if not ready:
+            raise ValueError(f"keys go round in a circle below {root}")
+        placed += sorted(ready)
+    return placed
+
+
+def cascade(t, root: str, gone: DataFrame, keys: dict[str, dict[str, str]] = schema.FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """The tables that change when the rows of ``root`` with the ids ``gone`` (id) are
+    deleted, without what hangs on them: the declared keys are walked from parents to
+    children, and a row goes when any row that it names goes."""
+    lost, left = {root: gone.select("id").distinct()}, {}
+    for name in dependents(root, keys):
+        rows = getattr(t, name)
+        parents = {c: p for c, p in keys.get(name, {}).items() if p in lost and p != name}
+        kept = rows if name != root else rows.join(lost[root], "id", "left_anti")
+        for column, parent in parents.items():
+            kept = kept.join(lost[parent].withColumnRenamed("id", column), column, "left_anti")
+        left[name] = kept.select(*rows.columns)
+        if name != root and "id" in rows.columns:
+            named = [rows.join(lost[p].withColumnRenamed("id", c), c, "left_semi").select("id") for c, p in parents.items()]
+            found = named[0]
+            for more in named[1:]:
+                found = found.unionByName(more)
+            lost[name] = found.distinct()
+    return left
+
+
 def orphan_stations(t) -> DataFrame:
     """Stations without turnout, list results and candidate results."""
     found = t.polling_station

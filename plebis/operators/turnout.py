@@ -74,3 +74,29 @@ def turnout_at(t, level: str, parent: int | None = None, groups: list[str] | Non
         return placed.groupBy("group_id", F.col("municipality_id").alias("id"), F.col("municipality").alias("name")).agg(*sums)
     counties = t.county.select(F.col("id").alias("county_id"), F.col("name").alias("county"))
     return placed.join(F.broadcast(counties), "county_id").groupBy("group_id", F.col("county_id").alias("id"), F.col("county").alias("name")).agg(*sums)
+
+
+def turnout_levels(t, groups: list[str] | None = None) -> DataFrame:
+    """Turnout of each group at all levels from one pass over the facts: (group_id, level,
+    id, name, measures).  Stations are summed first; the levels are grouping sets over
+    these sums."""
+    of_groups = grouped_rounds(t).select(F.col("id").alias("group_id"), F.col("round_id").alias("election_round_id"))
+    if groups is not None:
+        of_groups = of_groups.where(F.col("group_id").isin(groups))
+    facts = t.turnout.join(F.broadcast(of_groups), "election_round_id")
+    by_station = facts.groupBy("group_id", "polling_station_id").agg(*[F.sum(m).alias(m) for m in totals.MEASURES])
+    places = t.polling_station.select(
+        F.col("id").alias("polling_station_id"), "municipality_id", station_label(F.col("number"), F.col("location"), F.col("name")).alias("station")
+    )
+    munis = t.municipality.select(F.col("id").alias("municipality_id"), "county_id", F.col("name").alias("municipality"))
+    counties = t.county.select(F.col("id").alias("county_id"), F.col("name").alias("county"))
+    placed = by_station.join(places, "polling_station_id").join(F.broadcast(munis), "municipality_id").join(F.broadcast(counties), "county_id")
+    g, county, muni, station = ("group_id",), ("county_id", "county"), ("municipality_id", "municipality"), ("polling_station_id", "station")
+    sets = [[F.col(c) for c in columns] for columns in (g, g + county, g + muni, g + station)]
+    sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in totals.MEASURES]
+    each = placed.groupingSets(sets, *g, *county, *muni, *station).agg(F.grouping_id().alias("bits"), *sums)
+    level = F.when(F.col("polling_station_id").isNotNull(), "station").when(F.col("municipality_id").isNotNull(), "municipality").when(F.col("county_id").isNotNull(), "county").otherwise("national")
+    return each.select(
+        "group_id", level.alias("level"), F.coalesce(*[F.col(c).cast("string") for c in ("polling_station_id", "municipality_id", "county_id")], F.lit("hr")).alias("id"),
+        F.coalesce("station", "municipality", "county", F.lit("Hrvatska")).alias("name"), *totals.MEASURES,
+    )

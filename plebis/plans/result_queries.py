@@ -192,6 +192,17 @@ def turnout_municipality(t):
     return turnout.turnout_at(t, "municipality", parent=2)
 
 
+@query(
+    f"SELECT group_id, 'national' AS level, 'hr' AS id, 'Hrvatska' AS name, {_M} FROM turnout JOIN g ON g.round_id = election_round_id GROUP BY ALL "
+    f"UNION ALL SELECT group_id, 'county', c.id::VARCHAR, c.name, {_M} {_PLACED} GROUP BY ALL UNION ALL SELECT group_id, 'municipality', m.id::VARCHAR, m.name, {_M} {_PLACED} GROUP BY ALL "
+    f"UNION ALL SELECT group_id, 'station', p.id::VARCHAR, p.number || ' — ' || p.location, {_M} {_PLACED} GROUP BY ALL",
+    _GROUPS,
+)
+def turnout_levels(t):
+    """All levels from one scan of the facts."""
+    return turnout.turnout_levels(t)
+
+
 @query(f"SELECT group_id, p.id, p.number || ' — ' || p.location AS name, p.address, {_M} {_PLACED} WHERE p.id IN (3, 7, 11, 19) GROUP BY ALL", _GROUPS)
 def turnout_listed_stations(t):
     """Stations given as the text of a list."""

@@ -88,6 +88,12 @@ def dhondt_district(t):
     return apportion.highest_averages(apportion.parliament_lists(t).where("eligible"), ["district_id"])
 
 
+@query("SELECT district_id, electoral_list_id, seats FROM pw", _LISTS)
+def dhondt_by_divisor(t):
+    """The same seats by a search for each district's divisor."""
+    return apportion.by_divisor(apportion.parliament_lists(t).where("eligible"), ["district_id"])
+
+
 @query("SELECT id AS candidacy_id, electoral_list_id, personal_votes, promoted, nth::BIGINT AS chosen FROM chosen", _LISTS)
 def preferential_seats(t):
     return apportion.preferential(t, _parliament(t)).select("candidacy_id", "electoral_list_id", "personal_votes", "promoted", "chosen")

@@ -287,3 +287,32 @@ def wipe_dry_run(t):
     names = [n for n in WIPED if n != "turnout"]
     store.commit({n: Change(getattr(t, n)) for n in names})
     return store.dry_run({n: Change(rows) for n, rows in maintain.wiped(t, 5).items() if n in names})
+
+
+_LEFT = {
+    "electoral_list": ("electoral_list l", "l.id, l.election_round_id", "l.election_round_id"),
+    "candidacy": ("candidacy c JOIN electoral_list l ON l.id = c.electoral_list_id", "c.id, c.person_id", "l.election_round_id"),
+    "list_result": ("list_result r JOIN electoral_list l ON l.id = r.electoral_list_id", "r.electoral_list_id, r.polling_station_id", "l.election_round_id"),
+    "candidate_result": (
+        "candidate_result r JOIN candidacy c ON c.id = r.candidacy_id JOIN electoral_list l ON l.id = c.electoral_list_id", "r.candidacy_id, r.polling_station_id", "l.election_round_id",
+    ),
+    "turnout": ("turnout x", "x.election_round_id, x.polling_station_id", "x.election_round_id"),
+    "election_round": ("election_round e", "e.id, e.election_id", "e.id"),
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, a::BIGINT AS a, b::BIGINT AS b FROM (SELECT {columns.split(', ')[0]} AS a, {columns.split(', ')[1]} AS b, {by} AS round_id FROM {source}) WHERE round_id % 20 <> 12"
+        for name, (source, columns, by) in _LEFT.items()
+    )
+)
+def delete_cascade(t):
+    """Rounds deleted with all that hangs on them, by the declared keys; what is left."""
+    left = maintain.cascade(t, "election_round", t.election_round.where("id % 20 = 12"))
+    out = None
+    for name, (_, columns, _) in _LEFT.items():
+        a, b = (c.split(".")[1] for c in columns.split(", "))
+        rows = left[name].select(F.lit(name).alias("table_name"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

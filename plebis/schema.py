@@ -42,6 +42,20 @@ LOCAL_KINDS = {
 COUNTY_KINDS = {"zupan": "Župan", "zup_skupstina": "Županijska skupština"}
 KIND_OF_TYPE = {t: k for k, by in LOCAL_KINDS.items() for t in by.values()} | {t: k for k, t in COUNTY_KINDS.items()}
 
+# Columns that name a row of another table and go with it.
+FOREIGN_KEYS = {
+    "municipality": {"county_id": "county"},
+    "polling_station": {"municipality_id": "municipality"},
+    "election": {"election_type_id": "election_type"},
+    "election_round": {"election_id": "election"},
+    "electoral_district": {"election_id": "election"},
+    "electoral_list": {"election_round_id": "election_round", "district_id": "electoral_district"},
+    "candidacy": {"person_id": "person", "electoral_list_id": "electoral_list"},
+    "turnout": {"election_round_id": "election_round", "polling_station_id": "polling_station"},
+    "list_result": {"electoral_list_id": "electoral_list", "polling_station_id": "polling_station"},
+    "candidate_result": {"candidacy_id": "candidacy", "polling_station_id": "polling_station"},
+}
+
 # Fixed values of the seat rules.
 STANDARD_SEATS, LEGACY_MINORITY_SEATS = 14, 8
 SPECIAL_SEATS = {11: 3, 12: LEGACY_MINORITY_SEATS, 121: 3, 122: 1, 123: 1, 124: 1, 125: 1, 126: 1}

@@ -104,3 +104,25 @@ def test_threshold_votes_round_half_to_even(spark):
     )
     got = {r["year"]: r["threshold_votes"] for r in apportion.europe_lists(t).collect()}
     assert got == {2001: 50, 2002: 50, 2003: 52}
+
+
+def test_seats_by_divisor_on_ties(spark):
+    """The same seats as by sorted quotients, on few votes and many ties."""
+    import random
+
+    from plebis.operators import apportion
+
+    rng = random.Random(6)
+    rows = []
+    for district in range(300):
+        n = rng.choice([1, 2, 3, 8, 14, 151])
+        most = rng.choice([3, 10, 60, 10**6, 10**12])
+        for k in range(rng.randint(1, 9)):
+            rows.append((district, k, rng.choice([most, most // 2, rng.randint(1, most)]), n))
+    rows += [(1000, 5, 0, 3), (1000, 6, 0, 3), (1001, 1, 0, 2), (1001, 2, 1, 2), (1002, 1, 7, 0)]
+    lists = spark.createDataFrame(rows, "district_id long, electoral_list_id long, votes long, n_seats int")
+    lists = lists.where("n_seats > 0")
+    key = lambda df: sorted(map(tuple, df.select("district_id", "electoral_list_id", "seats").collect()))
+    searched = apportion.by_divisor(lists, ["district_id"])
+    assert key(searched) == key(apportion.highest_averages(lists, ["district_id"]))
+    assert "Generate" not in searched._jdf.queryExecution().executedPlan().toString()
