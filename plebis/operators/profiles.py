@@ -15,6 +15,9 @@ def list_denominators(t) -> DataFrame:
     """(electoral_list_id, valid_ballots): those of the list's round at the
     stations where the list has results."""
     lists = t.electoral_list.select(F.col("id").alias("electoral_list_id"), "election_round_id")
+    known = getattr(t, "list_ballots", None)  # summed already, where the tables keep sums
+    if known is not None:
+        return known
     return (
         t.list_result.select("electoral_list_id", "polling_station_id")
         .join(lists, "electoral_list_id")

@@ -18,6 +18,11 @@ MEASURES = ("registered_voters", "ballots_cast", "valid_ballots", "invalid_ballo
 def rounds(t, types: list[str] | None = None, year: int | None = None) -> DataFrame:
     """Rounds with their election and type: round_id, round_number, election_id,
     year, date, election_name, type_id, type_name."""
+    known = getattr(t, "named_rounds", None)  # joined already, where the tables keep sums
+    if known is not None:
+        if types is not None:
+            known = known.where(F.col("type_name").isin(types))
+        return known if year is None else known.where(F.col("year") == year)
     election = t.election if year is None else t.election.where(F.col("year") == year)
     kind = t.election_type if types is None else t.election_type.where(F.col("name").isin(types))
     return (

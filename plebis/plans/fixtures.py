@@ -40,6 +40,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def written(self) -> Tables:
+        """The same tables over votes that are written once, as nine tables come from them."""
+        folder = f"{new_folder(self.spark, 'votes')}"
+        self.votes.write.parquet(folder)
+        again = Tables(self.spark, self.sf_dir)
+        again.__dict__["votes"] = self.spark.read.parquet(folder)
+        return again
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

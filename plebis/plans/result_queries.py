@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plebis.operators import profiles, totals, turnout
+from plebis.operators import kept, profiles, totals, turnout
 from plebis.operators.scope import scope_stations
 from plebis.plans.catalog import query
+from plebis.plans.fixtures import new_folder
 from plebis.plans.seat_queries import _LISTS, _RANKS
 from plebis.plans.table_queries import _CATEGORY, _ROUNDS, bridge
+from plebis.sources.store import Store
 
 _SHARES = """,
 den AS (SELECT r.electoral_list_id, sum(x.valid_ballots)::BIGINT AS valid_ballots FROM list_result r JOIN electoral_list l ON l.id = r.electoral_list_id
@@ -33,22 +35,30 @@ def turnout_pct(t):
     )
 
 
-@query(
+_PERSON_HISTORY = (
     "SELECT s.person_id, s.candidacy_id, x.election, x.type_name AS election_type, x.year, strftime(x.date, '%Y-%m-%d') AS date, x.round_number AS round, l.name AS list_name, "
     "s.position_on_list AS position, d.name AS district, s.candidate_votes, s.list_votes, s.valid_ballots AS total_valid_ballots, k.rank, k.field AS total_candidates_in_round, "
     "c.id IS NOT NULL AS won_seat, CASE x.type_id WHEN 4 THEN 'vijece' WHEN 5 THEN 'vijece' WHEN 6 THEN 'nacelnik' WHEN 7 THEN 'nacelnik' WHEN 8 THEN 'zupan' WHEN 9 THEN 'zup_skupstina' END AS lokalni_kind, "
     "CASE WHEN x.type_id > 3 THEN h.county_id END AS county_id, CASE WHEN x.type_id > 3 THEN h.municipality_id END AS municipality_id, round_even(s.share, 1) AS vote_share, "
     "x.type_id = 3 AND s.person_id % 3 = 0 AS eu_mep, CASE WHEN x.type_id = 3 AND s.person_id % 3 = 0 THEN 'G' || (s.candidacy_id % 4)::VARCHAR END AS eu_group, "
     "row_number() OVER (PARTITION BY s.person_id ORDER BY x.year DESC, x.date DESC NULLS LAST, x.round_number DESC, s.candidacy_id) AS nth FROM shares s JOIN electoral_list l ON l.id = s.electoral_list_id JOIN rounds x ON x.round_id = l.election_round_id LEFT JOIN electoral_district d ON d.id = l.district_id "
-    "LEFT JOIN home2 h ON h.electoral_list_id = l.id LEFT JOIN (SELECT * FROM ranked WHERE own) k ON k.candidacy_id = s.candidacy_id LEFT JOIN chosen c ON c.id = s.candidacy_id",
-    _LISTS + _SHARES + _RANKS,
+    "LEFT JOIN home2 h ON h.electoral_list_id = l.id LEFT JOIN (SELECT * FROM ranked WHERE own) k ON k.candidacy_id = s.candidacy_id LEFT JOIN chosen c ON c.id = s.candidacy_id"
 )
+
+
+@query(_PERSON_HISTORY, _LISTS + _SHARES + _RANKS)
 def person_history(t):
     """Every third person sat in the European Parliament."""
     members = t.candidacy.where("person_id % 3 = 0").select(F.col("id").alias("candidacy_id"), F.concat(F.lit("G"), (F.col("id") % 4).cast("string")).alias("group"))
     return profiles.person_history(t, mandates=members)
 
 
+@query(_PERSON_HISTORY, _LISTS + _SHARES + _RANKS)
+def person_history_kept(t):
+    """The same from sums by municipality that are kept on disk."""
+    return person_history(kept.build(t.written(), Store(t.spark, new_folder(t.spark, "kept"))))
+
+
 _HISTORY = (
     "SELECT l.id AS electoral_list_id, x.election, x.type_name AS election_type, x.year, strftime(x.date, '%Y-%m-%d') AS date, x.round_number AS round, l.name AS list_name, d.name AS district, "
     "coalesce(lt.votes, 0)::BIGINT AS total_votes FROM electoral_list l JOIN rounds x ON x.round_id = l.election_round_id LEFT JOIN electoral_district d ON d.id = l.district_id "

@@ -6,7 +6,8 @@ import io
 import logging
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import islice
 from xml.etree import ElementTree as Tree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Rows that a task hands on at once.
+ROWS = 5000
 SHEET_CELLS = "file string, sheet string, row_no long, cells array<string>"
 
 
@@ -29,26 +32,45 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row_no, cells) of all sheets; blank cells are None."""
+def _elements(source, *tags: str) -> Iterator:
+    """The elements of these tags as they end, read as a stream; each is emptied afterwards."""
+    for _, node in Tree.iterparse(source):
+        if node.tag in tags:
+            yield node
+            node.clear()
+
+
+def workbook_rows(content: bytes, names: Collection[str] | None = None, columns: Collection[int] | None = None) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row_no, cells) of all sheets, or of those in ``names``: others are never
+    opened.  Blank cells are None; with ``columns`` a row has these cells only, in this order.
+    Sheets are read as streams, a row at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = [_text(si) for si in Tree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        held = set(z.namelist())
         targets = {r.get("Id"): r.get("Target") for r in Tree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        shared: list[str] | None = None
         for sheet in Tree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            if names is not None and sheet.get("name") not in names:
+                continue
+            if shared is None:  # read once, and only if some sheet is wanted
+                shared = []
+                if "xl/sharedStrings.xml" in held:
+                    with z.open("xl/sharedStrings.xml") as source:
+                        shared = [_text(si) for si in _elements(source, f"{_MAIN}si")]
             target = targets[sheet.get(_REL)].lstrip("/")
-            root = Tree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for n, row in enumerate(root.iter(f"{_MAIN}row")):
-                cells: list[str | None] = []
-                for c in row.iter(f"{_MAIN}c"):
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [None] * (at + 1 - len(cells))
-                    value = c.find(f"{_MAIN}v")
-                    if c.get("t") == "inlineStr":
-                        cells[at] = _text(c)
-                    elif value is not None:
-                        cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text
-                yield sheet.get("name"), n, cells
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as source:
+                for n, row in enumerate(_elements(source, f"{_MAIN}row")):
+                    cells: dict[int, str | None] = {}
+                    at = -1
+                    for c in row.iter(f"{_MAIN}c"):
+                        at = _column(c.get("r")) if c.get("r") else at + 1
+                        if columns is not None and at not in columns:
+                            continue
+                        value = c.find(f"{_MAIN}v")
+                        if c.get("t") == "inlineStr":
+                            cells[at] = _text(c)
+                        elif value is not None:
+                            cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text
+                    yield sheet.get("name"), n, [cells.get(k) for k in (range(at + 1) if columns is None else columns)]
 
 
 def workbook_bytes(sheets: dict[str, list[list[str]]]) -> bytes:
@@ -69,26 +91,29 @@ def workbook_bytes(sheets: dict[str, list[list[str]]]) -> bytes:
     return out.getvalue()
 
 
-def parse_sheets(found: DataFrame, title_rows: int = 1) -> DataFrame:
-    """Files (path, content) to (file, sheet, row_no, cells) without title rows;
-    a file that is no workbook gives no rows."""
+def parse_sheets(found: DataFrame, title_rows: int = 1, names: Collection[str] | None = None, columns: Collection[int] | None = None) -> DataFrame:
+    """Files (path, content) to (file, sheet, row_no, cells) without title rows, of the sheets
+    and columns that are named; a file that is no workbook gives no rows."""
+
+    def rows(path: str, content: bytes) -> Iterator[dict]:
+        file = path.rsplit("/", 1)[-1]
+        for sheet, n, cells in workbook_rows(content, names, columns):
+            if n >= title_rows:
+                yield {"file": file, "sheet": sheet, "row_no": n - title_rows, "cells": cells}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
+                # Rows go out as they are read, so that a book is read to its end first: one
+                # with a fault gives none.
                 try:
-                    rows = list(workbook_rows(bytes(content)))
-                except (zipfile.BadZipFile, KeyError, Tree.ParseError) as error:
+                    for _ in workbook_rows(bytes(content), names, columns):
+                        pass
+                except (zipfile.BadZipFile, KeyError, IndexError, Tree.ParseError) as error:
                     logging.getLogger(__name__).warning("%s: no workbook: %s", path, error)
                     continue
-                kept = [r for r in rows if r[1] >= title_rows]
-                yield pd.DataFrame(
-                    {
-                        "file": path.rsplit("/", 1)[-1],
-                        "sheet": [r[0] for r in kept],
-                        "row_no": [r[1] - title_rows for r in kept],
-                        "cells": [r[2] for r in kept],
-                    }
-                )
+                own = rows(path, bytes(content))
+                while part := list(islice(own, ROWS)):
+                    yield pd.DataFrame(part)
 
     return found.select("path", "content").mapInPandas(run, SHEET_CELLS)

@@ -83,3 +83,22 @@ def test_melt_reads_what_a_row_reaches(spark):
     rows = spark.createDataFrame([(1, ["x", "5", None, "1.200"]), (2, ["x", "-"]), (3, [])], "k int, cells array<string>")
     got = lambda blanks: sorted((r["k"], r["name"], r["votes"]) for r in melt.melt(rows, columns, ["k"], blanks=blanks).collect())
     assert got(True) == [(1, "a", 5), (1, "b", 0), (1, "c", 1200), (2, "a", 0)] and got(False) == [(1, "a", 5), (1, "c", 1200)]
+
+
+def test_sheets_and_columns_that_are_not_asked_for_are_not_read(spark):
+    import io
+    import zipfile
+
+    book = sheets.workbook_bytes({"Župan": [["t"], ["a", "b", "c"], ["1", "2", "3"], ["4"]], "Broken": [["t"]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as z, zipfile.ZipFile(out, "w") as w:
+        for name in z.namelist():  # the second sheet is no XML
+            w.writestr(name, b"<<<" if name.endswith("sheet2.xml") else z.read(name))
+    df = spark.createDataFrame([("x.xlsx", bytearray(out.getvalue()))], "path string, content binary")
+    read = sheets.parse_sheets(df, names=["Župan"], columns=[2, 0]).orderBy("row_no")
+    assert [(r["sheet"], list(r["cells"])) for r in read.collect()] == [("Župan", ["c", "a"]), ("Župan", ["3", "1"]), ("Župan", [None, "4"])]
+    assert sheets.parse_sheets(df).count() == 0 and sheets.parse_sheets(df, names=["None"]).count() == 0
+    # Blank cells before the last one are kept, and a sheet longer than a batch is whole.
+    long = sheets.workbook_bytes({"s": [["t"]] + [[str(k), "", "z"] for k in range(12_000)]})
+    df = spark.createDataFrame([("y.xlsx", bytearray(long))], "path string, content binary")
+    assert sheets.parse_sheets(df).where("size(cells) = 3").count() == 12_000
