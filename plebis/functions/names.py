@@ -163,3 +163,15 @@ def classify_sheet(c: Column) -> Column:
             value = F.struct(F.lit(slug).alias("slug"), F.lit(kind).alias("type"), F.lit(is_list).alias("is_list"))
             found = found.when(fits(key), value)
     return found
+
+
+def croatian(c: Column | str) -> Column:
+    """A sort key: Č and Ć follow C, Đ follows D and Dž, Lj and Nj are letters, Š and Ž come last of
+    theirs; for lists that are shown, not for keys."""
+    return F.collate(c, "hr")
+
+
+def title_case(c: Column | str) -> Column:
+    """The first letter of every run of letters as a capital, all others small; a digit or a
+    mark ends a run."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda part: F.initcap(part)), "")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis import schema
-from plebis.functions.names import normalize_person_name, primary_party
+from plebis.functions.names import croatian, normalize_person_name, primary_party
 from plebis.operators import totals
 
 
@@ -56,7 +56,7 @@ def list_counties(t) -> DataFrame:
 
 
 def list_municipalities(t, county: int) -> DataFrame:
-    return t.municipality.where((F.col("county_id") == county) & ~F.col("name").contains("IZBORNA JEDINICA")).select("id", "name")
+    return t.municipality.where((F.col("county_id") == county) & ~F.col("name").contains("IZBORNA JEDINICA")).select("id", "name").orderBy(croatian("name"), "id")
 
 
 def dedup_stations(t, municipality: int | None = None) -> DataFrame:
@@ -105,3 +105,34 @@ def district_municipalities(t, least: int = schema.LEAST_DISTRICT_VOTES) -> Data
         .join(F.broadcast(munis), "municipality_id")
         .select("district_id", "municipality_id", "name", "county", "votes")
     )
+
+
+def names_in_order(t) -> DataFrame:
+    """(last_name, nth): every last name once, in the order that people look for it.
+    Names are few beside the people who bear them."""
+    names = t.person.select("last_name").distinct()
+    return names.withColumn("nth", F.row_number().over(Window.orderBy(croatian("last_name"), "last_name")).cast("long"))
+
+
+class Unknown(LookupError):
+    """What a question is about isn't there."""
+
+
+def known(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, of which there have to be some."""
+    if rows.isEmpty():
+        raise Unknown(f"no {what}")
+    return rows
+
+
+def person(t, number: int) -> DataFrame:
+    return known(t.person.where(F.col("id") == number), f"person {number}")
+
+
+def station(t, number: int) -> DataFrame:
+    return known(t.polling_station.where(F.col("id") == number), f"station {number}")
+
+
+def year_of(t, types: list[str], year: int) -> DataFrame:
+    """The rounds of these types in a year."""
+    return known(totals.rounds(t, types, year), f"election in {year}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis import schema
-from plebis.functions.names import clean_candidate_name, normalize_municipality, normalize_person_name
+from plebis.functions.names import clean_candidate_name, normalize_municipality, normalize_person_name, title_case
 
 
 def duplicates(df: DataFrame, by: list[str]) -> DataFrame:
@@ -92,7 +92,7 @@ def types_get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = keep_first(incoming, ["slug"], [F.col("seq")]).join(known, "slug", "left_anti").select("slug", "name", "parent")
     parents = incoming.where("parent is not null").select(F.col("parent").alias("slug")).distinct()
     named = parents.join(known, "slug", "left_anti").join(fresh.select("slug"), "slug", "left_anti")
-    made = named.select("slug", F.initcap(F.replace("slug", F.lit("_"), F.lit(" "))).alias("name"), F.lit(None).cast("string").alias("parent"))
+    made = named.select("slug", title_case(F.replace("slug", F.lit("_"), F.lit(" "))).alias("name"), F.lit(None).cast("string").alias("parent"))
     return existing.select("slug", "name", "parent").unionByName(fresh).unionByName(made)
 
 

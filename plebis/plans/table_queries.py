@@ -286,6 +286,14 @@ def list_municipalities(t):
     return lookup.list_municipalities(t, 1)
 
 
+@query(
+    "SELECT DISTINCT last_name, list_position(['Anić', 'Babić', 'Čačić', 'Ćosić', 'Drašković', 'Đapić', 'Erceg', 'Filipović', 'Grgić', 'Hoić', 'Ivšić', 'Jurić', 'Kos', 'Lončar', 'Ljubić', 'Matić', 'Nović', "
+    "'Njegač', 'Oreč', 'Pešić', 'Radoš', 'Šarić', 'Tadić', 'Vukoja', 'Žanić'], last_name)::BIGINT AS nth FROM person"
+)
+def names_in_order(t):
+    return lookup.names_in_order(t)
+
+
 @query("SELECT DISTINCT address AS name FROM polling_station WHERE municipality_id = 4 AND address IS NOT NULL AND address <> ''")
 def list_streets(t):
     return lookup.list_streets(t, 4)
