@@ -6,6 +6,8 @@ a dry run is to look at it and a commit to write it and swap paths.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +53,42 @@ def upsert_turnout(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.unionByName(existing.join(fresh, key, "left_anti").select(*fresh.columns))
 
 
+def key_digest(key: list[str]) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in key]))
+
+
+#: Digits of the digest that tell a range: 4,096 ranges of about equal size.
+RANGE_DIGITS = 3
+
+
+def numbered(fresh: DataFrame, key: list[str], after: DataFrame, digest: Callable[[list[str]], Column] = key_digest) -> DataFrame:
+    """``fresh``, whose keys are distinct, with ids that go on from the largest of
+    ``after`` without gaps, in the order of the key's digest and then of the key itself, so
+    keys of one digest stay apart.  Ranges of the digest are numbered side by side, each
+    from the sum of those before it; only one row a range meets the others."""
+    keyed = fresh.withColumn("__digest", digest(key)).withColumn("__range", F.substring("__digest", 1, RANGE_DIGITS))
+    present = after.agg(F.lit("").alias("__range"), F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = present.unionByName(keyed.groupBy("__range").agg(F.count("*").alias("n"))).select("__range", F.sum("n").over(before).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy("__digest", *key))
+    return keyed.withColumn("__nth", nth).join(F.broadcast(starts), "__range").withColumn("id", F.col("__start") + F.col("__nth")).drop("__digest", "__range", "__nth", "__start")
+
+
+def _first_of_new(existing: DataFrame, incoming: DataFrame, key: list[str], attributes: list[str], seq: str) -> DataFrame:
+    """Keys that ``existing`` lacks (null equals null), each with the attributes that came
+    first; rows without a place come last, and of one place the smallest values count."""
+    known = existing.select(*[F.col(k).alias(f"__known_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__known_{k}")) for k in key]
+    first = F.min(F.struct(F.col(seq).isNull().alias("__last"), F.col(seq).alias("__seq"), *attributes)).alias("__first")
+    return incoming.join(known, same, "left_anti").groupBy(*key).agg(first).select(*key, *[F.col(f"__first.{a}").alias(a) for a in attributes])
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, key: list[str], attributes: list[str], seq: str = "seq") -> DataFrame:
-    """Rows (id, key, attributes): known keys keep all they have, new ones take a
-    hash of the key as id and the attributes that came first."""
-    fresh = (
-        incoming.join(existing.select(*key), key, "left_anti")
-        .groupBy(*key)
-        .agg(*[F.min_by(a, seq).alias(a) for a in attributes])
-        .withColumn("id", F.xxhash64(*key))
-    )
-    return existing.select("id", *key, *attributes).unionByName(fresh.select("id", *key, *attributes))
+    """Rows (id, key, attributes): known keys keep all they have, new ones take the
+    next ids and the attributes that came first."""
+    fresh = _first_of_new(existing, incoming, key, attributes, seq)
+    columns = ["id", *key, *attributes]
+    return existing.select(*columns).unionByName(numbered(fresh, key, existing).select(*columns))
 
 
 def municipalities_get_or_create(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -68,13 +96,10 @@ def municipalities_get_or_create(existing: DataFrame, incoming: DataFrame) -> Da
     name, whatever prefix they come with; a new one keeps the name and type of the
     row that came first (by ``seq``)."""
     keyed = lambda df: df.withColumn("__key", normalize_municipality(F.col("name")))
-    fresh = (
-        keyed(incoming).join(keyed(existing).select("county_id", "__key"), ["county_id", "__key"], "left_anti")
-        .groupBy("county_id", "__key")
-        .agg(F.min_by("name", "seq").alias("name"), municipality_type(F.min_by("type", "seq")).alias("type"))
-    )
+    key = ["county_id", "__key"]
+    fresh = numbered(_first_of_new(keyed(existing), keyed(incoming), key, ["name", "type"], "seq"), key, existing)
     columns = ["id", "county_id", "name", "type"]
-    return existing.select(*columns).unionByName(fresh.withColumn("id", F.xxhash64("county_id", "__key")).select(*columns))
+    return existing.select(*columns).unionByName(fresh.withColumn("type", municipality_type(F.col("type"))).select(*columns))
 
 
 def municipality_type(written: Column) -> Column:

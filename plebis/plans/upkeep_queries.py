@@ -224,6 +224,20 @@ def get_or_create_dim(t):
     return made.select("name", "municipality_id", "location")
 
 
+@query(
+    "SELECT id, name, municipality_id FROM polling_station WHERE id % 2 = 0 UNION ALL SELECT (SELECT max(id) FROM polling_station WHERE id % 2 = 0) "
+    "+ row_number() OVER (ORDER BY md5(concat_ws(chr(31), name, municipality_id::VARCHAR)), name, municipality_id), name, municipality_id FROM polling_station WHERE id % 2 = 1"
+)
+def get_or_create_ids(t):
+    """Odd stations are new and take the ids after the largest; a second load of the same
+    rows changes none."""
+    rows = t.polling_station.select("id", "name", "municipality_id", "location")
+    incoming = rows.select("name", "municipality_id", "location", F.lit(1).alias("seq"))
+    key = ["name", "municipality_id"]
+    once = maintain.get_or_create(rows.where("id % 2 = 0"), incoming, key, ["location"])
+    return maintain.get_or_create(once, incoming, key, ["location"]).select("id", *key)
+
+
 @query("SELECT c_custkey::BIGINT AS c_custkey, n_regionkey::BIGINT AS county_id FROM customer JOIN nation ON n_nationkey = c_nationkey", own=True)
 def resolve_county(t):
     """Half of the rows name their county in full, the others only give its code."""
