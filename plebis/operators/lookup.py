@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plebis import schema
 from plebis.functions.names import croatian, normalize_person_name, primary_party
 from plebis.operators import totals
+from plebis.operators.grams import Index
 
 
 def _long_enough(df: DataFrame, query: str) -> DataFrame:
     return df if len(query.strip()) >= schema.LEAST_QUERY else df.limit(0)
 
 
-def search_persons(t, query: str, k: int = schema.SEARCH_LIMIT) -> DataFrame:
+#: The fields that searches look into, by table.
+SEARCHED = {"person": ["normalized_name"], "electoral_list": ["name"], "polling_station": ["address", "location", "name"]}
+
+
+def indexed(t, index: Index) -> Index:
+    """Posting lists of all that searches look into."""
+    for name, fields in SEARCHED.items():
+        index.build(name, getattr(t, name), fields)
+    return index
+
+
+def _holding(t, name: str, wanted: Column, index: Index | None) -> DataFrame:
+    """Rows with ``wanted`` in a searched field: by their grams where there is an index,
+    else by a scan."""
+    rows = getattr(t, name)
+    if index is not None:
+        return index.narrow(name, rows, SEARCHED[name], wanted)
+    return rows.where(reduce(Column.__or__, [F.ilike(f, wanted) for f in SEARCHED[name]]))
+
+
+def search_persons(t, query: str, k: int = schema.SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
     """People whose normalized name holds the normalized query; % and _ in it are
     wildcards."""
     wanted = F.concat(F.lit("%"), normalize_person_name(F.lit(query)), F.lit("%"))
-    found = t.person.where(F.ilike("normalized_name", wanted))
+    found = _holding(t, "person", wanted, index)
     return _long_enough(found, query).orderBy("last_name", "first_name", "id").limit(k).select(
         "id", F.concat_ws(" ", "first_name", "last_name").alias("name")
     )
 
 
-def search_parties(t, query: str, k: int = schema.SEARCH_LIMIT) -> DataFrame:
+def search_parties(t, query: str, k: int = schema.SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
     name = primary_party(F.col("name"))
     found = (
-        t.electoral_list.where(F.ilike("name", F.lit(f"%{query}%")))
+        _holding(t, "electoral_list", F.lit(f"%{query}%"), index)
         .select(name.alias("name"))
         .where((F.col("name") != "") & F.contains(F.lower("name"), F.lit(query.lower())))
         .distinct()
@@ -35,13 +58,21 @@ def search_parties(t, query: str, k: int = schema.SEARCH_LIMIT) -> DataFrame:
     return _long_enough(found, query).orderBy("name").limit(k)
 
 
-def search_stations(t, query: str, k: int = schema.SEARCH_LIMIT) -> DataFrame:
+def search_stations(t, query: str, k: int = schema.SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
+    """Locations whose address, location, name or municipality holds the query."""
     like = F.lit(f"%{query}%")
     munis = t.municipality.select(F.col("id").alias("municipality_id"), F.col("name").alias("municipality"))
-    hit = F.ilike("address", like) | F.ilike("location", like) | F.ilike("name", like) | F.ilike("municipality", like)
+    columns = ["id", "location", "address", "municipality_id"]
+    if index is None:
+        hit = reduce(Column.__or__, [F.ilike(f, like) for f in [*SEARCHED["polling_station"], "municipality"]])
+        hits = t.polling_station.join(F.broadcast(munis), "municipality_id").where(hit)
+    else:
+        theirs = munis.where(F.ilike("municipality", like)).select("municipality_id")
+        by_place = t.polling_station.join(F.broadcast(theirs), "municipality_id", "left_semi").select(*columns)
+        either = _holding(t, "polling_station", like, index).select(*columns).unionByName(by_place)
+        hits = either.join(F.broadcast(munis), "municipality_id")  # smallest ids don't mind repeats
     found = (
-        t.polling_station.join(F.broadcast(munis), "municipality_id")
-        .where(hit)
+        hits
         .groupBy("location", "address")
         .agg(F.min("id").alias("id"), F.min("municipality").alias("municipality"))
     )

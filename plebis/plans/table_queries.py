@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plebis.functions import names
 from plebis.operators import lookup, maintain, rank, totals
+from plebis.operators.grams import Index
 from plebis.operators.scope import scope_stations, siblings
 from plebis.plans.catalog import query
+from plebis.plans.fixtures import new_folder
+from plebis.sources.store import Store
 
 # ---- scans and filters
 
@@ -330,6 +336,36 @@ def search_stations(t):
     return lookup.search_stations(t, "hold 1")
 
 
+#: Search terms: letters, two of them, wildcards, a wildcard between short stretches.
+TERMS = {"person": ("čić", "an", "A_A", "n%r", "%%"), "station": ("hold 1", "ld", "1%2", "b_ild"), "party": ("ta 1", "ta")}
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            f"(SELECT 'person' AS kind, '{q}' AS term, id, first_name || ' ' || last_name AS name FROM person WHERE normalized_name ILIKE '%' || '{like}' || '%' ORDER BY last_name, first_name, id LIMIT 20)"
+            for q, like in zip(TERMS["person"], ("CIC", "AN", "A_A", "N%R", "%%"))
+        ]
+        + [
+            f"(SELECT 'station', '{q}', min(p.id)::BIGINT, p.location || ', ' || p.address FROM polling_station p JOIN municipality m ON m.id = p.municipality_id "
+            f"WHERE p.address ILIKE '%{q}%' OR p.location ILIKE '%{q}%' OR p.name ILIKE '%{q}%' OR m.name ILIKE '%{q}%' GROUP BY p.location, p.address ORDER BY min(m.name), p.location, min(p.id) LIMIT 20)"
+            for q in TERMS["station"]
+        ]
+        + [
+            f"(SELECT DISTINCT 'party', '{q}', NULL::BIGINT, trim(split_part(split_part(name, chr(10), 1), ',', 1)) AS n FROM electoral_list WHERE name ILIKE '%{q}%' AND contains(lower(trim(split_part(split_part(name, chr(10), 1), ',', 1))), '{q}') ORDER BY n LIMIT 20)"
+            for q in TERMS["party"]
+        ]
+    )
+)
+def search_indexed(t):
+    """The same searches by posting lists of three-letter grams."""
+    index = lookup.indexed(t, Index(Store(t.spark, new_folder(t.spark, "grams"))))
+    found = [lookup.search_persons(t, q, index=index).select(F.lit("person").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["person"]]
+    found += [lookup.search_stations(t, q, index=index).select(F.lit("station").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["station"]]
+    found += [lookup.search_parties(t, q, index=index).select(F.lit("party").alias("kind"), F.lit(q).alias("term"), F.lit(None).cast("long").alias("id"), "name") for q in TERMS["party"]]
+    return reduce(DataFrame.unionByName, found)
+
+
 # ---- scalar functions
 
 
