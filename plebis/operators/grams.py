@@ -8,8 +8,8 @@ asks for all its grams, a shorter one for the grams that begin with it.  Only th
 rows of these grams are read; lists are intersected block by block, and the rows that are
 left are compared with the whole pattern.  A pattern without a letter leaves every row.
 
-Postings are kept in a store by block, so a load writes the blocks of the ids that it
-touched and no others.
+Postings are kept in a store by bins, each of some blocks, so a load writes the bins of the
+ids that it touched and no others.
 
 Defined results.  Null texts match nothing, empty ones only patterns of ``%``.  Ids are
 distinct within a table; rows with a null id are found by no search.
@@ -33,6 +33,10 @@ def block_of(id: Column) -> Column:
     return F.floor(id / BLOCK).cast("long")
 
 
+def bin_of(block: Column, bins: int) -> Column:
+    return F.pmod(block, F.lit(bins)).cast("int")
+
+
 def grams_of(text: Column) -> Column:
     padded = F.concat(F.lower(text), F.lit(" " * (GRAM - 1)))
     places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(F.lower(text))))
@@ -89,20 +93,25 @@ def candidates(lists: DataFrame, field: str, pattern: str) -> DataFrame | None:
 
 @dataclass
 class Index:
-    """The posting lists of some tables, as the newest version of a store has them."""
+    """The posting lists of some tables, as the newest version of a store has them.  An
+    index keeps the number of bins that it was built with."""
 
     store: Store
+    bins: int = 16
+
+    def _change(self, rows: DataFrame, fields: list[str], id: str, parts: list[int] | None = None) -> Change:
+        return Change(postings(rows, fields, id).withColumn("bin", bin_of(F.col("block"), self.bins)), "bin", parts)
 
     def build(self, table: str, rows: DataFrame, fields: list[str], id: str = "id") -> Index:
-        self.store.commit({f"grams_{table}": Change(postings(rows, fields, id), "block")})
+        self.store.commit({f"grams_{table}": self._change(rows, fields, id)})
         return self
 
     def refresh(self, table: str, rows: DataFrame, fields: list[str], touched: DataFrame, id: str = "id") -> Index:
         """After a load: ``rows`` is the table as it is now, ``touched`` the ids that came,
-        went or changed.  Only their blocks are read and written."""
-        blocks = sorted(r[0] for r in touched.select(block_of(touched[id]).alias("b")).where("b is not null").distinct().collect())
-        within = rows.where(block_of(rows[id]).isin(blocks))
-        self.store.commit({f"grams_{table}": Change(postings(within, fields, id), "block", blocks)})
+        went or changed.  Only their bins are read and written."""
+        own = lambda df: bin_of(block_of(df[id]), self.bins)
+        parts = sorted(r[0] for r in touched.select(own(touched).alias("b")).where("b is not null").distinct().collect())
+        self.store.commit({f"grams_{table}": self._change(rows.where(own(rows).isin(parts)), fields, id, parts)})
         return self
 
     def narrow(self, table: str, rows: DataFrame, fields: list[str], pattern: Column, id: str = "id") -> DataFrame:

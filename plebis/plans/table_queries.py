@@ -359,6 +359,7 @@ TERMS = {"person": ("čić", "an", "A_A", "n%r", "%%"), "station": ("hold 1", "l
 )
 def search_indexed(t):
     """The same searches by posting lists of three-letter grams."""
+    t = t.written()
     index = lookup.indexed(t, Index(Store(t.spark, new_folder(t.spark, "grams"))))
     found = [lookup.search_persons(t, q, index=index).select(F.lit("person").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["person"]]
     found += [lookup.search_stations(t, q, index=index).select(F.lit("station").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["station"]]

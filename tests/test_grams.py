@@ -32,7 +32,7 @@ def test_every_pattern_as_a_scan(spark, small, tmp_path):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, scan.collect())), p
 
 
-def test_a_load_writes_only_its_blocks(spark, small, tmp_path):
+def test_a_load_writes_only_its_bins(spark, small, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     df = rows_of(spark, TEXTS)
     index = grams.Index(store).build("t", df, ["a"])
@@ -46,7 +46,7 @@ def test_a_load_writes_only_its_blocks(spark, small, tmp_path):
 
 
 def test_only_the_lists_of_a_term_are_read(spark, data, tmp_path):
-    t = Tables(spark, data)
+    t = Tables(spark, data).written()
     index = lookup.indexed(t, grams.Index(Store(spark, str(tmp_path / "s"))))
     plan = lookup.search_persons(t, "čić", index=index)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gram,cic)" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
