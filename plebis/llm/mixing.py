@@ -12,10 +12,11 @@ its own permutation.  Blocks have different sizes, so the drawn ones are taken i
 turn up to the target, then those that no shard has drawn; the last is cut between
 documents.  Within itself each shard is shuffled by a hash.
 
-Only the per-source and per-block tables meet in windows: one row a source, and as
-many blocks a source as the corpus has some thousand documents, so a source with a
-third of all rows spreads over ``n_blocks`` keys.  Of the block that a target cuts
-only a slice of its hashes meets in one task.
+Only the per-source and per-block tables meet in windows: one row a source, and a
+block for some thousand documents of a source, 64 blocks a source at least, so that the
+quotas choose among blocks in small sources too and a source with a third of all rows
+spreads over as many keys as it has blocks.  Of the block that a target cuts only a
+slice of its hashes meets in one task.
 
 Defined results.  Null text has size 0; null is a source of its own and sorts
 last.  Rows with equal source, key and text are decided alike.  An empty table
@@ -172,21 +173,36 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 
 def _fillers(others: Column, left: Column) -> Column:
-    """Of (h, words) in order, the h of those that fit into what is still left."""
+    """Of (h, words, block) in order, the (block, h) of those that fit into what is still left."""
     return F.aggregate(
         others,
-        F.struct(left.cast("double").alias("left"), F.array().cast("array<long>").alias("out")),
+        F.struct(left.cast("double").alias("left"), F.array().cast("array<struct<block:long,h:long>>").alias("out")),
         lambda a, x: F.when(
             x["words"] <= a["left"],
-            F.struct((a["left"] - x["words"]).cast("double").alias("left"), F.array_append(a["out"], x["h"]).alias("out")),
+            F.struct(
+                (a["left"] - x["words"]).cast("double").alias("left"),
+                F.array_append(a["out"], F.struct(x["block"].alias("block"), x["h"].alias("h"))).alias("out"),
+            ),
         ).otherwise(a),
         lambda a: a["out"],
     )
 
 
-def blocks_for(count: int) -> int:
-    """Blocks a source: the corpus in blocks of a thousand documents, up to 65,536."""
-    return 1 << min(16, max(0, (count // 1024).bit_length() - 1))
+#: Documents a block, and the bounds of a source's blocks.
+BLOCK_DOCS, LEAST_BLOCKS, MOST_BLOCKS = 1024, 64, 1 << 16
+
+
+def source_blocks(sized: DataFrame, n_blocks: int | None = None) -> DataFrame:
+    """Rows (of, n_blocks), one a source, by the source's own size."""
+    own = F.least(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.lit(LEAST_BLOCKS)), F.lit(MOST_BLOCKS)).cast("long")
+    return sized.groupBy(F.col("source").alias("of")).agg((own if n_blocks is None else F.max(F.lit(n_blocks).cast("long"))).alias("n_blocks"))
+
+
+def _blocked(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """docs with columns source and h, and the block that h falls in: one row a source
+    is broadcast, as the quotas of all sources stand in one row anyway."""
+    both = docs.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("of")))
+    return both.withColumn("block", F.pmod("h", "n_blocks")).drop("of", "n_blocks")
 
 
 def shards_for(count: int) -> int:
@@ -200,14 +216,13 @@ def block_plan(
     share: float = 1.5,
     most: float = 2.0,
     n_shards: int = 64,
-    n_blocks: int = 1024,
     seed: int = 7,
 ) -> DataFrame:
-    """Rows (source, size, h) to one row a block: its source's size and target,
+    """Rows (source, size, h, block) to one row a block: its source's size and target,
     and ``draws``, the (pass, shard, cut, fillers) under which documents with
     h <= cut or h among the fillers go out once each."""
     blocks = (
-        sized.groupBy("source", F.pmod("h", F.lit(n_blocks)).alias("block"))
+        sized.groupBy("source", "block")
         .agg(F.sum("size").alias("words"))
         .transform(durable)
     )
@@ -273,9 +288,8 @@ def block_plan(
     # The one block of a source that its target cuts: whole documents in hash
     # order while they fit.  The slice of hashes in which that ends comes first.
     cut_blocks = placed.where("partly").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest")
-    block_of = F.pmod(F.col("h"), F.lit(n_blocks))
     hashes = (
-        sized.join(F.broadcast(cut_blocks), F.col("source").eqNullSafe(F.col("s")) & (block_of == F.col("b")))
+        sized.join(F.broadcast(cut_blocks), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
         .groupBy("s", "b", "rest", F.shiftright("h", 52).alias("slice"), "h")
         .agg(F.sum("size").alias("words"))
         .transform(durable)
@@ -304,9 +318,9 @@ def block_plan(
     later = placed.where("not whole").select(F.col("source").alias("ls"), F.col("block").alias("lb"), F.col("turn").cast("long").alias("turn"), "partly").transform(durable)
     fitting = (
         sized.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("left")))
-        .join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, F.col("source").eqNullSafe(F.col("ls")) & (block_of == F.col("lb")))
+        .join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, F.col("source").eqNullSafe(F.col("ls")) & (F.col("block") == F.col("lb")))
         .where(~F.col("partly") | (F.col("h") > F.col("cut")))
-        .groupBy("s", "b", "left", "turn", "h")
+        .groupBy("s", "b", "left", "turn", "block", "h")
         .agg(F.sum("size").alias("words"))
         .where((F.col("words") > 0) & (F.col("words") <= F.col("left")))
         .transform(durable)
@@ -323,10 +337,10 @@ def block_plan(
         .withColumn("drawn_before", F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("turn", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where(F.col("drawn_before") < REACH * F.col("left"))
         .groupBy("s", "b", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "h", "words"))).alias("others"))
-        .select("s", "b", F.explode(_fillers(F.col("others"), F.col("left"))).alias("h"))
-        .groupBy(F.col("s").alias("fs"), F.col("b").alias("cut_block"), F.pmod("h", F.lit(n_blocks)).alias("fb"))
-        .agg(F.collect_list("h").alias("fillers"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "h", "words", "block"))).alias("others"))
+        .select("s", "b", F.explode(_fillers(F.col("others"), F.col("left"))).alias("f"))
+        .groupBy(F.col("s").alias("fs"), F.col("b").alias("cut_block"), F.col("f.block").alias("fb"))
+        .agg(F.collect_list("f.h").alias("fillers"))
     )
 
     # In a whole pass the k-th draw of a source is the block at place k.
@@ -357,17 +371,17 @@ def block_plan(
     ).select("source", "block", "source_size", "target", "draws")
 
 
-def _with_plan(docs: DataFrame, plan: DataFrame, n_blocks: int) -> DataFrame:
-    """docs has columns row, source, h; adds source_size, target and its own draws."""
+def _with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs has columns row, source, h, block; adds source_size, target and its own draws."""
     plan = plan.transform(durable)
     small = plan.count() <= BROADCAST_ROWS  # one row a source and block
     side = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "draws")
     both = docs.join(
         F.broadcast(side) if small else side,
-        F.col("source").eqNullSafe(F.col("s")) & (F.pmod(F.col("h"), F.lit(n_blocks)) == F.col("b")),
+        F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")),
     )
     own = F.filter(F.coalesce("draws", F.array().cast(plan.schema["draws"].dataType)), lambda d: (F.col("h") <= d["cut"]) | F.array_contains(d["fillers"], F.col("h")))
-    return both.drop("s", "b").withColumn("draws", own)
+    return both.drop("s", "b", "block").withColumn("draws", own)
 
 
 def place_of(pass_: Column, h: Column, seed: int = 7) -> Column:
@@ -386,9 +400,8 @@ def plan_documents(
         _block_key(docs, key, text, seed).alias("h"),
     ).transform(durable)
     count = sized.count()
-    n_blocks = n_blocks or blocks_for(count)
-    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, **{"n_shards": shards_for(count)} | options)
-    return _with_plan(sized, plan, n_blocks)
+    sized = _blocked(sized, source_blocks(sized, n_blocks).transform(durable))
+    return _with_plan(sized, block_plan(sized, seed=seed, **{"n_shards": shards_for(count)} | options))
 
 
 def mix(
@@ -406,9 +419,9 @@ def mix(
         docs[source].alias("source"), n_words(docs[text]).alias("size"), _block_key(docs, key, text, seed).alias("h")
     ).transform(durable)
     count = sized.count()
-    n_blocks = n_blocks or blocks_for(count)
-    plan = block_plan(sized, n_blocks=n_blocks, seed=seed, n_shards=n_shards or shards_for(count), **options)
-    drawn = _with_plan(row, plan, n_blocks).select("row", "h", F.explode("draws").alias("draw"))
+    blocks = source_blocks(sized, n_blocks).transform(durable)
+    plan = block_plan(_blocked(sized, blocks), seed=seed, n_shards=n_shards or shards_for(count), **options)
+    drawn = _with_plan(_blocked(row, blocks), plan).select("row", "h", F.explode("draws").alias("draw"))
     return (
         drawn.select("row", F.col("draw.shard").alias("shard"), place_of(F.col("draw.pass"), F.col("h"), seed).alias("at"))
         .repartition("shard")

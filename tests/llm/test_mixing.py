@@ -111,3 +111,20 @@ def test_the_tree_decides(corpus, plan, monkeypatch):
     assert key(plan, len) != key(other, len)
     shares = [sum(x["shard"] == k for r in plan for x in r["draws"]) for k in range(4)]
     assert min(shares) > 0.5 * max(shares)
+
+
+def test_the_tree_decides_in_small_sources(docs_of, monkeypatch):
+    """With blocks by each source's own size, also fifty documents a source."""
+    rng = random.Random(3)
+    docs = docs_of([(k, " ".join(["w"] * rng.randint(50, 150)), f"s{k % 6}") for k in range(300)])
+    split = mixing.split_quotas
+    drawn = []
+    for shift in (0, 1):
+        monkeypatch.setattr(mixing, "split_quotas", lambda quotas, n, seed: split(quotas, n, seed + shift))
+        got = mixing.plan_documents(docs).collect()
+        drawn.append({r["key"]: len(r["draws"]) for r in got})
+        for source in {r["source"] for r in got}:
+            own = [r for r in got if r["source"] == source]
+            taken = sum(r["size"] * len(r["draws"]) for r in own)
+            assert abs(taken - own[0]["target"]) <= 0.01 * own[0]["target"]
+    assert sum(drawn[0][k] != drawn[1][k] for k in drawn[0]) > 30
