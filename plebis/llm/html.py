@@ -5,11 +5,13 @@ containers that by name hold no article are taken out; each other line weighs th
 characters that stand outside links, and nothing where those are no letters or
 digits.  Weights are summed over sliding windows of lines.  Where a window's sum
 jumps over the surge level the text begins, where it falls to nothing the text
-ends, and all lines between are kept that have weight, short ones too, and
-headings.  Every such stretch stays, with the lines beside it that share its
-container.  Where a page marks its article, the mark bounds the search: windows
-run over the lines in it alone.  A label of class, id or role is read as a whole,
-and not at all where its container holds most of the page's text.
+ends, and all lines between are kept that have weight, short ones too, headings, and
+paragraphs of the stretch's own container, be they a link or a row of stars.  Every
+such stretch stays, with the lines beside it that share its container.  Where a page
+marks its article, the mark bounds the search: windows run over the lines in it alone.
+A label of class, id or role is read as a whole, and not at all where its container
+holds most of the page's text.  In a marked article a label that may as well tell what a
+section is about counts only where the windows find no text in that section.
 
 Each page is worked on alone, in Arrow batches.
 
@@ -50,6 +52,8 @@ _NAMED = re.compile(
     r"form|thread|banner|notice|consent|widget|left|right|top|bottom|media|\d+))*",
     re.I,
 )
+#: Labels that also tell what a section of an article is about.
+_TOPICS = re.compile(r"search|legal|copyright|login|social|alert|sharing", re.I)
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -57,6 +61,7 @@ _BLOCKS = set(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PROSE = {"p", "blockquote", "pre"}
 _CLOSED_BY_NEXT = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
 _HOLDERS = {"article", "body", "div", "main", "section", "td"}
 _STRIP = re.compile(
@@ -81,14 +86,31 @@ class _Open(NamedTuple):
     holder: int
     heading: bool
     linked: bool
-    labels: tuple[int, ...]  # numbers of containers that are outside by their label alone
+    label: int  # the innermost container that is outside by its label alone, or 0
 
 
-def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, weight, marked article or 0, container, heading) of every line."""
+class _Label(NamedTuple):
+    """A container that is outside by its label alone, and the one around it."""
+
+    around: int
+    topic: bool
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int
+    marked: int  # marked article or 0
+    holder: int
+    heading: bool
+    prose: bool
+
+
+def lines(page: str) -> list[Line]:
+    """Every line that no tag and no label puts outside."""
     page = _HEAD.sub(" ", _STRIP.sub(" ", page))
-    out: list[tuple[tuple[str, int, int, int, bool], tuple[int, ...]]] = []
-    stack: list[_Open] = [_Open("", False, 0, 0, 0, False, False, ())]
+    out: list[tuple[Line, int]] = []
+    labels: dict[int, _Label] = {}
+    stack: list[_Open] = [_Open("", False, 0, 0, 0, False, False, 0)]
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
@@ -101,7 +123,8 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
             text = _WHITE.sub(" ", references.unescape("".join(parts))).strip()
             top = stack[-1]
             if text and not top.outside:
-                out.append(((text, max(1, len(text) - linked) if free else 0, top.marked, top.holder, top.heading), top.labels))
+                block = next(o.name for o in reversed(stack) if o.name != "a")
+                out.append((Line(text, max(1, len(text) - linked) if free else 0, top.marked, top.holder, top.heading, block in _PROSE), top.label))
         parts, linked, free = [], 0, False
 
     def take(text: str) -> None:
@@ -139,8 +162,8 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
             top = stack[-1]
             label = " ".join(filter(None, (g for m in _LABEL.finditer(tag.group(3)) for g in m.groups())))
             outside = name in _OUTSIDE
-            by_label = not outside and name not in _MAIN and name not in ("body", "html") and any(map(_NAMED.fullmatch, label.split()))
-            by_label = by_label or name == "form"  # may wrap a whole page
+            told = [] if outside or name in _MAIN or name in ("body", "html") else list(filter(_NAMED.fullmatch, label.split()))
+            by_label = bool(told) or name == "form"  # may wrap a whole page
             if name == "header" and top.marked:
                 outside = False  # the article's own heading
             if name == "article" and label and re.search(r"(?:^|[\s_-])comment", label, re.I):
@@ -148,6 +171,8 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
             if name in _BLOCKS or name == "a" or outside or by_label:
                 number = tag.start() + 1
                 opened[name] += 1
+                if by_label:
+                    labels[number] = _Label(top.label, name != "form" and bool(top.marked) and all(map(_TOPICS.fullmatch, told)))
                 stack.append(
                     _Open(
                         name,
@@ -157,37 +182,57 @@ def lines(page: str) -> list[tuple[str, int, int, int, bool]]:
                         number if name in _HOLDERS else top.holder,
                         top.heading or name in _HEADINGS,
                         top.linked or name == "a",
-                        (*top.labels, number) if by_label else top.labels,
+                        number if by_label else top.label,
                     )
                 )
     take(page[at:])
     flush()
-    return within(out)
+    return within(out, labels)
+
 
+def _surges(weights: list[int]) -> bool:
+    return any(sum(weights[i : i + WINDOW]) >= SURGE for i in range(len(weights)))
 
-def within(found: list[tuple[tuple[str, int, int, int, bool], tuple[int, ...]]]) -> list[tuple[str, int, int, int, bool]]:
+
+def within(found: list[tuple[Line, int]], labels: dict[int, _Label]) -> list[Line]:
     """The lines that no label puts outside.  A label does not count, outer ones
     first, where its container holds more than half of the weight and the page's
-    only marked article, or the lines left without it nowhere reach the surge level."""
-    lifted: set[int] = set()
-    for number in sorted({c for _, outer in found for c in outer}):
-        inside = [line for line, outer in found if number in outer and lifted.issuperset(c for c in outer if c != number)]
-        rest = [line for line, outer in found if lifted.issuperset(outer)]
-        own, others = sum(line[1] for line in inside), sum(line[1] for line in rest)
-        if own > others:
-            mark = len({line[2] for line in inside if line[2]}) == 1 and not any(line[2] for line in rest)
-            weights = [line[1] for line in rest]
-            if mark or all(sum(weights[i : i + WINDOW]) < SURGE for i in range(len(weights))):
-                lifted.add(number)
-    return [line for line, outer in found if lifted.issuperset(outer)]
+    only marked article, or the lines left without it nowhere reach the surge level; nor
+    does a topic's where its own lines reach it.  What is left changes only with a label
+    that does not count, and each of the first kind doubles its weight, so that page-wide
+    looks are few."""
+    own: dict[int, list[Line]] = {}
+    for line, label in found:
+        own.setdefault(label, []).append(line)
+    lifted = {0}
+    rest = sum(line.weight for line in own.get(0, ()))
+    rest_marked = any(line.marked for line in own.get(0, ()))
+    surges: bool | None = None  # of the rest, once asked
+    for number, label in sorted(labels.items()):
+        if label.around not in lifted:
+            continue
+        inside = own.get(number, [])
+        weight = sum(line.weight for line in inside)
+        lift = label.topic and _surges([line.weight for line in inside if line.prose])
+        if not lift and weight > rest:
+            lift = not rest_marked and len({line.marked for line in inside if line.marked}) == 1
+            if not lift:
+                if surges is None:
+                    surges = _surges([line.weight for line, outer in found if outer in lifted])
+                lift = not surges
+        if lift:
+            lifted.add(number)
+            rest += weight
+            rest_marked = rest_marked or any(line.marked for line in inside)
+            surges = None
+    return [line for line, outer in found if outer in lifted]
 
 
 def extract(page: str | None) -> str:
     found = lines(page or "")
-    bounded = any(marked and w for _, w, marked, _, _ in found)
-    if bounded:
-        found = [line for line in found if line[2]]
-    weights = [line[1] for line in found]
+    if any(line.marked and line.weight for line in found):
+        found = [line for line in found if line.marked]
+    weights = [line.weight for line in found]
     n = len(found)
     if not any(weights):
         return ""
@@ -206,14 +251,15 @@ def extract(page: str | None) -> str:
     for start, end in stretches:
         by_holder: dict[int, int] = {}
         for k in range(start, end):
-            by_holder[found[k][3]] = by_holder.get(found[k][3], 0) + weights[k]
+            by_holder[found[k].holder] = by_holder.get(found[k].holder, 0) + weights[k]
         own = max(by_holder, key=by_holder.__getitem__)
-        while start and found[start - 1][3] == own:  # a heading above the surge
+        first, last = {own, found[start].holder}, {own, found[end - 1].holder}
+        while start and found[start - 1].holder in first:  # a heading above the surge
             start -= 1
-        while end < n and found[end][3] == own:
+        while end < n and found[end].holder in last:
             end += 1
-        kept.update(k for k in range(start, end) if weights[k] or found[k][4])
-    return "\n\n".join(found[k][0] for k in sorted(kept))
+        kept.update(k for k in range(start, end) if weights[k] or found[k].heading or (found[k].prose and found[k].holder == own))
+    return "\n\n".join(found[k].text for k in sorted(kept))
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

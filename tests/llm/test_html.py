@@ -88,11 +88,12 @@ def brute(page):
                 weight.setdefault(found[k][3], []).append(w[k])
             own = max(weight, key=lambda h: sum(weight[h]))
             first, last = start, i
-            while first > 0 and found[first - 1][3] == own:
+            above, below = found[start][3], found[i - 1][3]
+            while first > 0 and found[first - 1][3] in (own, above):
                 first -= 1
-            while last < n and found[last][3] == own:
+            while last < n and found[last][3] in (own, below):
                 last += 1
-            kept |= {k for k in range(first, last) if w[k] or found[k][4]}
+            kept |= {k for k in range(first, last) if w[k] or found[k][4] or (found[k][5] and found[k][3] == own)}
             inside = False
         elif not inside and i < n and w[i] and window(i) >= level:
             inside, start = True, i
@@ -112,3 +113,30 @@ def test_deep_nesting_takes_linear_time():
     began = time.process_time()
     assert html.extract("<div>x" * 16_000 + "<p>" + "word " * 40) .endswith("word")
     assert time.process_time() - began < 2
+
+
+def test_paragraphs_of_an_article_stay():
+    inner = ARTICLE + "<p><a href=x>A paragraph that is one link</a></p><p>***</p><p>The end.</p>"
+    expected = EXPECTED + "\n\nA paragraph that is one link\n\n***\n\nThe end."
+    assert html.extract(page(f"<article>{inner}</article>")) == expected
+    assert html.extract(page(f"<div class=post>{inner}</div><ul><li><a href=y>Elsewhere</a></li></ul>")) == expected
+
+
+def test_topics_of_an_article_are_no_side_matter():
+    about = "<p>" + "engines that search " * 10 + "</p>"
+    text = " ".join(["engines that search"] * 10)
+    for tag, label in (("section", "class=search"), ("div", "id=legal"), ("section", "class='social sharing'")):
+        assert html.extract(page(f"<article>{ARTICLE}<{tag} {label}>{about}</{tag}></article>")) == EXPECTED + "\n\n" + text
+        assert html.extract(page(f"<article>{ARTICLE}<{tag} {label}><a href=x>Find</a></{tag}></article>")) == EXPECTED
+    for kept_out in ("<form class=search>", "<section class=comments>", "<div class='social comments'>"):
+        assert html.extract(page(f"<article>{ARTICLE}{kept_out}{about}</article>")) == EXPECTED
+
+
+@pytest.mark.parametrize("part", ["<p class=tags>word " + "word " * 20 + "</p>", "<div class=tags>x" , "<p class=search>" + "word " * 20 + "</p>"])
+def test_many_labels_take_linear_time(part):
+    import time
+
+    for around in ("<article>{}</article>", "<div>{}</div>"):
+        began = time.process_time()
+        html.extract(page(around.format(ARTICLE + part * 8_000)))
+        assert time.process_time() - began < 3
