@@ -180,10 +180,12 @@ def src_literals(t):
 def _wide(t, at: Column, width: int, by_place: bool) -> DataFrame:
     """A row (round_id, polling_station_id, cells); ``at`` gives the column of brand
     and position (0: the list)."""
-    lists = t.votes.groupBy("round_id", "polling_station_id", "brand").agg(F.sum("votes").alias("votes")).withColumn("position", F.lit(0))
-    rows = lists
-    if by_place:
-        rows = rows.unionByName(t.votes.groupBy("round_id", "polling_station_id", "brand", "position").agg(F.sum("votes").alias("votes")))
+    sheet_row = ["round_id", "polling_station_id"]
+    # Each vote counts for its list and, by place, for its candidate; one shuffle by sheet row
+    # serves the sums and the rows.
+    counted = F.array(F.lit(0), F.col("position")) if by_place else F.array(F.lit(0))
+    votes = t.votes.select(*sheet_row, "brand", "position", "votes").repartition(*sheet_row)
+    rows = votes.select(*sheet_row, "brand", "votes", F.explode(counted).alias("position")).groupBy(*sheet_row, "brand", "position").agg(F.sum("votes").alias("votes"))
     placed = rows.withColumn("col", at).where("col is not null")
     gap = lambda n: F.array_repeat(F.lit("-"), n.cast("int"))
     before = lambda k: F.coalesce(F.get("cells", k - 1)["col"], F.lit(-1))

@@ -2,8 +2,8 @@
 
 Each layout is a rule from the header (col, text) to the columns that hold votes:
 (col, list_name, position, name), position 0 for the list itself.  The header is
-as wide as a sheet, so it goes to the rows as one array, and only cells that hold
-something become rows of their own.
+as wide as a sheet, so it is broadcast; cells are taken apart with their column by
+generated code, blank ones go before they meet the header.
 """
 
 from __future__ import annotations
@@ -95,12 +95,11 @@ def compacted(header: DataFrame, first: int) -> DataFrame:
 def melt(rows: DataFrame, columns: DataFrame, keys: list[str], cells: str = "cells", blanks: bool = True) -> DataFrame:
     """One row a row and vote column that the row reaches; missing cells count 0,
     or are left out without ``blanks``."""
-    wanted = columns.agg(F.collect_list(F.struct("col", "list_name", "position", "name")).alias("__wanted"))
-    read = F.transform(
-        F.filter("__wanted", lambda c: c["col"] < F.size(cells)),
-        lambda c: F.struct(c["list_name"].alias("list_name"), c["position"].alias("position"), c["name"].alias("name"), F.get(F.col(cells), c["col"]).alias("cell")),
-    )
+    wanted = columns.select(F.col("col").alias("__col"), "list_name", "position", "name")
+    # The outer form has no filter inferred, for which cells would be worked out twice.
+    read = rows.select(*keys, F.posexplode_outer(cells).alias("__col", "__cell"))
+    cell = F.coalesce("__cell", F.lit(""))
     if not blanks:
-        read = F.filter(read, lambda c: ~F.coalesce(c["cell"], F.lit("")).isin("", "-", "0"))
-    long = rows.join(F.broadcast(wanted)).select(*keys, F.inline(read))  # one row, as wide as a sheet
-    return long.select(*keys, "list_name", "position", "name", parse_int(F.coalesce("cell", F.lit(""))).cast("long").alias("votes"))
+        read = read.where(~cell.isin("", "-", "0"))
+    # As many rows as a sheet has columns.
+    return read.join(F.broadcast(wanted), "__col").select(*keys, "list_name", "position", "name", parse_int(cell).cast("long").alias("votes"))

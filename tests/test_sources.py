@@ -102,3 +102,20 @@ def test_sheets_and_columns_that_are_not_asked_for_are_not_read(spark):
     long = sheets.workbook_bytes({"s": [["t"]] + [[str(k), "", "z"] for k in range(12_000)]})
     df = spark.createDataFrame([("y.xlsx", bytearray(long))], "path string, content binary")
     assert sheets.parse_sheets(df).where("size(cells) = 3").count() == 12_000
+
+
+def test_melts_shuffle_votes_once_and_take_cells_apart_in_generated_code(spark, data):
+    from plebis.plans import catalog
+
+    for name in ("melt_fixed_groups", "melt_variable_groups", "melt_europe_2014", "melt_europe_2019"):
+        plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == plan.count("FileScan parquet [l_") == 1, name
+        assert plan.count("transform(") == 1 and "inline(" not in plan and "filter(" not in plan, name
+
+
+def test_melt_of_rows_without_cells(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, ["", "4"]), (4, ["7", None, "9"])], "k int, cells array<string>")
+    columns = spark.createDataFrame([(0, "L", 0, "L"), (1, "L", 1, "A"), (5, "M", 0, "M")], "col int, list_name string, position int, name string")
+    got = lambda blanks: sorted((r["k"], r["name"], r["votes"]) for r in melt.melt(rows, columns, ["k"], blanks=blanks).collect())
+    assert got(True) == [(3, "A", 4), (3, "L", 0), (4, "A", 0), (4, "L", 7)]
+    assert got(False) == [(3, "A", 4), (4, "L", 7)]
