@@ -98,3 +98,18 @@ def test_a_stream_writes_versions(spark, store, tmp_path):
     first, second = (store.manifest(n)["tables"]["turnout"]["folders"] for n in (1, 2))
     assert first["1"] == second["1"] and first["2"] != second["2"]
     assert sorted(tuple(r)[:3] for r in store.read("turnout").collect()) == [(1, 1, 10), (2, 2, 9)]
+
+
+@pytest.mark.parametrize("name", ["wipe_committed", "wipe_dry_run"])
+def test_wipes_join_the_order_lines_once(spark, data, monkeypatch, name):
+    """All tables of a wipe come from votes that are written once, and what is left from the
+    tables of the first version."""
+    from plebis.plans import catalog
+    from plebis.plans.fixtures import Tables
+
+    made = []
+    raw = Tables.raw
+    monkeypatch.setattr(Tables, "raw", lambda self, table: (made.append(table), raw(self, table))[1])
+    df = catalog.QUERIES[name](spark, data)
+    assert made.count("lineitem") == 1
+    assert "lineitem.parquet" not in df._jdf.queryExecution().executedPlan().toString()
