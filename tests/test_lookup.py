@@ -46,3 +46,17 @@ def test_title_case_as_python_has_it(spark):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "k int, v string").select("k", "v", title_case(F.col("v")).alias("title"))
     for r in rows.collect():
         assert r["title"] == (r["v"].title() if r["v"] is not None else None), r["v"]
+
+
+def test_siblings_by_blocks_give_all_pairs(spark, monkeypatch):
+    from plebis.operators import scope
+
+    monkeypatch.setattr(scope, "BLOCK", 3)
+    places = [("a", "x")] * 10 + [("a", None)] * 4 + [(None, None)] * 5 + [(None, "x"), ("b", "x"), ("", "x"), ("", None)]
+    rows = [(k, *p) for k, p in enumerate(places)] + [(None, "b", "x"), (20, "b", "x")]
+    stations = spark.createDataFrame(rows, "id long, location string, address string")
+    found = scope.siblings(stations)
+    expected = [(a[0], b[0]) for a in rows for b in rows if a[1:] == b[1:]]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    # Dealt evenly after the blocks have met.
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
