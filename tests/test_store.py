@@ -113,3 +113,10 @@ def test_wipes_join_the_order_lines_once(spark, data, monkeypatch, name):
     df = catalog.QUERIES[name](spark, data)
     assert made.count("lineitem") == 1
     assert "lineitem.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_turnout_of_several_files_is_summed_from_files(spark, data):
+    from plebis.plans import catalog
+
+    plan = catalog.QUERIES["turnout_sum_duplicates"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "Join" not in plan
