@@ -257,8 +257,10 @@ def search(shards: DataFrame, queries: DataFrame, n_shards: int, n_blocks: int,
                     names=["query_id", "vec_id", "score"],
                 )
 
+    # By merge: neither side may be broadcast, as the blocks are as many times larger than the
+    # queries, which an estimate goes by, as there are shards.
     return (
-        shards.join(blocks, "shard")
+        shards.hint("merge").join(blocks, "shard")
         .select("queries", "entry", "x", "graph", "ids")
         .mapInArrow(walk, "query_id long, vec_id long, score double")
     )

@@ -56,3 +56,10 @@ def test_repeated_rows_take_no_places(spark):
         got = ann.nearest(df, F.col("id") % 50 == 0).collect()
         for q, best in expected.items():
             assert [i for _, i in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] == [i for i, _ in best]
+
+
+def test_queries_are_never_broadcast_to_the_shards(spark):
+    shards = spark.createDataFrame([(0, 0, b"", b"", [[1]])], "shard int, entry int, x binary, graph binary, ids array<array<long>>").localCheckpoint()
+    queries = spark.createDataFrame([(50, [1.0])], "id long, v array<double>").localCheckpoint()
+    plan = ann.search(shards, queries, 1, 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
