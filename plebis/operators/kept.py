@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plebis.operators import profiles, totals
-from plebis.sources.store import Change, Store
+from plebis.sources.store import At, Change, Store
 
 #: Facts and what their rows are about.
 FACTS = {"list_result": "electoral_list_id", "candidate_result": "candidacy_id", "turnout": "election_round_id"}
 MEASURES = {"list_result": ["votes"], "candidate_result": ["votes"], "turnout": list(totals.MEASURES)}
 SMALL = ("county", "municipality", "polling_station", "election_type", "election", "election_round", "electoral_district", "electoral_list", "person", "candidacy")
+#: Those that come from all votes and are asked for by more than one kept table.
+ASKED_OFTEN = ("election", "election_round", "electoral_list", "candidacy", "list_result", "turnout")
 
 
 def _rounds_of(t, fact: str) -> DataFrame | None:
@@ -67,10 +69,15 @@ class Kept:
 
 
 def build(t, store: Store) -> Kept:
-    """The first version."""
+    """The first version.  Tables that several sums ask for are worked out once, in a folder that
+    goes when the version is there."""
+    once = Store(store.spark, f"{store.folder}/_once")
+    once.commit({n: Change(getattr(t, n)) for n in ASKED_OFTEN})
+    raw, t = t, At(once, t)
     facts = {n: Change(sums(t, n), "round") for n in FACTS} | {"list_ballots": Change(ballots(t), "round")}
     store.commit({n: Change(getattr(t, n)) for n in SMALL} | facts | {"named_rounds": Change(totals.rounds(t))})
-    return Kept(store, t)
+    once.drop()
+    return Kept(store, raw)
 
 
 def refresh(t, store: Store, rounds: list[int], key: str | None = None) -> Kept:

@@ -38,3 +38,23 @@ def test_answers_before_and_after_a_load(spark, data, tmp_path):
     for n in kept.FACTS:
         assert {p for p in after[n] if after[n][p] != before[n].get(p)} <= {str(r) for r in rounds}
     assert scans(profiles.person_history(k)) < 40
+
+
+def test_shared_tables_are_worked_out_once_and_leave_no_folder(spark, data, tmp_path, monkeypatch):
+    import os
+
+    from plebis.sources import store as stores
+
+    staged, plain_staged = [], stores.Store._staged
+
+    def noted(self, name, change, *rest):
+        plan = change.rows._jdf.queryExecution().executedPlan().toString()
+        staged.append((name, "votes-" in plan))
+        return plain_staged(self, name, change, *rest)
+
+    monkeypatch.setattr(stores.Store, "_staged", noted)
+    t = Tables(spark, data).written()
+    kept.build(t, Store(spark, str(tmp_path / "store")))
+    # Of the tables that come from votes only districts and candidates' results are read there again.
+    assert sorted(n for n, votes in staged if votes) == sorted([*kept.ASKED_OFTEN, "electoral_district", "candidate_result"])
+    assert sorted(os.listdir(tmp_path / "store")) == ["_versions", "data"]
