@@ -13,7 +13,7 @@ from plebis.operators.grams import Index
 from plebis.operators.scope import scope_stations, siblings
 from plebis.plans.catalog import query
 from plebis.plans.fixtures import new_folder
-from plebis.sources.store import Store
+from plebis.sources.store import At, Change, Store
 
 # ---- scans and filters
 
@@ -362,8 +362,10 @@ TERMS = {"person": ("čić", "an", "A_A", "n%r", "%%"), "station": ("hold 1", "l
 )
 def search_indexed(t):
     """The same searches by posting lists of three-letter grams."""
-    t = t.written()
-    index = lookup.indexed(t, Index(Store(t.spark, new_folder(t.spark, "grams"))))
+    t, store = t.written(), Store(t.spark, new_folder(t.spark, "grams"))
+    store.commit({n: Change(getattr(t, n)) for n in ("person", "electoral_list")})  # asked once a search
+    t = At(store, t)
+    index = lookup.indexed(t, Index(store))
     found = [lookup.search_persons(t, q, index=index).select(F.lit("person").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["person"]]
     found += [lookup.search_stations(t, q, index=index).select(F.lit("station").alias("kind"), F.lit(q).alias("term"), "id", "name") for q in TERMS["station"]]
     found += [lookup.search_parties(t, q, index=index).select(F.lit("party").alias("kind"), F.lit(q).alias("term"), F.lit(None).cast("long").alias("id"), "name") for q in TERMS["party"]]

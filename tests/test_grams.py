@@ -53,3 +53,10 @@ def test_only_the_lists_of_a_term_are_read(spark, data, tmp_path):
     for search in (lookup.search_persons, lookup.search_stations, lookup.search_parties):
         for q in ("an", "a_a", "1", "ta 1", "%%", "no such thing"):
             assert list(map(repr, search(t, q, index=index).collect())) == list(map(repr, search(t, q).collect())), q
+
+
+def test_searches_read_people_and_lists_as_written(spark, data):
+    from plebis.plans import catalog
+
+    plan = catalog.QUERIES["search_indexed"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "part.parquet" not in plan and "lineitem.parquet" not in plan and "/votes-" not in plan
