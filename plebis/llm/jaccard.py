@@ -127,6 +127,11 @@ def prefix_length_of(n: Column, percent: int) -> Column:
     return n + F.floor(-percent * n / 100) + 1
 
 
+def _sized(side: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast while its rows are few."""
+    return F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
+
+
 def _kind(df: DataFrame, name: str) -> str:
     return next(f.dataType.simpleString() for f in df.schema if f.name == name)
 
@@ -256,9 +261,9 @@ def frequent(sets: DataFrame, bits: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
-    """Rows (gram, sid, n, at, far, near) of sets (sid, grams): the first n-grams of
-    each set in the fixed order (rows ``late`` (gram, hits) last, by hits), their
-    places, and the order key (far, near) of the last of them.
+    """Rows (sid, n, far, near, grams) of sets (sid, grams): the first n-grams of
+    each set in the fixed order (rows ``late`` (gram, hits) last, by hits), and the
+    order key (far, near) of the last of them.
 
     The late n-grams are broadcast while they are few; else every n-gram of the
     sets meets its count by a join and each set is ordered by a window."""
@@ -271,7 +276,8 @@ def prefixes(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hits = hot.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[int]] = [[], [], []]
+            firsts = []
             for sid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = np.frombuffer(packed.as_buffer(), np.int64)
                 size = len(grams)
@@ -281,14 +287,14 @@ def prefixes(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
                     far = np.where(known[where] == grams, hits[where], 0)
                 length = prefix_length(size, percent)
                 first = np.lexsort((grams, far))[:length]
-                columns = (grams[first], sid, size, np.arange(length), far[first[-1]], grams[first[-1]])
-                for c, values in zip(out, columns, strict=True):
-                    c.append(np.broadcast_to(np.asarray(values, np.int64), length))
-            columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
-            for start in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 100_000]) for c in columns], names=["gram", "sid", "n", "at", "far", "near"])
+                firsts.append(grams[first])
+                for c, value in zip(out, (size, far[first[-1]], grams[first[-1]]), strict=True):
+                    c.append(int(value))
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out), lists], names=["sid", "n", "far", "near", "grams"])
 
-    return sets.select("sid", "grams").mapInArrow(run, "gram long, sid long, n long, at long, far long, near long")
+    return sets.select("sid", "grams").mapInArrow(run, "sid long, n long, far long, near long, grams array<long>")
 
 
 def _prefixes_joined(sets: DataFrame, late: DataFrame, percent: int) -> DataFrame:
@@ -308,16 +314,14 @@ def _prefixes_joined(sets: DataFrame, late: DataFrame, percent: int) -> DataFram
         .withColumn("at", F.row_number().over(in_order).cast("long") - 1)
         .where(F.col("at") < prefix_length_of(F.col("n"), percent))
     )
-    last = F.max(F.struct("far", "gram")).over(Window.partitionBy("sid"))
-    return placed.withColumn("end", last).select("gram", "sid", "n", "at", F.col("end.far").alias("far"), F.col("end.gram").alias("near"))
+    packed = placed.groupBy("sid", "n").agg(F.max(F.struct("far", "gram")).alias("end"), F.sort_array(F.collect_list(F.struct("at", "gram"))).alias("first"))
+    return packed.select("sid", "n", F.col("end.far").alias("far"), F.col("end.gram").alias("near"), F.col("first.gram").alias("grams"))
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, owners: DataFrame, n: int) -> DataFrame:
     """(sid, grams) of the documents that ``owners`` (key) names, without empty sets;
     the keys are broadcast while they are few, else the texts are joined by shuffle."""
-    owners = owners.select("key").transform(durable)
-    if owners.count() <= BROADCAST_KEYS:
-        owners = F.broadcast(owners)
+    owners = owners.select("key").transform(durable).transform(_sized)
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(owners, "key", "left_semi").select("text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +332,14 @@ def _sets_of(docs: DataFrame, key: str, text: str, owners: DataFrame, n: int) ->
                 names=["sid", "grams"],
             )
 
-    return texts.mapInArrow(sets_of, "sid long, grams binary").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(sets_of, "sid long, grams binary").transform(durable)
+    # Sets that several rows give are rare; only they are shuffled.
+    again = sets.groupBy("sid").count().where("count > 1").select("sid").transform(durable)
+    if again.isEmpty():
+        return sets
+    again = _sized(again)
+    several = sets.join(again, "sid", "left_semi").dropDuplicates(["sid"]).transform(durable)
+    return sets.join(again, "sid", "left_anti").unionByName(several)
 
 
 def dense_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -393,14 +404,14 @@ def _product(task: DataFrame, percent: int) -> DataFrame:
 def bundled_links(bundles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) that connect what the true links within each bundle (node,
     root) connect."""
-    held = bundles.join(sets, F.col("node") == F.col("sid")).select("root", "sid", "grams")
+    held = sets.join(_sized(bundles), F.col("node") == F.col("sid")).select("root", "sid", "grams")
     sizes = bundles.groupBy("root").agg(F.count("*").alias("m")).transform(durable)
     zero = F.lit(0)
     small, large = sizes.where(F.col("m") <= SIDE), sizes.where(F.col("m") > SIDE)
     # Small bundles share tasks, packed to about the work of one full side.
     tasks = max(1, small.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), zero)).first()[0] // (SIDE * SIDE))
     links = _product(
-        held.join(small.select("root"), "root").select(
+        held.join(_sized(small.select("root")), "root").select(
             F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), zero.alias("i"), zero.alias("j"), "root", "sid", F.lit(True).alias("own"), "grams"
         ),
         percent,
@@ -411,7 +422,7 @@ def bundled_links(bundles: DataFrame, sets: DataFrame, percent: int) -> DataFram
     sides = F.ceil(F.col("m") / SIDE).cast("int")
     side_of = lambda m: F.pmod(F.xxhash64(F.lit(3), "sid"), m).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    big = held.join(F.broadcast(large.withColumn("sides", sides)) if large.count() <= BROADCAST_KEYS else large.withColumn("sides", sides), "root")
+    big = held.join(_sized(large.withColumn("sides", sides)), "root")
     big = big.select("root", "sid", "grams", "sides").transform(durable)
     # Every member meets the pivots.
     by_hash = Window.partitionBy("root").orderBy(F.xxhash64(F.lit(4), "sid"), "sid")
@@ -444,7 +455,9 @@ def bundled_links(bundles: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y) of set ids those whose whole sets reach the threshold."""
+    """Of pairs (x, y) of set ids those whose whole sets reach the threshold.  While
+    the pairs are few they go to the sets, so that one set of each pair is shuffled
+    and, once, those that it meets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,13 +470,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return (
-        pairs.join(sets.select(F.col("sid").alias("x"), F.col("grams").alias("a")), "x")
-        .join(sets.select(F.col("sid").alias("y"), F.col("grams").alias("b")), "y")
-        .select("x", "y", "a", "b")
-        .mapInArrow(compare, "x long, y long")
-        .transform(durable)
-    )
+    heads = sets.select(F.col("sid").alias("x"), F.col("grams").alias("a")).join(_sized(pairs), "x")
+    met = pairs.select("y").distinct().transform(durable).transform(_sized)
+    tails = sets.select(F.col("sid").alias("y"), F.col("grams").alias("b")).join(met, "y", "left_semi")
+    return heads.join(tails, "y").select("x", "y", "a", "b").mapInArrow(compare, "x long, y long").transform(durable)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -491,7 +501,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(df: DataFrame, roots: DataFrame, by: str, into: str) -> DataFrame:
-    return df.join(roots.withColumnsRenamed({"node": by, "root": "__root"}), by, "left").withColumn(
+    return df.join(_sized(roots.withColumnsRenamed({"node": by, "root": "__root"})), by, "left").withColumn(
         into, F.coalesce("__root", by)
     ).drop("__root")
 
@@ -500,17 +510,18 @@ def links_of(sets: DataFrame, bits: int, percent: int) -> DataFrame:
     """Links (x, y) that connect what all links between the sets (sid, grams)
     connect."""
     first = prefixes(sets, frequent(sets, bits), percent).transform(durable)
-    sizes = first.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("least")).where("m > 1").transform(durable)
-    blocks = first.join(sizes, "gram")
+    entries = first.select("sid", "n", "far", "near", F.posexplode("grams").alias("at", "gram"))
+    sizes = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min("sid").alias("least")).where("m > 1").transform(durable)
     # Bundles: nodes that meet in a block too large for pairs.
-    bundles = components(blocks.where(F.col("m") > FEW).select(F.col("sid").alias("x"), F.col("least").alias("y")))
+    bundles = components(entries.join(_sized(sizes.where(F.col("m") > FEW)), "gram").select(F.col("sid").alias("x"), F.col("least").alias("y")))
     bundles = bundles.unionByName(bundles.select(F.col("root").alias("node"), "root").distinct()).transform(durable)
     links = bundled_links(bundles, sets, percent)
 
     # The product over nodes of different bundles, which meet in small blocks only.
-    placed = _rooted(blocks.where(F.col("m") <= FEW), bundles, "sid", "bundle")
-    mixed = placed.groupBy("gram").agg(F.min("bundle").alias("a"), F.max("bundle").alias("b")).where("a <> b").select("gram")
-    open_blocks = placed.join(mixed, "gram", "left_semi")
+    # Both sides of the join read one shuffle by n-gram.
+    placed = _rooted(entries.join(sizes.where(F.col("m") <= FEW).select("gram"), "gram"), bundles, "sid", "bundle")
+    block = Window.partitionBy("gram")
+    open_blocks = placed.withColumn("mixed", F.min("bundle").over(block) < F.max("bundle").over(block)).where("mixed")
     parts = ("sid", "n", "at", "far", "near", "bundle")
     left = open_blocks.select("gram", *[F.col(c).alias(f"x_{c}") for c in parts])
     right = open_blocks.select("gram", *[F.col(c).alias(f"y_{c}") for c in parts])
@@ -546,7 +557,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = W
         .select("sid").distinct()
     )
     owners = holders.join(open_sids, "sid").select("sid", F.col("least.key").alias("key"))
-    sets = _sets_of(docs, key, text, owners, n).transform(durable)
+    sets = _sets_of(docs, key, text, owners, n)
     roots = components(links_of(sets, bits, percent))
 
     # The smallest key of each component, through the sets' smallest keys.
@@ -572,13 +583,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     gone = inside.where("not chosen").select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct().transform(durable)
     again = inside.where("chosen").groupBy(F.col("key").alias("__key"), F.col("mark").alias("__mark")).count().where("count > 1").drop("count").transform(durable)
     is_ = lambda side: (docs[key] == side["__key"]) & (F.xxhash64(docs[text]) == side["__mark"])
-    sized = lambda side: F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
-    gone = sized(gone)
+    gone = _sized(gone)
     kept = docs.join(gone, is_(gone), "left_anti")
     # Rows that repeat are rare; only they are told apart.
     if again.isEmpty():
         return kept
-    again = sized(again)
+    again = _sized(again)
     once = kept.join(again, is_(again), "left_anti")
     several = kept.join(again, is_(again), "left_semi")
     return once.unionByName(several.dropDuplicates([key, text]))
