@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plebis.llm.common import WORD, durable
+from plebis.llm.common import WORD, durable, let
 
 #: Above so many rows the block plan is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
@@ -86,38 +86,53 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
     Weights are built up from a start nine standard deviations below the mode,
     beyond which they are under the resolution of a double.
     """
-    pop, k, n = population.cast("double"), marked.cast("double"), drawn.cast("double")
-    mode = F.floor((n + 1) * (k + 1) / (pop + 2)).cast("long")
-    share = k / F.greatest(pop, F.lit(1.0))
-    spread = F.sqrt(n * share * (1 - share) * (pop - n) / F.greatest(pop - 1, F.lit(1.0)))
-    reach = (F.ceil(spread * 9) + 9).cast("long")
-    low = F.greatest(F.greatest(F.lit(0), drawn + marked - population), mode - reach).cast("long")
-    high = F.least(F.least(marked, drawn), mode + reach).cast("long")
-    steps = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>"))
-
-    def ratio(x: Column) -> Column:
-        return (k - x) * (n - x) / ((x + 1) * (pop - k - n + x + 1))
-
-    total = F.aggregate(
-        steps,
-        F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t")),
-        lambda a, x: F.struct((a["w"] * ratio(x)).alias("w"), (a["t"] + a["w"] * ratio(x)).alias("t")),
-        lambda a: a["t"],
+    given = F.struct(
+        population.alias("population"), marked.alias("marked"), drawn.alias("drawn"), u.alias("u"),
+        population.cast("double").alias("pop"), marked.cast("double").alias("k"), drawn.cast("double").alias("n"),
     )
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), low.alias("x"), (u * total).alias("goal")),
-        lambda a, x: F.when(a["c"] >= a["goal"], a).otherwise(
-            F.struct(
-                (a["w"] * ratio(x)).alias("w"),
-                (a["c"] + a["w"] * ratio(x)).alias("c"),
-                (x + 1).cast("long").alias("x"),
-                a["goal"].alias("goal"),
-            )
-        ),
-        lambda a: a["x"],
-    )
-    return found
+
+    def around(v: Column) -> Column:
+        share = v["k"] / F.greatest(v["pop"], F.lit(1.0))
+        spread = F.sqrt(v["n"] * share * (1 - share) * (v["pop"] - v["n"]) / F.greatest(v["pop"] - 1, F.lit(1.0)))
+        mode = F.floor((v["n"] + 1) * (v["k"] + 1) / (v["pop"] + 2)).cast("long")
+        return F.struct(mode.alias("mode"), (F.ceil(spread * 9) + 9).cast("long").alias("reach"))
+
+    def bounds(v: Column, m: Column) -> Column:
+        low = F.greatest(F.greatest(F.lit(0), v["drawn"] + v["marked"] - v["population"]), m["mode"] - m["reach"])
+        high = F.least(F.least(v["marked"], v["drawn"]), m["mode"] + m["reach"])
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+    def steps(b: Column) -> Column:
+        return F.when(b["high"] > b["low"], F.sequence(b["low"], b["high"] - 1)).otherwise(F.array().cast("array<long>"))
+
+    def ratio(v: Column, x: Column) -> Column:
+        return (v["k"] - x) * (v["n"] - x) / ((x + 1) * (v["pop"] - v["k"] - v["n"] + x + 1))
+
+    def total(v: Column, s: Column) -> Column:
+        return F.aggregate(
+            s,
+            F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("t")),
+            lambda a, x: let(a["w"] * ratio(v, x), lambda w: F.struct(w.alias("w"), (a["t"] + w).alias("t"))),
+            lambda a: a["t"],
+        )
+
+    def found(v: Column, b: Column, s: Column, t: Column) -> Column:
+        return F.aggregate(
+            s,
+            F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), b["low"].alias("x"), (v["u"] * t).alias("goal")),
+            lambda a, x: F.when(a["c"] >= a["goal"], a).otherwise(
+                let(
+                    a["w"] * ratio(v, x),
+                    lambda w: F.struct(w.alias("w"), (a["c"] + w).alias("c"), (x + 1).cast("long").alias("x"), a["goal"].alias("goal")),
+                )
+            ),
+            lambda a: a["x"],
+        )
+
+    # Each value is named once: written out where it is used, one level of the tree
+    # would be an expression of thousands of nodes, which the driver holds many times.
+    inverted = lambda v, b: let(steps(b), lambda s: let(total(v, s), lambda t: found(v, b, s, t)))
+    return let(given, lambda v: let(around(v), lambda m: let(bounds(v, m), lambda b: inverted(v, b))))
 
 
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
@@ -139,13 +154,16 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
         )
 
         def step(acc: Column, i: Column) -> Column:
-            k = F.get("q", i)
             draw = F.pmod(F.xxhash64(F.lit(seed), F.col("node"), i), F.lit(1 << 52))
-            x = hypergeometric(acc["pop"], k, acc["left"], (draw + 0.5) / float(1 << 52))
-            return F.struct(
-                (acc["pop"] - k).alias("pop"),
-                (acc["left"] - x).alias("left"),
-                F.array_append(acc["out"], x).alias("out"),
+
+            def taken(k: Column, x: Column) -> Column:
+                return F.struct(
+                    (acc["pop"] - k).alias("pop"), (acc["left"] - x).alias("left"), F.array_append(acc["out"], x).alias("out")
+                )
+
+            return let(
+                F.get("q", i),
+                lambda k: let(hypergeometric(acc["pop"], k, acc["left"], (draw + 0.5) / float(1 << 52)), lambda x: taken(k, x)),
             )
 
         halves = staged.withColumn(

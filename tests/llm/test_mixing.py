@@ -128,3 +128,9 @@ def test_the_tree_decides_in_small_sources(docs_of, monkeypatch):
             taken = sum(r["size"] * len(r["draws"]) for r in own)
             assert abs(taken - own[0]["target"]) <= 0.01 * own[0]["target"]
     assert sum(drawn[0][k] != drawn[1][k] for k in drawn[0]) > 30
+
+
+def test_tree_is_a_small_plan(spark):
+    """The driver holds the plan many times over: no value is written out where it is used."""
+    quotas = spark.createDataFrame([(1, 300), (2, 7), (3, 5000)], "nth int, quota long")
+    assert len(mixing.split_quotas(quotas, 64, 7)._jdf.queryExecution().optimizedPlan().toString()) < 50_000
