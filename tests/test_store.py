@@ -120,3 +120,15 @@ def test_turnout_of_several_files_is_summed_from_files(spark, data):
 
     plan = catalog.QUERIES["turnout_sum_duplicates"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "Join" not in plan
+
+
+def test_the_dry_run_of_a_wipe_tells_of_every_table_it_wipes(spark, data):
+    """Turnout as well: what is left by the dry run is what the wipe leaves."""
+    from plebis.plans import catalog
+    from plebis.plans.upkeep_queries import WIPED
+
+    told = {r["table_name"]: r for r in catalog.QUERIES["wipe_dry_run"](spark, data).collect()}
+    assert set(told) == set(WIPED) and told["turnout"]["removed"] > 0
+    for r in catalog.QUERIES["wipe_district"](spark, data).collect():
+        n = told[r["table_name"]]
+        assert n["before"] + n["added"] - n["removed"] == r["n"]
