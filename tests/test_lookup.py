@@ -60,3 +60,17 @@ def test_siblings_by_blocks_give_all_pairs(spark, monkeypatch):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
     # Dealt evenly after the blocks have met.
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_siblings_do_not_hold_the_pairs_of_two_blocks(spark):
+    """The two explodes run apart: as one generated loop they would hold all pairs of two
+    blocks, millions of rows, before giving the first."""
+    import re
+
+    from plebis.operators import scope
+
+    found = scope.siblings(spark.createDataFrame([(k, "a", "x") for k in range(5)], "id long, location string, address string"))
+    assert len(found.collect()) == 25
+    final = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    loops = re.findall(r"(\*\(\d+\) )?Generate explode", final)
+    assert len(loops) == 2 and len(set(loops)) == 2 and loops[0] != ""
